@@ -19,21 +19,25 @@ TEXT_KIND = "text/plain"
 TABLE_KIND = "application/vnd.livy.table.v1+json"
 
 
-def parse_statement(reply: Column) -> Column:
-    return F.from_json(reply, STATEMENT_SCHEMA)
+def statement_fields(reply: Column) -> Column:
+    """The statement's id, state and output as columns; all null for text that is not such JSON.
 
+    A generator parses each reply once. A plain column would be parsed again in every filter
+    that Catalyst moves below it.
+    """
+    return F.inline(F.array(F.from_json(reply, STATEMENT_SCHEMA)))
 
-def parse_session(reply: Column) -> Column:
-    return F.from_json(reply, SESSION_SCHEMA)
 
+def session_fields(reply: Column) -> Column:
+    """The fields of a session snapshot as columns; unknown fields are ignored."""
+    return F.inline(F.array(F.from_json(reply, SESSION_SCHEMA)))
 
-def statement_outcome(parsed: Column) -> Column:
+
+def statement_outcome(statement_id: Column, state: Column, output: Column) -> Column:
     """``ok``, ``error``, ``pending`` (not finished) or ``invalid`` (not a reply that can be read)."""
-    state, output = parsed["state"], parsed["output"]
-    unreadable = parsed["id"].isNull() & state.isNull() & output.isNull()
     status = output["status"]
     return (
-        F.when(parsed.isNull() | unreadable, "invalid")
+        F.when(statement_id.isNull() & state.isNull() & output.isNull(), "invalid")
         .when(state.isNull() | (state != FINISHED_STATE), "pending")
         .when((status == "ok") & output["data"].isNotNull(), "ok")
         .when(status == "error", "error")
@@ -41,9 +45,9 @@ def statement_outcome(parsed: Column) -> Column:
     )
 
 
-def statement_text(parsed: Column) -> Column:
+def statement_text(output: Column) -> Column:
     """The table JSON if there is one, else the plain text, else the empty text."""
-    data = parsed["output"]["data"]
+    data = output["data"]
     return F.coalesce(
         F.try_element_at(data, F.lit(TABLE_KIND)),
         F.try_element_at(data, F.lit(TEXT_KIND)),

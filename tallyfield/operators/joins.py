@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,8 +30,23 @@ def attach_totals(df: DataFrame, other: DataFrame, **totals: Column) -> DataFram
     )
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on ``keys`` where a null key meets a null key; keeps the left key columns."""
-    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    match = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
-    return left.join(renamed, match, "inner").drop(*[f"__r_{k}" for k in keys])
+def attach_over(
+    rows: DataFrame, keys: Sequence[str], spread: Column, **over: tuple[Callable, str]
+) -> DataFrame:
+    """Every row beside sums, minima or maxima over all rows with its ``keys``.
+
+    ``over`` maps an output name to (``F.sum``, ``F.min`` or ``F.max``, column). The rows of a
+    key are told apart by ``spread``: values are reduced per (keys, spread), combined over the
+    few spreads of a key, and joined back per (keys, spread), so a hot key is many small joins.
+    """
+    spread_keys = [*keys, "__spread"]
+    parts = rows.withColumn("__spread", spread)
+    reduced = parts.groupBy(*spread_keys).agg(*[f(c).alias(n) for n, (f, c) in over.items()])
+    whole = Window.partitionBy(*keys)
+    combined = reduced.select(
+        *[F.col(k).alias(f"__r_{k}") for k in spread_keys],
+        *[f(n).over(whole).alias(n) for n, (f, _) in over.items()],
+    )
+    # A null key is a key like any other.
+    match = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in spread_keys]
+    return parts.join(combined, match).drop("__spread", *[f"__r_{k}" for k in spread_keys])

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.operators.joins import join_null_safe
+from tallyfield.operators.joins import attach_over
 from tallyfield.operators.running import BLOCK_BITS, running_total
 
 # Status marks, time limits of a server request and of a statement, indicator
@@ -29,6 +29,9 @@ GOAL_MAX_MS = 50
 GOAL_PERCENT = 95
 ALL = "all"
 
+# Parts into which the messages of one key are spread.
+MESSAGE_PARTS = 1024
+
 
 def _count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
@@ -68,10 +71,10 @@ def error_summary(
 ) -> DataFrame:
     """Failures per message and their share of all failures of the key, largest first."""
     counts = log.where(_failed()).groupBy(*keys, message).agg(F.count(F.lit(1)).alias("failures"))
-    totals = counts.groupBy(*keys).agg(F.sum("failures").alias("__all"))
+    spread = F.pmod(F.xxhash64(message), F.lit(MESSAGE_PARTS))
     share = F.lit(100.0) * F.col("failures") / F.col("__all")
     return (
-        join_null_safe(counts, totals, keys)
+        attach_over(counts, keys, spread, __all=(F.sum, "failures"))
         .select(*keys, message, "failures", share.alias("percent"))
         .orderBy(F.desc("failures"), *keys, message)
     )
@@ -201,23 +204,24 @@ def rt_series(
 ) -> DataFrame:
     """Requests over each run, its span cut into at most ``max_points`` equal steps.
 
-    Rows are counted per start time before the run's bounds are joined on, so a hot run
-    brings no more rows to the join than it has distinct start times.
+    Rows are first counted per start time. The run's bounds then reach them by time block, so
+    a hot run is spread over as many tasks as it has blocks.
     """
     counts = (
         log.where(F.col("start_ms").isNotNull())
         .groupBy(run, *series, "start_ms")
         .agg(F.count(F.lit(1)).alias("__n"), _count_if(_failed()).alias("__ko"))
     )
-    spans = counts.groupBy(run).agg(
-        F.min("start_ms").alias("__first"), F.max("start_ms").alias("__last")
+    placed = attach_over(
+        counts,
+        [run],
+        F.shiftright("start_ms", BLOCK_BITS),
+        __first=(F.min, "start_ms"),
+        __last=(F.max, "start_ms"),
     )
-    # Whole-number division: step i begins at the first time with i * span <= offset * max_points.
     point = F.expr(f"(start_ms - __first) * {int(max_points)} div (__last - __first + 1)")
-    return (
-        join_null_safe(counts, spans, [run])
-        .groupBy(run, *series, point.alias("point"))
-        .agg(F.sum("__n").alias("requests"), F.sum("__ko").alias("failed"))
+    return placed.groupBy(run, *series, point.alias("point")).agg(
+        F.sum("__n").alias("requests"), F.sum("__ko").alias("failed")
     )
 
 

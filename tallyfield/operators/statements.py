@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.decoding import (
-    parse_session,
-    parse_statement,
+    session_fields,
+    statement_fields,
     statement_outcome,
     statement_text,
 )
@@ -16,41 +16,37 @@ from tallyfield.functions.matching import full_match
 
 def decode_statements(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Replaces the JSON column by statement_id, state, outcome, text, ename, evalue, trace."""
-    parsed = F.col("__parsed")
-    failed = F.col("outcome") == "error"
+    kept = [c for c in replies.columns if c != reply]
+    output = F.col("output")
+    succeeded, failed = F.col("outcome") == "ok", F.col("outcome") == "error"
     return (
-        replies.withColumn("__parsed", parse_statement(F.col(reply)))
-        .withColumn("outcome", statement_outcome(parsed))
-        .withColumns(
-            {
-                "statement_id": parsed["id"],
-                "state": parsed["state"],
-                "text": F.when(F.col("outcome") == "ok", statement_text(parsed)),
-                "ename": F.when(failed, parsed["output"]["ename"]),
-                "evalue": F.when(failed, parsed["output"]["evalue"]),
-                "trace": F.when(failed, parsed["output"]["stackTrace"]),
-            }
+        replies.select(*kept, statement_fields(F.col(reply)).alias("statement_id", "state", "output"))
+        .withColumn("outcome", statement_outcome(F.col("statement_id"), F.col("state"), output))
+        .select(
+            *kept,
+            "statement_id",
+            "state",
+            "outcome",
+            F.when(succeeded, statement_text(output)).alias("text"),
+            F.when(failed, output["ename"]).alias("ename"),
+            F.when(failed, output["evalue"]).alias("evalue"),
+            F.when(failed, output["stackTrace"]).alias("trace"),
         )
-        .drop("__parsed", reply)
     )
 
 
 def decode_sessions(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Replaces the JSON column by the columns of a session snapshot."""
-    parsed = F.col("__parsed")
-    return (
-        replies.withColumn("__parsed", parse_session(F.col(reply)))
-        .withColumns(
-            {
-                "session_id": parsed["id"],
-                "app_id": parsed["appId"],
-                "state": parsed["state"],
-                "driver_log_url": parsed["appInfo"]["driverLogUrl"],
-                "spark_ui_url": parsed["appInfo"]["sparkUiUrl"],
-                "log": parsed["log"],
-            }
-        )
-        .drop("__parsed", reply)
+    kept = [c for c in replies.columns if c != reply]
+    fields = session_fields(F.col(reply)).alias("session_id", "app_id", "state", "app_info", "log")
+    return replies.select(*kept, fields).select(
+        *kept,
+        "session_id",
+        "app_id",
+        "state",
+        F.col("app_info.driverLogUrl").alias("driver_log_url"),
+        F.col("app_info.sparkUiUrl").alias("spark_ui_url"),
+        "log",
     )
 
 
