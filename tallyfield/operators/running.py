@@ -60,7 +60,7 @@ def running_total(
     done = both.withColumn(out, F.sum(value).over(inside))
     if total:
         done = done.withColumn(total, F.first(total, ignorenulls=True).over(inside))
-    return done.where(~F.col(opener)).drop(block, opener)
+    return done.where(~F.col(opener)).select(*cells.columns, out, *([total] if total else []))
 
 
 def running_peak(

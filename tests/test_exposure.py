@@ -1,0 +1,165 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyfield.functions.exposure import coverage_sum, exposure_bin, register_functions
+from tallyfield.operators.exposure import (
+    SITE_KEYS,
+    exposure_bin_steps,
+    exposure_bins,
+    max_exposure,
+    peek,
+)
+from tallyfield.operators.joins import attach_over, attach_totals, join_views
+from tallyfield.session import analysis_session, scratch_path
+from tallyfield.sources.features import EXPOSURE_VIEW, LOSS_VIEW, load_feature, register
+from tallyfield.sources.views import chain, run_sql
+from tests.plans import executed_plan
+
+SCHEMA = (
+    "portfolio_id long, site_id long, cov1val double, cov2val double, cov3val double, "
+    "cov4val double"
+)
+LOW, HIGH, COUNT = 150.0, 3990682000.0, 99
+
+
+@pytest.fixture(scope="module")
+def exposure(spark):
+    rows = [
+        (1, 1, 100.0, 50.0, 0.0, 0.0),  # exactly the low bound
+        (1, 2, 100.0, 49.99, 0.0, 0.0),  # below it
+        (1, 3, HIGH, 0.0, 0.0, 0.0),  # exactly the high bound
+        (1, 4, HIGH, -0.01, 0.0, 0.0),  # just below it
+        (1, 5, -1.0, 0.0, 0.0, 0.0),
+        (1, 6, None, 1.0, 1.0, 1.0),  # no sum at all
+        (1, 7, None, 1.0, 1.0, 1.0),  # one sum beside a missing one
+        (1, 7, 1000.0, 1.0, 1.0, 1.0),
+        (1, 8, float("nan"), 1.0, 1.0, 1.0),
+        (2, 1, 5.0, 5.0, 5.0, 5.0),
+        (None, 1, 200.0, 0.0, 0.0, 0.0),
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_edges(exposure):
+    got = {(r.portfolio_id, r.site_id): (r.max_10, r.BIN) for r in exposure_bins(exposure).collect()}
+    assert got[1, 1] == (150.0, 1)
+    assert got[1, 2][1] == 0
+    assert got[1, 3] == (HIGH, 100)
+    assert got[1, 4][1] == 99
+    assert got[1, 5] == (-1.0, 0)
+    assert got[1, 6] == (None, None)
+    assert got[1, 7] == (1003.0, 1)
+    assert math.isnan(got[1, 8][0]) and got[1, 8][1] is None
+    assert got[2, 1] == (20.0, 0)
+    assert got[None, 1] == (200.0, 1)
+
+
+@pytest.mark.parametrize(
+    ("value", "low", "high", "count", "expected"),
+    [
+        (math.inf, LOW, HIGH, 99, 100),
+        (1.0, 10.0, 0.0, 5, 5),  # bounds turned round
+        (1.0, 0.0, 10.0, 0, None),
+        (1.0, 3.0, 3.0, 5, None),
+    ],
+)
+def test_bin_edges(spark, value, low, high, count, expected):
+    row = spark.range(1).select(exposure_bin(F.lit(value), low, high, count).alias("b")).first()
+    assert row.b == expected
+
+
+def test_coverage_sum_adds_left_to_right(spark):
+    row = (0.1, 0.2, 0.3, 1e16)
+    df = spark.createDataFrame([row], "cov1val double, cov2val double, cov3val double, cov4val double")
+    assert df.select(coverage_sum().alias("s")).first().s == ((0.1 + 0.2) + 0.3) + 1e16
+
+
+def test_sql_equals_dataframe(spark, exposure):
+    register_functions(spark)
+    register(exposure.where("cov1val <> 'NaN'"), EXPOSURE_VIEW)
+    by_sql = chain(spark, exposure_bin_steps())
+    by_df = exposure_bins(spark.table(EXPOSURE_VIEW))
+    assert by_sql.columns == by_df.columns
+    assert sorted(by_sql.collect(), key=repr) == sorted(by_df.collect(), key=repr)
+    assert spark.table("myview1").count() == by_df.count()
+
+
+def test_sql_function_is_inlined(spark, exposure):
+    register_functions(spark)
+    df = run_sql(spark, "SELECT WIDTH_BUCKET_1(cov1val, 0, 10, 5) AS b FROM e", {"e": exposure})
+    assert "width_bucket(" in executed_plan(df)
+    assert "Python" not in executed_plan(df)
+
+
+def test_chain_needs_a_step(spark):
+    with pytest.raises(ValueError):
+        chain(spark, [])
+
+
+def test_one_shuffle_and_six_columns(spark):
+    columns = {c: c for c in ("l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")}
+    df = load_feature(spark, "/root/testdata/sf0.001/lineitem.parquet", columns=columns)
+    plan = executed_plan(exposure_bins(df, ["l_suppkey", "l_partkey"], ["l_quantity", "l_extendedprice"]))
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "partial_max" in plan
+    read = plan[plan.index("ReadSchema") :]
+    assert "l_quantity" in read and "l_shipdate" not in read
+
+
+def test_features_of_one_table(spark, exposure):
+    path = scratch_path(spark, "features")
+    both = exposure.withColumn("feature", F.when(F.col("portfolio_id") == 1, "a").otherwise("b"))
+    both.write.partitionBy("feature").parquet(path)
+    loaded = load_feature(spark, path, "b", columns={"site": "site_id"}, feature_column="feature")
+    assert loaded.columns == ["site"]
+    assert loaded.count() == 2
+    assert "PartitionFilters: [isnotnull(feature" in executed_plan(loaded)
+
+
+def test_scratch_path_is_new_each_time(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert one != two and one.startswith(base)
+
+
+def test_peek_keeps_only_the_first_rows(exposure):
+    df = peek(max_exposure(exposure), SITE_KEYS, 2)
+    assert [(r.portfolio_id, r.site_id) for r in df.collect()] == [(None, 1), (1, 1)]
+    assert "TakeOrderedAndProject" in executed_plan(df)
+
+
+@pytest.mark.parametrize(("limit", "join"), [(200 << 20, "BroadcastHashJoin"), (-1, "SortMergeJoin")])
+def test_broadcast_only_within_the_limit(spark, limit, join):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    session = analysis_session(spark, limit)
+    columns = {"site_id": "l_partkey", "cov2val": "l_extendedprice"}
+    folder = "/root/testdata/sf0.001"
+    register(load_feature(session, f"{folder}/lineitem.parquet", columns=columns), EXPOSURE_VIEW)
+    columns = {"site_id": "p_partkey", "loss": "p_retailprice"}
+    register(load_feature(session, f"{folder}/part.parquet", columns=columns), LOSS_VIEW)
+    df = join_views(session, EXPOSURE_VIEW, LOSS_VIEW, "site_id")
+    assert df.count() == 6000
+    assert join in executed_plan(df)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_attach_totals(exposure):
+    df = attach_totals(
+        exposure.select("site_id"), exposure, top=F.max("site_id"), rows=F.count(F.lit(1))
+    )
+    assert {(r.top, r.rows) for r in df.collect()} == {(8, 11)}
+    plan = executed_plan(df)
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_attach_over(spark):
+    rows = [(None, 1), (None, 2), ("a", 3), ("a", 4), ("a", 5)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    spread = F.pmod("v", F.lit(2))
+    got = attach_over(df, ["k"], spread, total=(F.sum, "v"), low=(F.min, "v"), top=(F.max, "v"))
+    assert got.columns == ["k", "v", "total", "low", "top"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+        [(None, 1, 3, 1, 2), (None, 2, 3, 1, 2)] + [("a", v, 12, 3, 5) for v in (3, 4, 5)], key=repr
+    )
