@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The fields of the two JSON documents, and the reply kinds of a statement.
+# The fields of the three JSON documents, and the reply kinds of a statement.
 STATEMENT_SCHEMA = (
     "id BIGINT, state STRING, output STRUCT<status: STRING, data: MAP<STRING, STRING>, "
     "ename: STRING, evalue: STRING, stackTrace: ARRAY<STRING>>"
@@ -14,6 +14,7 @@ SESSION_SCHEMA = (
     "id BIGINT, appId STRING, state STRING, "
     "appInfo STRUCT<driverLogUrl: STRING, sparkUiUrl: STRING>, log ARRAY<STRING>"
 )
+SESSION_LIST_SCHEMA = f"`from` INT, total INT, sessions ARRAY<STRUCT<{SESSION_SCHEMA}>>"
 FINISHED_STATE = "available"
 TEXT_KIND = "text/plain"
 TABLE_KIND = "application/vnd.livy.table.v1+json"
@@ -33,6 +34,11 @@ def session_fields(reply: Column) -> Column:
     return F.inline(F.array(F.from_json(reply, SESSION_SCHEMA)))
 
 
+def listed_sessions(reply: Column) -> Column:
+    """The place, from 0, and the fields of each session in a JSON session list."""
+    return F.posexplode(F.from_json(reply, SESSION_LIST_SCHEMA)["sessions"])
+
+
 def statement_outcome(statement_id: Column, state: Column, output: Column) -> Column:
     """``ok``, ``error``, ``pending`` (not finished) or ``invalid`` (not a reply that can be read)."""
     status = output["status"]

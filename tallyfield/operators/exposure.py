@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.functions.exposure import (
@@ -15,8 +15,10 @@ from tallyfield.functions.exposure import (
     COVERAGES,
     coverage_sum,
     exposure_bin,
+    register_functions,
 )
-from tallyfield.sources.features import EXPOSURE_VIEW
+from tallyfield.sources.features import EXPOSURE_VIEW, LOSS_VIEW, register
+from tallyfield.sources.views import chain
 
 SITE_KEYS = ("portfolio_id", "site_id")
 
@@ -63,6 +65,25 @@ def exposure_bin_steps(
     ]
 
 
+def prepare_views(
+    session: SparkSession,
+    exposure: DataFrame,
+    loss: DataFrame,
+    low: float = BIN_LOW,
+    high: float = BIN_HIGH,
+    count: int = BIN_COUNT,
+) -> DataFrame:
+    """Make a session ready for analysts' SQL; return the bins.
+
+    Registers the bin function, both feature views, and the two result views. Nothing runs
+    until a statement asks for rows.
+    """
+    register_functions(session)
+    register(exposure, EXPOSURE_VIEW)
+    register(loss, LOSS_VIEW)
+    return chain(session, exposure_bin_steps(low, high, count))
+
+
 def peek(df: DataFrame, order: Sequence[str], n: int = 1) -> DataFrame:
     """The first ``n`` rows by ``order``; each task keeps only its own first ``n``."""
     return df.orderBy(*order).limit(n)

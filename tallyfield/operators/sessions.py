@@ -82,10 +82,15 @@ def active_session_lists(
         F.floor((F.col("rank") - 1) / page_ids).cast("bigint").alias("page"),
         entry.alias("__entry"),
     )
-    # collect_list skips the null entry that keeps each group present.
-    every_group = sessions.select(*keys).distinct().withColumn("page", F.lit(0).cast("bigint"))
+    # A group with no active session takes part with one null entry, which collect_list skips.
+    idle_groups = (
+        sessions.groupBy(*keys)
+        .agg(F.count(F.when(is_active(state), 1)).alias("__active"))
+        .where(F.col("__active") == 0)
+        .select(*keys, F.lit(0).cast("bigint").alias("page"))
+    )
     return (
-        paged.unionByName(every_group, allowMissingColumns=True)
+        paged.unionByName(idle_groups, allowMissingColumns=True)
         .groupBy(*keys, "page")
         .agg(F.sort_array(F.collect_list("__entry")).alias("__entries"))
         .select(*keys, "page", F.col("__entries.session_id").alias("ids"))

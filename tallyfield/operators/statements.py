@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.decoding import (
+    listed_sessions,
     session_fields,
     statement_fields,
     statement_outcome,
@@ -35,19 +36,29 @@ def decode_statements(replies: DataFrame, reply: str = "reply") -> DataFrame:
     )
 
 
+def _snapshot(session: str) -> list[Column]:
+    fields = {
+        "session_id": "id",
+        "app_id": "appId",
+        "state": "state",
+        "driver_log_url": "appInfo.driverLogUrl",
+        "spark_ui_url": "appInfo.sparkUiUrl",
+        "log": "log",
+    }
+    return [F.col(f"{session}{field}").alias(name) for name, field in fields.items()]
+
+
 def decode_sessions(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Replaces the JSON column by the columns of a session snapshot."""
     kept = [c for c in replies.columns if c != reply]
-    fields = session_fields(F.col(reply)).alias("session_id", "app_id", "state", "app_info", "log")
-    return replies.select(*kept, fields).select(
-        *kept,
-        "session_id",
-        "app_id",
-        "state",
-        F.col("app_info.driverLogUrl").alias("driver_log_url"),
-        F.col("app_info.sparkUiUrl").alias("spark_ui_url"),
-        "log",
-    )
+    return replies.select(*kept, session_fields(F.col(reply))).select(*kept, *_snapshot(""))
+
+
+def decode_session_lists(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """One row per session of each JSON session list, with its place in the list from 0."""
+    kept = [c for c in replies.columns if c != reply]
+    listed = replies.select(*kept, listed_sessions(F.col(reply)).alias("position", "__session"))
+    return listed.select(*kept, "position", *_snapshot("__session."))
 
 
 def result_match(decoded: DataFrame, pattern: str) -> DataFrame:

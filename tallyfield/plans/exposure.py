@@ -11,7 +11,7 @@ from tallyfield.operators.joins import attach_totals, join_views
 from tallyfield.plans import inputs
 from tallyfield.session import analysis_session
 from tallyfield.sources.features import EXPOSURE_VIEW, LOSS_VIEW, register
-from tallyfield.sources.views import chain, run_sql
+from tallyfield.sources.views import run_sql
 
 # Bounds that spread the given tables over all bins.
 LOW, HIGH, BINS = 1000, 90000, 99
@@ -27,9 +27,8 @@ def view_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def view_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_functions(spark)
-    register(inputs.exposure(spark, sf_dir), EXPOSURE_VIEW)
-    return chain(spark, ops.exposure_bin_steps(LOW, HIGH, BINS))
+    exposure, loss = inputs.exposure(spark, sf_dir), inputs.loss(spark, sf_dir)
+    return ops.prepare_views(spark, exposure, loss, LOW, HIGH, BINS)
 
 
 def sql_statement(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,8 +136,8 @@ def statement_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", reply.alias("reply"))
 
 
-def session_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as JSON session snapshots, finished ones without an application."""
+def _session_json() -> Column:
+    """An order as a JSON session snapshot; a finished one has no application."""
     status = F.col("o_orderstatus")
     app = F.when(
         status != "P",
@@ -149,7 +149,7 @@ def session_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
             '"},',
         ),
     ).otherwise("")
-    reply = _json(
+    return _json(
         '{"id":',
         F.col("o_orderkey"),
         ',"kind":"spark",',
@@ -160,7 +160,18 @@ def session_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority"),
         '"]}',
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", reply.alias("reply"))
+
+
+def session_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", _session_json().alias("reply"))
+
+
+def session_list_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a list of two sessions: itself and a running one of its customer."""
+    running = _json('{"id":', F.col("o_custkey"), ',"state":"running"}')
+    listing = _json('{"from":0,"total":2,"sessions":[', _session_json(), ",", running, "]}")
+    return table(spark, sf_dir, "orders").select("o_orderkey", listing.alias("reply"))
 
 
 def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

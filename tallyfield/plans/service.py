@@ -12,6 +12,7 @@ from tallyfield.operators import statements
 from tallyfield.plans import inputs
 
 TEXT_PATTERN = ".*on.*"
+RESULT_PATTERN = "user 1.*"
 EVALUE_PATTERN = "step [1-4]."
 TRACE_PATTERN = "at step .*for user 1.*"
 
@@ -48,6 +49,16 @@ def error_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(matched.select("event_id", "ename", "evalue", "trace"), "trace")
 
 
+def result_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = statements.decode_statements(inputs.statement_replies(spark, sf_dir))
+    return statements.result_match(decoded, RESULT_PATTERN).select("event_id", "text")
+
+
+def session_list_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = statements.decode_session_lists(inputs.session_list_replies(spark, sf_dir))
+    return lists.select("o_orderkey", "position", "session_id", "app_id", "state")
+
+
 def session_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(statements.decode_sessions(inputs.session_replies(spark, sf_dir)), "log")
 
@@ -66,10 +77,12 @@ QUERIES = {
     "active_session_list": active_session_list,
     "regex_full_match": regex_full_match,
     "error_match": error_match,
+    "result_match": result_match,
     "statement_time_by_session": statement_time_by_session,
     "try_parse_date": try_parse_date,
     "statement_decode": statement_decode,
     "session_decode": session_decode,
+    "session_list_decode": session_list_decode,
 }
 
 _STEP = "regexp_extract(props, '([0-9]+)', 1)"
@@ -109,6 +122,20 @@ ORACLES = {
         f"regexp_full_match('step ' || {_STEP}, '{EVALUE_PATTERN}', 's') AND "
         f"regexp_full_match({_TRACE}, '{TRACE_PATTERN}', 's')"
     ),
+    "result_match": (
+        "SELECT event_id, 'user ' || user_id AS text FROM events WHERE event_type = 'click' "
+        f"AND regexp_full_match('user ' || user_id, '{RESULT_PATTERN}', 's')"
+    ),
+    "session_list_decode": """
+        SELECT o_orderkey, CAST(0 AS INTEGER) AS position, o_orderkey AS session_id,
+               CASE WHEN o_orderstatus <> 'P' THEN 'app_' || o_custkey END AS app_id,
+               CASE o_orderstatus WHEN 'F' THEN 'idle' WHEN 'O' THEN 'starting' ELSE 'dead' END
+                 AS state
+        FROM orders
+        UNION ALL
+        SELECT o_orderkey, CAST(1 AS INTEGER), o_custkey, CAST(NULL AS VARCHAR), 'running'
+        FROM orders
+    """,
     "statement_time_by_session": """
         WITH log AS (
           SELECT user_id AS session_id, CAST(floor(value * 10) AS BIGINT) * 1000000 AS taken

@@ -10,6 +10,7 @@ from tallyfield.operators.exposure import (
     exposure_bins,
     max_exposure,
     peek,
+    prepare_views,
 )
 from tallyfield.operators.joins import attach_over, attach_totals, join_views
 from tallyfield.session import analysis_session, scratch_path
@@ -86,6 +87,14 @@ def test_sql_equals_dataframe(spark, exposure):
     assert spark.table("myview1").count() == by_df.count()
 
 
+def test_prepared_session_answers_statements(spark, exposure):
+    session = analysis_session(spark)
+    rows = session.createDataFrame(exposure.collect(), SCHEMA)
+    prepare_views(session, rows, session.createDataFrame([(1, 2.0)], "site_id long, loss double"))
+    assert run_sql(session, "SELECT count(*) AS n FROM myview1 WHERE BIN = 0").first().n == 3
+    assert run_sql(session, "SELECT loss FROM sitelossanalyzevent").first().loss == 2.0
+
+
 def test_sql_function_is_inlined(spark, exposure):
     register_functions(spark)
     df = run_sql(spark, "SELECT WIDTH_BUCKET_1(cov1val, 0, 10, 5) AS b FROM e", {"e": exposure})

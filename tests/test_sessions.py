@@ -8,6 +8,7 @@ from tallyfield.operators.sessions import (
     active_sessions,
     first_active,
 )
+from tallyfield.operators.statements import decode_session_lists
 
 SCHEMA = "cluster string, position long, id long, state string"
 
@@ -42,6 +43,22 @@ def test_lists(sessions):
     assert got == {("a", 0): [13, 12, 14], ("b", 0): [], (None, 0): [31]}
 
 
+def test_listed_sessions_keep_their_place(spark):
+    listing = (
+        '{"from":0,"total":3,"sessions":[{"id":5,"state":"dead"},{"id":9,"state":"Idle","x":1},'
+        '{"id":7,"state":"running"}]}'
+    )
+    rows = [("a", listing), ("b", '{"from":0,"total":0,"sessions":[]}'), ("c", "oops")]
+    df = decode_session_lists(spark.createDataFrame(rows, "cluster string, reply string"))
+    assert [(r.cluster, r.position, r.session_id) for r in df.collect()] == [
+        ("a", 0, 5), ("a", 1, 9), ("a", 2, 7)
+    ]
+    first = first_active(df, ["cluster"], session_id="session_id").collect()
+    assert [r.first_active_id for r in first] == [9]
+    lists = active_session_lists(df, ["cluster"], session_id="session_id").collect()
+    assert [r.ids for r in lists] == [[7, 9]]
+
+
 def test_lists_without_a_group_key(sessions):
     one = sessions.where("cluster = 'a'")
     assert [r.first_active_id for r in first_active(one, []).collect()] == [14]

@@ -123,6 +123,11 @@ def test_full_match(spark, text, pattern, expected):
         ("x", None),
         ("", None),
         (None, None),
+        ("2017-1-5", None),
+        (" 2017-01-05", None),
+        ("2017-01-05\n", None),
+        ("2017-02-29", None),
+        ("2016-02-29", datetime.date(2016, 2, 29)),
     ],
 )
 def test_dates(spark, text, expected):
@@ -130,6 +135,12 @@ def test_dates(spark, text, expected):
     assert df.select(try_date(F.col("t")).alias("d")).first().d == expected
 
 
+def test_other_date_pattern(spark):
+    df = spark.createDataFrame([("05/01/2017",), ("2017-01-05",)], "t string")
+    got = [r.d for r in df.select(try_date(F.col("t"), "dd/MM/yyyy").alias("d")).collect()]
+    assert got == [datetime.date(2017, 1, 5), None]
+
+
 def test_statement_times(spark):
     rows = [(1, 0, 2_000_000_000), (1, 0, 1_000_000_000), (2, 5, None)]
     log = spark.createDataFrame(rows, "session_id int, start_ns long, end_ns long")
