@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators.joins import attach_over
 from tallyfield.operators.running import BLOCK_BITS, running_total
+from tallyfield.session import written
 
 # Status marks, time limits of a server request and of a statement, indicator
 # bounds, percentiles, histogram cell, points per series, and the two service goals.
@@ -29,6 +30,9 @@ GOAL_MAX_MS = 50
 GOAL_PERCENT = 95
 ALL = "all"
 
+# Runs whose bounds may be broadcast: a key and two numbers each, some megabytes in all.
+BROADCAST_RUNS = 50_000
+
 # Parts into which the messages of one key are spread.
 MESSAGE_PARTS = 1024
 
@@ -201,27 +205,35 @@ def rt_series(
     max_points: int = MAX_POINTS,
     run: str = "run_id",
     series: Sequence[str] = ("name",),
+    broadcast_runs: int = BROADCAST_RUNS,
 ) -> DataFrame:
     """Requests over each run, its span cut into at most ``max_points`` equal steps.
 
-    Rows are first counted per start time. The run's bounds then reach them by time block, so
-    a hot run is spread over as many tasks as it has blocks.
+    The bounds of the runs are found and written first. Up to ``broadcast_runs`` of them are
+    sent to the log, whose rows then need no shuffle before they are counted. More are joined
+    to counts per start time, by time block, so that a hot run is spread over many tasks.
     """
-    counts = (
-        log.where(F.col("start_ms").isNotNull())
-        .groupBy(run, *series, "start_ms")
-        .agg(F.count(F.lit(1)).alias("__n"), _count_if(_failed()).alias("__ko"))
-    )
-    placed = attach_over(
-        counts,
-        [run],
-        F.shiftright("start_ms", BLOCK_BITS),
-        __first=(F.min, "start_ms"),
-        __last=(F.max, "start_ms"),
-    )
+    started = log.where(F.col("start_ms").isNotNull())
+    first, last = F.min("start_ms").alias("__first"), F.max("start_ms").alias("__last")
+    bounds = written(started.groupBy(F.col(run).alias("__run")).agg(first, last), "bounds")
     point = F.expr(f"(start_ms - __first) * {int(max_points)} div (__last - __first + 1)")
+    if bounds.count() <= broadcast_runs:
+        placed = started.join(F.broadcast(bounds), F.col(run).eqNullSafe(F.col("__run")))
+        requests, failed = F.count(F.lit(1)), _count_if(_failed())
+    else:
+        counts = started.groupBy(run, *series, "start_ms").agg(
+            F.count(F.lit(1)).alias("__n"), _count_if(_failed()).alias("__ko")
+        )
+        placed = attach_over(
+            counts,
+            [run],
+            F.shiftright("start_ms", BLOCK_BITS),
+            __first=(F.min, "start_ms"),
+            __last=(F.max, "start_ms"),
+        )
+        requests, failed = F.sum("__n"), F.sum("__ko")
     return placed.groupBy(run, *series, point.alias("point")).agg(
-        F.sum("__n").alias("requests"), F.sum("__ko").alias("failed")
+        requests.alias("requests"), failed.alias("failed")
     )
 
 

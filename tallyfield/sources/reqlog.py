@@ -19,13 +19,19 @@ GROUP_SCHEMA = (
 )
 
 
-def write_reqlog(log: DataFrame, path: str) -> None:
+def write_reqlog(log: DataFrame, path: str, replace_runs: bool = False) -> None:
     """Append request records under one folder per run.
 
     The rebalance gathers each run into few files, and adaptive execution splits a run too
-    large for one task.
+    large for one task. With ``replace_runs`` the runs in ``log`` take the place of what is
+    there, so that a job started over does not add its records twice.
     """
-    log.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").parquet(path)
+    writer = log.hint("rebalance", "run_id").write.partitionBy("run_id")
+    if replace_runs:
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = writer.mode("append")
+    writer.parquet(path)
 
 
 def read_reqlog(spark: SparkSession, path: str) -> DataFrame:

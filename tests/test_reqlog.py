@@ -157,8 +157,9 @@ def test_histogram(spark):
     assert {r.cell_ms: r.requests for r in rt_histogram(log).collect()} == {-10: 1, 0: 2, 10: 2, 20: 1}
 
 
+@pytest.mark.parametrize("broadcast_runs", [0, 100])
 @pytest.mark.parametrize("points", [1, 7, 1000])
-def test_series(spark, skewed, points):
+def test_series(spark, skewed, points, broadcast_runs):
     bounds = {}
     for r in skewed:
         low, high = bounds.get(r[1], (r[5], r[5]))
@@ -169,7 +170,9 @@ def test_series(spark, skewed, points):
         key = (r[1], r[4], (r[5] - low) * points // (high - low + 1))
         n, ko = want.get(key, (0, 0))
         want[key] = (n + 1, ko + (r[7] == "KO"))
-    got = rt_series(log_of(spark, *skewed), points).collect()
+    df = rt_series(log_of(spark, *skewed), points, broadcast_runs=broadcast_runs)
+    assert ("BroadcastHashJoin" in executed_plan(df)) == (broadcast_runs > 0)
+    got = df.collect()
     assert {(r.run_id, r.name, r.point): (r.requests, r.failed) for r in got} == want
     assert max(r.point for r in got) < points
 
@@ -199,7 +202,10 @@ def test_sink_appends_and_prunes(spark):
     )
     one = back.where("run_id = '2024-01-01'")
     assert one.count() == 4
-    assert "run_id#" in (plan := executed_plan(one)) and "PartitionFilters: [isnotnull(run_id" in plan
+    assert "PartitionFilters: [isnotnull(run_id" in executed_plan(one)
+    write_reqlog(log_of(spark, *second), path, replace_runs=True)
+    assert back.where("run_id <> '2024-01-01'").count() == 6
+    assert [r.id for r in read_reqlog(spark, path).where("run_id = '2024-01-01'").collect()] == [100]
 
 
 def test_sink_splits_a_hot_run(spark):
