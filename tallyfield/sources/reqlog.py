@@ -20,7 +20,7 @@ GROUP_SCHEMA = (
 
 
 def write_reqlog(log: DataFrame, path: str, replace_runs: bool = False) -> None:
-    """Append request records under one folder per run.
+    """Append records of any of the kinds above under one folder per run.
 
     The rebalance gathers each run into few files, and adaptive execution splits a run too
     large for one task. With ``replace_runs`` the runs in ``log`` take the place of what is
@@ -34,6 +34,16 @@ def write_reqlog(log: DataFrame, path: str, replace_runs: bool = False) -> None:
     writer.parquet(path)
 
 
-def read_reqlog(spark: SparkSession, path: str) -> DataFrame:
-    """Read request records. A filter on run_id skips the folders of other runs."""
-    return spark.read.schema(REQUEST_SCHEMA).parquet(path)
+def read_reqlog(spark: SparkSession, path: str, schema: str = REQUEST_SCHEMA) -> DataFrame:
+    """Read records. A filter on run_id skips the folders of other runs."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def stream_reqlog(
+    spark: SparkSession, path: str, schema: str = REQUEST_SCHEMA, files_per_batch: int | None = None
+) -> DataFrame:
+    """Records as a stream that follows the folder; a batch takes all new files by default."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)

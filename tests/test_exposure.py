@@ -127,6 +127,49 @@ def test_features_of_one_table(spark, exposure):
     assert "PartitionFilters: [isnotnull(feature" in executed_plan(loaded)
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
+def test_formats(spark, exposure, fmt):
+    path = scratch_path(spark, fmt)
+    rows = exposure.where("site_id = 3")
+    rows.write.format(fmt).option("header", True).save(path)
+    options = {"header": "true", "inferSchema": "true"} if fmt == "csv" else {}
+    loaded = load_feature(spark, path, EXPOSURE_VIEW, fmt, **options)
+    assert exposure_bins(loaded).select("max_10", "BIN").collect() == [(HIGH, 100)]
+
+
+def test_other_columns_are_carried(spark):
+    path = scratch_path(spark, "geom")
+    spark.createDataFrame([(1, bytearray(b"\x01\x02"))], "site_id long, geom binary").write.parquet(path)
+    assert bytes(load_feature(spark, path).first().geom) == b"\x01\x02"
+
+
+@pytest.mark.parametrize(("low", "high", "count"), [(1000, 90000, 99), (150, 3990682000, 99), (0, 5, 3)])
+def test_every_group_has_one_bin(spark, low, high, count):
+    table = load_feature(spark, "/root/testdata/sf0.001/lineitem.parquet")
+    bins = exposure_bins(
+        table, ["l_suppkey", "l_partkey"], ["l_quantity", "l_extendedprice"], low, high, count
+    )
+    sizes = {r.BIN: r["count"] for r in bins.groupBy("BIN").count().collect()}
+    assert set(sizes) <= set(range(count + 2))
+    assert sum(sizes.values()) == table.select("l_suppkey", "l_partkey").distinct().count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """Only a local session may fall back to a folder of its own machine."""
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Session, "x")
+    Session.sparkContext.master = "local[2]"
+    assert scratch_path(Session, "x") != scratch_path(Session, "x")
+
+
 def test_scratch_path_is_new_each_time(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     one, two = scratch_path(spark, "x"), scratch_path(spark, "x")

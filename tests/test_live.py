@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tallyfield.session import scratch_path
-from tallyfield.sources.reqlog import REQUEST_SCHEMA
+from tallyfield.sources.reqlog import REQUEST_SCHEMA, read_reqlog, stream_reqlog, write_reqlog
 from tallyfield.streaming.live import append_metrics, live_metrics, read_updates, update_metrics
 
 
@@ -26,10 +26,9 @@ def source(spark):
         spark.createDataFrame(rows, REQUEST_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
 
     def stream(files=None):
-        reader = spark.readStream.schema(REQUEST_SCHEMA)
-        return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
+        return stream_reqlog(spark, folder, files_per_batch=files)
 
-    return add, stream, lambda: spark.read.schema(REQUEST_SCHEMA).parquet(folder)
+    return add, stream, lambda: read_reqlog(spark, folder)
 
 
 def rows_of(df):
@@ -95,3 +94,13 @@ def test_all_row_is_the_sum_of_the_names(spark, source):
         part = sums.setdefault(window, {"all": 0, "named": 0})
         part["all" if name == "all" else "named"] += requests
     assert all(p["all"] == p["named"] for p in sums.values())
+
+
+def test_stream_over_the_sink(spark):
+    """The sink's run folders are a source of the stream."""
+    path = scratch_path(spark, "sink-stream")
+    log = spark.createDataFrame(records(6, 50, 0, 4_000), REQUEST_SCHEMA)
+    write_reqlog(log, f"{path}/log")
+    stream = live_metrics(stream_reqlog(spark, f"{path}/log"))
+    update_metrics(stream, f"{path}/m", f"{path}/c").awaitTermination()
+    assert rows_of(read_updates(spark, f"{path}/m")) == rows_of(live_metrics(log))

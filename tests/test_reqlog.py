@@ -20,7 +20,14 @@ from tallyfield.operators.reqlog import (
     timed_out,
 )
 from tallyfield.session import scratch_path
-from tallyfield.sources.reqlog import GROUP_SCHEMA, REQUEST_SCHEMA, read_reqlog, write_reqlog
+from tallyfield.sources.reqlog import (
+    GROUP_SCHEMA,
+    REQUEST_SCHEMA,
+    RUN_SCHEMA,
+    SCENARIO_SCHEMA,
+    read_reqlog,
+    write_reqlog,
+)
 from tests.plans import executed_plan
 
 
@@ -208,6 +215,17 @@ def test_sink_appends_and_prunes(spark):
     assert [r.id for r in read_reqlog(spark, path).where("run_id = '2024-01-01'").collect()] == [100]
 
 
+@pytest.mark.parametrize("schema", [RUN_SCHEMA, SCENARIO_SCHEMA, GROUP_SCHEMA])
+def test_sink_takes_the_other_records(spark, schema):
+    path = scratch_path(spark, "records")
+    empty = spark.createDataFrame([], schema)
+    row = ["x" if f.dataType.simpleString() == "string" else None for f in empty.schema]
+    records = spark.createDataFrame([tuple(row)], schema)
+    write_reqlog(records, path)
+    back = read_reqlog(spark, path, schema)
+    assert back.select(*records.columns).collect() == records.collect()
+
+
 def test_sink_splits_a_hot_run(spark):
     """A run too large for one task is written by several."""
     path = scratch_path(spark, "hot")

@@ -43,6 +43,14 @@ def test_running_peak(spark, bits, levels, keyed):
     assert {(r.k if keyed else "a"): r.top for r in got} == tops
 
 
+def test_no_keys(spark):
+    rows = [(a, v) for _, a, v in cells(11, keys=("a",))]
+    df = spark.createDataFrame(rows, "at long, v long")
+    got = running_total(df, [], "at", "v", "upto", total="whole", bits=3, levels=2)
+    want = [r[1:] for r in expected_totals([("a", *r) for r in rows])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_other_columns_stay(spark):
     df = spark.createDataFrame([("a", 1, 2, "x"), ("a", 9, 3, "y")], "k string, at long, v long, c string")
     got = running_total(df, ["k"], "at", "v", "upto", bits=2).orderBy("at").collect()
