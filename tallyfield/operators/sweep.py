@@ -32,16 +32,22 @@ def open_changes(
     )
 
 
+def _levels(keys: Sequence[str]) -> int:
+    """With no key the top level is one task; a second cut bounds it for any bigint instants."""
+    return 1 if keys else 2
+
+
 def open_requests(
     spans: DataFrame,
     keys: Sequence[str] = ("run_id",),
     start: str = "start_ms",
     end: str = "end_ms",
     bits: int = BLOCK_BITS,
-    levels: int = 1,
+    levels: int | None = None,
 ) -> DataFrame:
     """Open spans after each instant at which one starts or ends."""
     changes = open_changes(spans, keys, start, end)
+    levels = levels or _levels(keys)
     done = running_total(changes, keys, "at_ms", "change", "open", bits=bits, levels=levels)
     return done.select(*keys, "at_ms", "change", "open")
 
@@ -52,8 +58,9 @@ def max_open(
     start: str = "start_ms",
     end: str = "end_ms",
     bits: int = BLOCK_BITS,
-    levels: int = 1,
+    levels: int | None = None,
 ) -> DataFrame:
     """The largest number of spans open at once, per key or, with no keys, overall."""
     changes = open_changes(spans, keys, start, end)
+    levels = levels or _levels(keys)
     return running_peak(changes, keys, "at_ms", "change", "max_open", bits, levels)

@@ -56,7 +56,8 @@ def update_metrics(
     """Write the intervals that each batch changed to that batch's folder under ``path``.
 
     A batch run again after a failure overwrites its own folder. With no ``every``, the
-    stream reads what is there and stops.
+    stream reads what is there and stops. A stream that runs for long should rather use
+    ``append_metrics``, which writes each interval once.
     """
 
     def write_batch(changed: DataFrame, batch: int) -> None:
