@@ -83,9 +83,10 @@ def active_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = live.update_session(spark)
     schema = inputs.table(spark, sf_dir, "events").schema
     # A stream takes a folder or a pattern; this pattern fits the table as one file or a folder.
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    events = session.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     path = scratch_path(spark, "live")
     metrics = live.live_metrics(inputs.as_request_log(events))
     live.update_metrics(metrics, f"{path}/metrics", f"{path}/checkpoint").awaitTermination()

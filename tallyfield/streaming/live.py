@@ -7,10 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyfield.operators.reqlog import ALL, KO
+from tallyfield.session import analysis_session
 
 METRICS = ("requests", "failed", "max_ms", "mean_ms")
 _BATCH = "batch"
 
+# State on executor disks, not in their memory; the checkpoint gets what changed. A batch
+# without data would only drop old state, which the next batch with data does as well.
+UPDATE_OPTIONS = {
+    "stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "noDataMicroBatches.enabled": "false",
+}
+
+
+def update_session(spark: SparkSession) -> SparkSession:
+    """A session on the same cluster for streams that end in ``update_metrics``."""
+    session = analysis_session(spark)
+    for key, value in UPDATE_OPTIONS.items():
+        session.conf.set(f"spark.sql.streaming.{key}", value)
+    return session
+
 
 def live_metrics(
     log: DataFrame, interval: str = "1 second", delay: str = "1 minute", at: str = "start_ms"
@@ -78,10 +98,6 @@ def read_updates(spark: SparkSession, path: str) -> DataFrame:
         "window_ms BIGINT, name STRING, requests BIGINT, failed BIGINT, max_ms BIGINT, "
         f"mean_ms DOUBLE, {_BATCH} BIGINT"
     )
-    written = spark.read.schema(schema).parquet(path)
-    newest = F.max_by(F.struct(*METRICS), F.col(_BATCH))
-    return (
-        written.groupBy("window_ms", "name")
-        .agg(newest.alias("__newest"))
-        .select("window_ms", "name", *[F.col(f"__newest.{m}").alias(m) for m in METRICS])
-    )
+    updates = spark.read.schema(schema).parquet(path)
+    newest = [F.max_by(metric, _BATCH).alias(metric) for metric in METRICS]
+    return updates.groupBy("window_ms", "name").agg(*newest)

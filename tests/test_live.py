@@ -4,7 +4,13 @@ import pytest
 
 from tallyfield.session import scratch_path
 from tallyfield.sources.reqlog import REQUEST_SCHEMA, read_reqlog, stream_reqlog, write_reqlog
-from tallyfield.streaming.live import append_metrics, live_metrics, read_updates, update_metrics
+from tallyfield.streaming.live import (
+    append_metrics,
+    live_metrics,
+    read_updates,
+    update_metrics,
+    update_session,
+)
 
 
 def records(seed, n, first, last):
@@ -25,8 +31,8 @@ def source(spark):
     def add(rows):
         spark.createDataFrame(rows, REQUEST_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
 
-    def stream(files=None):
-        return stream_reqlog(spark, folder, files_per_batch=files)
+    def stream(files=None, session=spark):
+        return stream_reqlog(session, folder, files_per_batch=files)
 
     return add, stream, lambda: read_reqlog(spark, folder)
 
@@ -36,22 +42,25 @@ def rows_of(df):
     return sorted(map(tuple, df.select(*columns).collect()))
 
 
-def test_updates_over_several_batches_equal_the_batch_answer(spark, source):
+@pytest.mark.parametrize("on_disk", [True, False])
+def test_updates_over_several_batches_equal_the_batch_answer(spark, source, on_disk):
     add, stream, static = source
     path = scratch_path(spark, "updates")
     for seed in range(3):  # windows get rows from more than one file
         add(records(seed, 120, 0, 20_000))
-    update_metrics(live_metrics(stream(files=1)), f"{path}/m", f"{path}/c").awaitTermination()
+    session = update_session(spark) if on_disk else spark
+    update_metrics(live_metrics(stream(1, session)), f"{path}/m", f"{path}/c").awaitTermination()
     assert len({r.batch for r in spark.read.parquet(f"{path}/m").select("batch").collect()}) >= 3
     assert rows_of(read_updates(spark, f"{path}/m")) == rows_of(live_metrics(static()))
 
 
 def test_a_stopped_stream_goes_on(spark, source):
     add, stream, static = source
-    path = scratch_path(spark, "restart")
+    path, session = scratch_path(spark, "restart"), update_session(spark)
     for seed in range(2):
         add(records(seed, 60, 0, 9_000))
-        update_metrics(live_metrics(stream()), f"{path}/m", f"{path}/c").awaitTermination()
+        metrics = live_metrics(stream(session=session))
+        update_metrics(metrics, f"{path}/m", f"{path}/c").awaitTermination()
     assert rows_of(read_updates(spark, f"{path}/m")) == rows_of(live_metrics(static()))
 
 
