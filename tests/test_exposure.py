@@ -197,6 +197,24 @@ def test_broadcast_only_within_the_limit(spark, limit, join):
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
 
 
+def test_a_hot_site_is_split_in_a_join_beyond_the_limit(spark):
+    session = analysis_session(spark, -1)
+    for key, value in {
+        "advisoryPartitionSizeInBytes": "100KB",
+        "skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "skewJoin.skewedPartitionFactor": "2",
+        "coalescePartitions.minPartitionSize": "1KB",
+    }.items():
+        session.conf.set(f"spark.sql.adaptive.{key}", value)
+    sites = "if(id % 3 = 0, 7, id % 1000)"
+    register(session.range(0, 300_000, 1, 8).selectExpr(f"{sites} AS site_id", "id"), EXPOSURE_VIEW)
+    register(session.range(1000).selectExpr("id AS site_id", "id * 2 AS loss"), LOSS_VIEW)
+    df = join_views(session, EXPOSURE_VIEW, LOSS_VIEW, "site_id")
+    assert df.agg(F.count("loss"), F.sum("id")).first()[:] == (300_000, 300_000 * 299_999 // 2)
+    assert len(df.collect()) == 300_000
+    assert "skew=true" in executed_plan(df)
+
+
 def test_attach_totals(exposure):
     df = attach_totals(
         exposure.select("site_id"), exposure, top=F.max("site_id"), rows=F.count(F.lit(1))

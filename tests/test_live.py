@@ -95,6 +95,20 @@ def test_append_writes_each_closed_window_once(spark, source):
     assert rows_of(spark.read.parquet(f"{path}/m")) == closed
 
 
+def test_rows_behind_the_delay_are_dropped(spark, source):
+    add, stream, static = source
+    path = scratch_path(spark, "late")
+    on_time, later, late = records(1, 30, 0, 9_000), records(2, 30, 60_000, 69_000), records(3, 5, 0, 900)
+    for rows in (on_time, later, late):
+        add(rows)
+        # A batch drops what is behind the watermark that the batches before it reached.
+        metrics = live_metrics(stream(), delay="10 seconds")
+        update_metrics(metrics, f"{path}/m", f"{path}/c").awaitTermination()
+    kept = spark.createDataFrame(on_time + later, REQUEST_SCHEMA)
+    assert rows_of(read_updates(spark, f"{path}/m")) == rows_of(live_metrics(kept))
+    assert rows_of(live_metrics(static())) != rows_of(live_metrics(kept))
+
+
 def test_all_row_is_the_sum_of_the_names(spark, source):
     add, _, static = source
     add(records(2, 100, 0, 5_000))
