@@ -54,8 +54,8 @@ def statement_outcome(statement_id: Column, state: Column, output: Column) -> Co
 def statement_text(output: Column) -> Column:
     """The table JSON if there is one, else the plain text, else the empty text."""
     data = output["data"]
+    plain = F.try_element_at(data, F.lit(TEXT_KIND))
     return F.coalesce(
         F.try_element_at(data, F.lit(TABLE_KIND)),
-        F.try_element_at(data, F.lit(TEXT_KIND)),
-        F.lit(""),
+        F.when(F.map_contains_key(data, TEXT_KIND), plain).otherwise(""),
     )

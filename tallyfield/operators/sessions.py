@@ -49,7 +49,8 @@ def active_positions(
 ) -> DataFrame:
     """One row per active session with its rank in its group, last listed first.
 
-    ``order`` is the bigint place in the listing, unique in its group.
+    ``order`` is the bigint place in the listing, unique in its group. Places may be far apart,
+    such as ids, so blocks are cut twice.
     """
     active = active_sessions(sessions, state).select(
         *keys,
@@ -57,7 +58,7 @@ def active_positions(
         (-F.col(order).cast("bigint")).alias("__from_end"),
         F.lit(1).cast("bigint").alias("__one"),
     )
-    ranked = running_total(active, keys, "__from_end", "__one", "rank", bits=bits)
+    ranked = running_total(active, keys, "__from_end", "__one", "rank", bits=bits, levels=2)
     return ranked.select(*keys, "rank", "session_id")
 
 

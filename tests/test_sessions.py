@@ -82,3 +82,10 @@ def test_hot_group_fills_pages(spark, bits):
     assert got == lists
     ranks = {(r.cluster, r["rank"]): r.session_id for r in active_positions(df, ["cluster"], bits=bits).collect()}
     assert ranks == {(c, n): i for c, ids in lists.items() for n, i in enumerate(ids, 1)}
+
+
+def test_places_may_be_any_bigint(spark):
+    places = [-(2**62), -5, 0, 7, 2**40, 2**62]
+    rows = [("a", at, n, "idle") for n, at in enumerate(places)]
+    got = active_positions(spark.createDataFrame(rows, SCHEMA), ["cluster"]).orderBy("rank").collect()
+    assert [(r["rank"], r.session_id) for r in got] == [(n + 1, 5 - n) for n in range(6)]

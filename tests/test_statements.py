@@ -25,6 +25,8 @@ ERROR = {"status": "error", "ename": "E", "evalue": "bad\nline", "stackTrace": [
 CASES = {
     "text": (reply(status="ok", data={"text/plain": "hello"}), "ok", "hello"),
     "both": (reply(status="ok", data={"text/plain": "x", TABLE_KIND: {"d": [1, 2]}}), "ok", '{"d":[1,2]}'),
+    "no table": (reply(status="ok", data={"text/plain": "x", TABLE_KIND: None}), "ok", "x"),
+    "no text": (reply(status="ok", data={"text/plain": None}), "ok", None),
     "neither": (reply(status="ok", data={}), "ok", ""),
     "no data": (reply(status="ok"), "invalid", None),
     "error": (reply(**ERROR), "error", None),
