@@ -11,6 +11,16 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ORACLES = contract.oracle_sql()
 
 
+DUCK_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+}
+
+
 @pytest.fixture(scope="module")
 def con():
     return duck(SF_DIR)
@@ -25,6 +35,8 @@ def test_query(spark, con, name):
     df = contract.queries()[name](spark, SF_DIR)
     names, expected = duck_rows(con, ORACLES[name])
     assert sorted(df.columns) == names
+    described = con.execute(f"DESCRIBE {ORACLES[name]}").fetchall()
+    assert {c: DUCK_TYPES[t] for c, t in df.dtypes} == {row[0]: row[1] for row in described}
     got = spark_rows(df)
     assert len(got) == len(expected) > 0
     assert got == expected
