@@ -26,26 +26,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfield.llm.bloom import CHUNKS, Filter, OnceTwice, bits_for, merge_once_twice
-from tallyfield.llm.text import BLANKS, fields_and, map_pieces, texts, with_columns
+from tallyfield.llm.text import fields_and, map_pieces, texts, with_columns
 from tallyfield.session import written
 
 MIN_DOCUMENTS = 10
 MIN_LENGTH = 1
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def line_key(line: str) -> str:
-    return line.strip(BLANKS).translate(_LOWER)
+def line_keys(text: str) -> list[bytes]:
+    """The key of each line in UTF-8; ``bytes`` lowers A-Z and strips the six blanks only."""
+    return [line.strip() for line in text.encode().lower().split(b"\n")]
 
 
-def keys_of(text: str, min_length: int = MIN_LENGTH) -> set[str]:
+def keys_of(text: str, min_length: int = MIN_LENGTH) -> set[bytes]:
     """The distinct line keys of a text that may be dropped."""
-    lowered = text.translate(_LOWER)
-    return {k for line in lowered.split("\n") if len(k := line.strip(BLANKS)) >= min_length}
+    keys = set(line_keys(text))
+    return {k for k in keys if len(k) >= min_length and (min_length < 2 or len(k.decode()) >= min_length)}
 
 
 def hashes_of(keys) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(k.encode()) for k in keys], np.uint64)
+    return np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
 
 
 def repeated_filter(docs: DataFrame, text: str, min_length: int) -> tuple[np.ndarray, int]:
@@ -96,7 +96,7 @@ def drop_common_lines(
                     orders += [o] * len(hit)
                     digests += [hashlib.md5(t.encode()).hexdigest()] * len(hit)
             return pa.RecordBatch.from_arrays(
-                [pa.array(orders, pa.string()), pa.array(digests, pa.string()), pa.array(keys, pa.string())],
+                [pa.array(orders, pa.string()), pa.array(digests, pa.string()), pa.array(keys, pa.binary())],
                 names=["_order", "_digest", "_key"],
             )
 
@@ -108,7 +108,10 @@ def drop_common_lines(
         map_pieces(
             docs.select(text, F.coalesce(padded.cast("string"), F.lit("~")).alias("_order")),
             text,
-            T.StructType([T.StructField(n, T.StringType()) for n in ("_order", "_digest", "_key")]),
+            T.StructType(
+                [T.StructField(n, T.StringType()) for n in ("_order", "_digest")]
+                + [T.StructField("_key", T.BinaryType())]
+            ),
             make_suspects,
         ),
         "line-suspects",
@@ -133,21 +136,21 @@ def drop_common_lines(
             out, before, dropped = [], [], []
             losses_of = piece.column("_losses").to_pylist()
             for t, lost in zip(texts(piece, text), losses_of, strict=True):
-                lines = t.split("\n")
-                before.append(len(lines))
+                before.append(t.count("\n") + 1)
+                dropped.append(0)
                 if lost:
+                    lines = t.split("\n")
                     stays = {x["_key"]: x["_stays"] for x in lost}
                     kept = []
-                    for line in lines:
-                        key = line_key(line)
+                    for line, key in zip(lines, line_keys(t), strict=True):
                         if key not in stays:
                             kept.append(line)
                         elif stays[key]:
                             kept.append(line)
                             stays[key] = False
-                    lines = kept
-                dropped.append(before[-1] - len(lines))
-                out.append("\n".join(lines))
+                    dropped[-1] = before[-1] - len(kept)
+                    t = "\n".join(kept)
+                out.append(t)
             return with_columns(
                 piece.drop_columns(["_losses", "_digest"]),
                 **{
