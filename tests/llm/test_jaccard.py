@@ -1,0 +1,135 @@
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from tallyfield.llm import jaccard, plans
+from tallyfield.llm.components import components
+from tallyfield.llm.jaccard import jaccard_components
+from tests.llm.cases import SF_DIR, documents, lowered, real_documents, with_clashes, words
+
+
+def shingles(text):
+    ws = words(lowered(text))
+    if len(ws) < 5:
+        return {tuple(ws)} if ws else set()
+    return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+
+
+def brute(rows, percent=80):
+    """(doc_id, n_shingles, component_id) by comparing all pairs that share a shingle."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {p for h in holders.values() for p in combinations(h, 2)}
+    for i, j in pairs:
+        both = len(sets[i] & sets[j])
+        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            parent[root(i)] = root(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[root(i)] = min(k, least.get(root(i), k))
+    return sorted(
+        ((k, len(s), least.get(root(i)) if s else k) for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True))),
+        key=repr,
+    )
+
+
+def result(df):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in df.collect()), key=repr)
+
+
+def edited(rng, base, edits):
+    out = list(base)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        kind = rng.random()
+        if kind < 0.5:
+            out[at] = f"w{rng.randrange(10**6)}"
+        elif kind < 0.75 and len(out) > 1:
+            del out[at]
+        else:
+            out.insert(at, f"w{rng.randrange(10**6)}")
+    return out
+
+
+def family_rows(seed, sizes, members):
+    rng = random.Random(seed)
+    rows = []
+    for n in sizes:
+        base = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        for _ in range(members):
+            rows.append((len(rows) * 3 % 1009, " ".join(edited(rng, base, rng.randrange(4)))))
+    return rows
+
+
+@pytest.mark.parametrize("boundary", [None, 0, 8, 14])
+def test_families_of_all_sizes(spark, boundary):
+    rows = family_rows(1, [5, 6, 8, 9, 10, 12, 13, 14, 15, 16, 18, 20, 25, 40], 9)
+    got = jaccard_components(documents(spark, rows).select("doc_id", "text"), boundary=boundary)
+    assert result(got) == brute(rows)
+
+
+def test_large_groups_and_common_passages(spark):
+    rows = family_rows(2, [60, 150], 60)
+    passage = " ".join(f"p{i}" for i in range(70))
+    rng = random.Random(3)
+    rows += [(2000 + i, " ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) + " " + passage) for i in range(80)]
+    rows += [(3000 + i, passage.upper()) for i in range(60)]
+    assert result(jaccard_components(documents(spark, rows).select("doc_id", "text"))) == brute(rows)
+
+
+def test_threshold_is_inclusive(spark):
+    # 9 and 9 shingles, 8 of them common: 80 of 100
+    base = [f"a{i}" for i in range(12)]
+    rows = [(5, " ".join(base + ["x"])), (4, " ".join(base + ["y"])), (9, " ".join(base[:4])), (8, " ".join(base[:4]) + " ")]
+    want = brute(rows)
+    assert (5, 9, 4) in want and (9, 1, 8) in want
+    assert result(jaccard_components(documents(spark, rows).select("doc_id", "text"))) == want
+
+
+def test_odd_rows(spark):
+    long_text = " ".join(f"l{i % 7000}" for i in range(60_000))
+    rows = [(3, None), (1, ""), (2, " \n"), (4, "one two"), (6, "ONE\ttwo"), (7, long_text), (8, long_text + " end")]
+    rows += [(None, "one two"), (None, "alone here"), (4, "one two"), (9, "a a a a a a a a a"), (10, "a a a a a"), (None, None)]
+    df = with_clashes(documents(spark, rows))
+    got = jaccard_components(df)
+    assert result(got) == brute(rows)
+    assert "component_id" in got.columns and got.columns.count("component_id") == 1
+    assert result(jaccard_components(documents(spark, []))) == []
+
+
+def test_components_by_brute_force(spark):
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(100, 180)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(60)]
+    links += [(500, 500 + i) for i in range(1, 200)] + [(7, 7)]
+    group = {x: x for e in links for x in e}
+    for _ in group:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    want = sorted((n, g) for n, g in group.items() if any(n in e and e[0] != e[1] for e in links))
+    got = sorted(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_survive_packing():
+    rng = np.random.default_rng(1)
+    a = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    assert (jaccard.unpacked(jaccard.packed(a)) >> np.uint64(16) == a >> np.uint64(16)).all()
+
+
+def test_query(spark):
+    rows = [(d, t) for d, t, *_ in real_documents()]
+    assert result(plans.op3_jaccard_join(spark, SF_DIR)) == brute(rows)
