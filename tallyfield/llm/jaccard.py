@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 
 from tallyfield.llm.bloom import CHUNK, Filter, bits_for
 from tallyfield.llm.components import components
-from tallyfield.llm.text import WordHashes, fields_and, map_pieces, mixed, texts, with_columns
+from tallyfield.llm.text import fields_and, map_pieces, mixed, pieces, texts, with_columns, word_hashes
 from tallyfield.session import written
 
 WORDS = 5
@@ -59,11 +59,11 @@ def largest_partner(n: int, percent: int) -> int:
     return n * 100 // percent
 
 
-def shingle_sets(given: list[str], hashes: WordHashes, words: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(given: list[str], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     split = [t.encode().lower().split() for t in given]
     lengths = [len(w) for w in split]
-    flat = hashes.of([w for ws in split for w in ws])
+    flat = word_hashes([w for ws in split for w in ws])
     joined = np.zeros(max(0, len(flat) - words + 1), np.uint64)
     for k in range(words):
         joined = joined * _STEP + flat[k : len(flat) - words + 1 + k] if len(joined) else joined
@@ -71,7 +71,10 @@ def shingle_sets(given: list[str], hashes: WordHashes, words: int = WORDS) -> li
     out, start = [], 0
     for n in lengths:
         if n >= words:
-            out.append(np.unique(joined[start : start + n - words + 1]))
+            ordered = np.sort(joined[start : start + n - words + 1])
+            new = np.ones(len(ordered), bool)
+            np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+            out.append(ordered[new])
         elif n:
             short = np.zeros(1, np.uint64)
             for h in flat[start : start + n]:
@@ -98,11 +101,10 @@ def frequency_levels(docs: DataFrame, text: str, cells: int = CELLS) -> tuple[np
     width = CHUNK // 4
 
     def build(batches):
-        counts, hashes = np.zeros(cells, np.int64), WordHashes()
+        counts = np.zeros(cells, np.int64)
         for batch in batches:
-            sets = shingle_sets(texts(batch, text), hashes)
-            if sets:
-                places = np.concatenate(sets) & np.uint64(cells - 1)
+            for piece in pieces(batch, text):
+                places = np.concatenate(shingle_sets(texts(piece, text))) & np.uint64(cells - 1)
                 np.add.at(counts, places.astype(np.int64), 1)
         rows = counts.astype(np.uint32).reshape(-1, width)
         used = np.flatnonzero(rows.any(axis=1))
@@ -218,10 +220,10 @@ def keyed_sets(docs: DataFrame, text: str, levels: np.ndarray, percent: int, bou
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
 
     def make():
-        hashes, seen = WordHashes(), _Seen()
+        seen = _Seen()
 
         def work(piece):
-            sets = shingle_sets(texts(piece, text), hashes)
+            sets = shingle_sets(texts(piece, text))
             ids = [class_of(s) for s in sets]
             keys = [
                 join_keys(s, shared.value, percent, boundary) if seen.new(c) else np.zeros(0, np.int64)
@@ -274,10 +276,10 @@ def sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(data)  # at most MOST_BITS bits
 
     def make():
-        filter_, hashes, seen = Filter(bits, shared.value), WordHashes(), _Seen()
+        filter_, seen = Filter(bits, shared.value), _Seen()
 
         def work(piece):
-            sets = shingle_sets(texts(piece, text), hashes)
+            sets = shingle_sets(texts(piece, text))
             ids = np.array([class_of(s) for s in sets], np.int64)
             hit = [
                 i for i in np.flatnonzero(filter_.has(ids.view(np.uint64))).tolist()

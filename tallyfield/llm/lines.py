@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfield.llm.bloom import CHUNKS, Filter, OnceTwice, bits_for, merge_once_twice
-from tallyfield.llm.text import fields_and, map_pieces, texts, with_columns
+from tallyfield.llm.text import fields_and, map_pieces, pieces, texts, with_columns
 from tallyfield.session import written
 
 MIN_DOCUMENTS = 10
@@ -62,9 +62,8 @@ def repeated_filter(docs: DataFrame, text: str, min_length: int) -> tuple[np.nda
     def build(batches):
         seen = OnceTwice(bits)
         for batch in batches:
-            keys = [k for t in texts(batch, text) for k in keys_of(t, min_length)]
-            if keys:
-                seen.add(hashes_of(keys))
+            for piece in pieces(batch, text):
+                seen.add(hashes_of([k for t in texts(piece, text) for k in keys_of(t, min_length)]))
         yield seen.chunks()
 
     return merge_once_twice(docs.select(text).coalesce(tasks).mapInArrow(build, CHUNKS), bits), bits

@@ -20,7 +20,6 @@ import tallyfield
 
 BLANKS = " \t\n\x0b\x0c\r"
 PIECE_BYTES = 4 << 20
-WORD_CACHE = 200_000
 
 
 def share_package(spark: SparkSession) -> None:
@@ -79,27 +78,9 @@ def fields_and(schema: T.StructType, **added: T.DataType) -> T.StructType:
     return T.StructType(kept + [T.StructField(n, t) for n, t in added.items()])
 
 
-class WordHashes:
-    """64-bit hashes of words, kept for words met before in the task, up to a bounded number."""
-
-    def __init__(self, limit: int = WORD_CACHE):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known, hashed = self.known, xxhash.xxh3_64_intdigest
-        found = [known.get(w) for w in words]
-        if None in found:
-            for i, h in enumerate(found):
-                if h is None:
-                    w = words[i]
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = hashed(w)
-                    found[i] = h
-        return np.array(found, dtype=np.uint64)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
