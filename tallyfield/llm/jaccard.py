@@ -4,15 +4,22 @@ Two sets link when their Jaccard similarity is at least ``percent`` / 100. The j
 size-aware. A set of at most ``boundary`` shingles is *light*: for every size that a partner may have it gives
 its subsets of the size that the overlap must reach, and partners meet in an equal subset. A
 larger set is *heavy*: its shingles are ordered from rare to frequent, and it enters the inverted
-lists of as many rare ones as a partner cannot miss all of. Light sets that may have heavy partners enter lists,
-too. Subsets of a set grow fast with its size and list entries slowly; the boundary is the size
-where giving subsets stops being cheaper than scanning lists of the mean length in this table.
-
-The lists are scanned for components, not for all pairs. Every member is compared with the first
-member of its list and with two pivots, the same throughout the table where possible. Links found
-join most members, and only members of one list that are still in different components are compared
-with each other. Pairs of one component need no comparison, so a group of copies costs a few
-comparisons for each member; no pair that could join two components is left out.
+lists of so many rare ones that partners have at least ``common(n)`` of them in common. Light sets
+that may have heavy partners enter lists, too. Subsets of a set grow fast with its size and list entries slowly; the
+boundary is the size where giving subsets stops being cheaper than scanning lists of the mean
+length in this table.
+
+Scanning the lists counts the shared entries of each set, and sets with too few have no partner.
+Of the others the *private* shingles are counted, which no other such set has. They are in no
+overlap, so two sets of n and m shingles, p and q of them private, have an overlap of at most
+min(n - p, m - q), and a pair whose similarity this keeps too low needs no comparison.
+
+The lists are scanned for components, not for all pairs. Every member is compared with two pivots
+of its list: the one whose own lists are longest together, which among edited copies is their
+original or stands nearest to it, and one by hash. Links found join most members, and only members of one list that are
+still in different components are compared with each other. Pairs of one component need no
+comparison, so a group of copies costs a few comparisons for each member; no pair that could join
+two components is left out.
 
 Equal sets are one class from the start. Shingles and classes are known by 64-bit hashes; set
 overlaps are counted on 48 bits of them. Orders are by estimated frequency (a fixed table of
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallyfield.llm.bloom import CHUNK, Filter, bits_for
+from tallyfield.llm.bloom import CHUNK, CHUNKS, Filter, OnceTwice, bits_for, merge_once_twice
 from tallyfield.llm.components import components
 from tallyfield.llm.text import fields_and, map_pieces, mixed, pieces, texts, with_columns, word_hashes
 from tallyfield.session import written
@@ -55,6 +62,11 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def common(n: int) -> int:
+    """How many list entries a set of ``n`` has in common with a partner that is no smaller."""
+    return 1 + n // 16
+
+
 def largest_partner(n: int, percent: int) -> int:
     return n * 100 // percent
 
@@ -176,7 +188,7 @@ def join_keys(shingles: np.ndarray, levels: np.ndarray, percent: int, boundary:
     if most > boundary:
         cells = (shingles & np.uint64(len(levels) - 1)).astype(np.int64)
         order = (levels[cells].astype(np.uint64) << np.uint64(56)) | (shingles >> np.uint64(8))
-        rare = n - needed(n, percent) + 1
+        rare = min(n, n - needed(n, percent) + common(n))
         chosen = np.argpartition(order, rare - 1)[:rare] if rare < n else np.arange(n)
         keys.extend(shingles[chosen])
     return np.array(keys, np.uint64).view(np.int64)
@@ -314,8 +326,46 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(check, "a long, b long")
 
 
-def similar_size(x, y, percent: int):
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+def private_counts(sets: DataFrame) -> DataFrame:
+    """(c, private): how many shingles of each class no other class in ``sets`` has, at least.
+
+    A filter of the shingles seen twice knows every shared one; a private one that it takes for
+    shared makes the count smaller and later bounds weaker, and loses no pair.
+    """
+    spark = sets.sparkSession
+    total = sets.agg(F.sum(F.octet_length("_set"))).first()[0] or 0
+    bits = bits_for(total // 6)
+
+    def build(batches):
+        seen = OnceTwice(bits)
+        for batch in batches:
+            for piece in pieces(batch, "_set"):
+                seen.add(np.concatenate([mixed(unpacked(x)) for x in piece.column("_set").to_pylist()]))
+        yield seen.chunks()
+
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    data = merge_once_twice(sets.select("_set").coalesce(tasks).mapInArrow(build, CHUNKS), bits)
+    shared = spark.sparkContext.broadcast(data)  # at most MOST_BITS bits
+
+    def make():
+        twice = Filter(bits, shared.value)
+
+        def work(piece):
+            counts = [int((~twice.has(mixed(unpacked(x)))).sum()) for x in piece.column("_set").to_pylist()]
+            return pa.RecordBatch.from_arrays(
+                [piece.column("_class"), pa.array(counts, pa.int64())], names=["c", "private"]
+            )
+
+        return work
+
+    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("private", T.LongType())])
+    return map_pieces(sets, "_set", schema, make)
+
+
+def may_link(n, p, m, q, percent: int):
+    """Whether sets of n and m shingles, p and q of them private, can be similar enough."""
+    most = F.least(n - p, m - q)
+    return 100 * most >= percent * (n + m - most)
 
 
 def jaccard_components(
@@ -338,37 +388,53 @@ def jaccard_components(
         .select("key", "c", "n", F.col("first.c").alias("c0"), F.col("first.n").alias("n0")),
         "lists",
     )
-    members = lists.select("key", "c", "n").union(lists.select("key", "c0", "n0")).distinct()
-    members = written(members, "list-members")
-    pivots = members.groupBy("key").agg(
-        *(F.min(F.struct(F.xxhash64("c", F.lit(i)).alias("h"), "c", "n")).alias(f"p{i}") for i in (1, 2))
-    )
-    a, b = F.greatest("c", "p.c").alias("a"), F.least("c", "p.c").alias("b")
-    stars = (
-        members.join(pivots, "key")
-        .select("c", "n", F.explode(F.array(*(F.struct(f"p{i}.c", f"p{i}.n") for i in (1, 2)))).alias("p"))
-        .union(lists.select("c", "n", F.struct(F.col("c0").alias("c"), F.col("n0").alias("n"))))
-        .where((F.col("c") != F.col("p.c")) & similar_size(F.col("n"), F.col("p.n"), percent))
-        .select(a, b)
-        .distinct()
+    members = written(lists.select("key", "c", "n").union(lists.select("key", "c0", "n0")).distinct(), "list-members")
+    # a partner may be as small as the overlap that this set needs
+    least = F.floor((F.col("n") * percent + 99) / 100).cast("long")
+    wanted = written(
+        members.groupBy("c", "n").agg(F.count(F.lit(1)).alias("entries"))
+        .where((F.col("entries") >= 1 + F.floor(least / 16)) | (F.col("n") <= boundary))
+        .select(F.col("c").alias("_class")),
+        "wanted-sets",
     )
-    stars = written(stars, "stars")
-    wanted = written(members.select(F.col("c").alias("_class")).distinct(), "wanted-sets")
     sets = written(sets_of(docs, text, wanted), "sets")
+    private = written(private_counts(sets), "private-shingles")
+    members = members.join(private, "c").where(100 * (F.col("n") - F.col("private")) >= percent * F.col("n"))
+    members = written(members, "possible-members")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    weights = members.join(sizes, "key").groupBy("c").agg(F.sum("size").alias("weight"))
+    member = F.struct("c", "n", "private")
+    pivots = (
+        members.join(weights, "c")
+        .groupBy("key")
+        .agg(
+            F.max(F.struct(F.col("weight"), F.xxhash64("c").alias("h"), member.alias("p"))).alias("x"),
+            F.min(F.struct(F.xxhash64("c").alias("h"), member.alias("p"))).alias("y"),
+        )
+        .select("key", F.explode(F.array_distinct(F.array("x.p", "y.p"))).alias("y"))
+    )
+    pairs = members.join(pivots, "key").select(member.alias("x"), "y").where(F.col("x.c") != F.col("y.c"))
+    stars = written(
+        pairs.where(may_link(*(F.col(f"{s}.{f}") for s in "xy" for f in ("n", "private")), percent))
+        .select(F.greatest("x.c", "y.c").alias("a"), F.least("x.c", "y.c").alias("b"))
+        .distinct(),
+        "stars",
+    )
     links = written(linked(stars, sets, percent), "star-links")
     joined = written(components(links), "star-components")
 
     placed = (
         members.join(joined, F.col("c") == F.col("node"), "left")
-        .select("key", "c", "n", F.coalesce("component", "c").alias("g"))
+        .select("key", "c", "n", "private", F.coalesce("component", "c").alias("g"))
     )
     placed = written(placed, "placed-members")
     mixed_lists = placed.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("key")
     open_ = placed.join(mixed_lists, "key", "left_semi")
-    other = open_.toDF("key", "c2", "n2", "g2")
+    other = open_.toDF("key", "c2", "n2", "private2", "g2")
     rest = (
         open_.join(other, "key")
-        .where((F.col("g") < F.col("g2")) & similar_size(F.col("n"), F.col("n2"), percent))
+        .where(F.col("g") < F.col("g2"))
+        .where(may_link(F.col("n"), F.col("private"), F.col("n2"), F.col("private2"), percent))
         .select(F.greatest("c", "c2").alias("a"), F.least("c", "c2").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")

@@ -12,6 +12,7 @@ from tallyfield.llm.kernel import quality_scores
 from tallyfield.llm.lines import drop_common_lines
 from tallyfield.llm.secrets import joined_spans, scan_secrets
 from tallyfield.llm.shards import assign_shards
+from tallyfield.llm.templates import decontaminate
 from tallyfield.llm.text import share_package
 from tallyfield.llm.trees import quality_rules
 
@@ -73,6 +74,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "contaminated", F.size("items").cast("long").alias("n_items"), "items")
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -103,6 +110,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_line_dedup": op7_line_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_shards": op9_shards,
     "op10_bpe": op10_bpe,
 }
