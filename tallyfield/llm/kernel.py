@@ -174,18 +174,26 @@ def fold(key: str, count: int):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(count))
 
 
-def quality_scores(
+def fit_for_labels(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality"
-) -> DataFrame:
-    """Score every document; labels of the fold whose crc32 modulo 3 is 1 are never read.
+) -> tuple[KernelModel, DataFrame]:
+    """A model of the labels outside the fold whose crc32 modulo 3 is 1, and the documents' statistics.
 
-    Gives ``docs`` without its text, with ``features``, ``held_out``, ``score`` and ``predicted``.
-    Statistics are written once and the model is fitted and applied from them.
+    The statistics, without texts, are written once; the model is fitted from them.
     """
     narrow = add_features(docs, text).drop(text)
     stats = written(narrow.withColumn("held_out", fold(key, 3) == 1), "text-stats")
     known = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label"))
     labelled = stats.where(~F.col("held_out")).join(known, F.col(key) == F.col("_key"))
-    model = fit_kernel(labelled.select("features", "_label"), label="_label")
-    scored = score_kernel(stats, model)
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return fit_kernel(labelled.select("features", "_label"), label="_label"), stats
+
+
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality"
+) -> DataFrame:
+    """Score every document; labels of the held-out fold are never read.
+
+    Gives ``docs`` without its text, with ``features``, ``held_out``, ``score`` and ``predicted``.
+    """
+    model, stats = fit_for_labels(docs, labels, key, text, label)
+    return score_kernel(stats, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

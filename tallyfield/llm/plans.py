@@ -10,12 +10,16 @@ from tallyfield.llm.bpe import decode_bpe, encode_bpe
 from tallyfield.llm.jaccard import jaccard_components
 from tallyfield.llm.kernel import quality_scores
 from tallyfield.llm.lines import drop_common_lines
+from tallyfield.llm.mixing import score_documents
+from tallyfield.llm.pseudonyms import pseudonymise
 from tallyfield.llm.secrets import joined_spans, scan_secrets
 from tallyfield.llm.shards import assign_shards
 from tallyfield.llm.templates import decontaminate
 from tallyfield.llm.text import share_package
 from tallyfield.llm.trees import quality_rules
 
+#: The key of the query; a real one comes from a secret store.
+KEY = "key of the query"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -28,6 +32,13 @@ def utf8_sha256(text):
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources are owners; a source's documents of one language are a repository."""
     docs = table(spark, sf_dir, "documents").select(
@@ -61,6 +72,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, KEY).select("doc_id", "n_replaced", "text")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_scores(docs, table(spark, sf_dir, "labels"))
@@ -105,9 +121,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_secrets": op2_secrets,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
