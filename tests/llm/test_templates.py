@@ -13,9 +13,9 @@ def found(spark, texts, items=((1, ITEM),)):
 
 
 def test_parameters_may_change(spark):
-    other = ITEM.replace("12", "340").replace("Anna", "Maria").replace("Peter", "Otto").replace("5 kg", "9 lb")
+    other = ITEM.replace("12", "340").replace("Anna", "Maria").replace("Peter", "Otto").replace(" 5 ", " 9 ").replace("kg", "lb")
     broken = ITEM.replace("bought 12", "bought 12.")
-    got = found(spark, ["x y z. " + ITEM, other.upper().lower() and other, "Nothing of this is here at all, " * 9, None, "", broken, "the baker"])
+    got = found(spark, ["x y z. " + ITEM, other, "Nothing of this is here at all, " * 9, None, "", broken, "the baker"])
     assert got[0] == got[1] == [1] and got[2] == got[3] == got[4] == got[6] == []
 
 
