@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 import tallyfield
 
 BLANKS = " \t\n\x0b\x0c\r"
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def share_package(spark: SparkSession) -> None:
