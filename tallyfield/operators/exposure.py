@@ -84,6 +84,9 @@ def prepare_views(
     return chain(session, exposure_bin_steps(low, high, count))
 
 
-def peek(df: DataFrame, order: Sequence[str], n: int = 1) -> DataFrame:
-    """The first ``n`` rows by ``order``; each task keeps only its own first ``n``."""
-    return df.orderBy(*order).limit(n)
+def peek(df: DataFrame, order: Sequence[str] | None = None, n: int = 1) -> DataFrame:
+    """``n`` rows: any, reading no more than they need, or the first by ``order``.
+
+    With an order each task keeps only its own first ``n``, but all rows are read.
+    """
+    return (df if order is None else df.orderBy(*order)).limit(n)

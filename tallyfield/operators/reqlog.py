@@ -11,16 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.functions.means import whole_mean, whole_sum
 from tallyfield.operators.joins import attach_over
 from tallyfield.operators.running import BLOCK_BITS, running_total
-from tallyfield.session import written
 
-# Status marks, time limits of a server request and of a statement, indicator
-# bounds, percentiles, histogram cell, points per series, and the two service goals.
+# Status marks, time limit of a server request, indicator bounds, percentiles,
+# histogram cell, points per series, and the two service goals.
 OK = "OK"
 KO = "KO"
 SERVER_LIMIT_MS = 40_000
-STATEMENT_LIMIT_MS = 120_000
 LOWER_BOUND_MS = 800
 HIGHER_BOUND_MS = 1200
 PERCENTS = (50, 75, 95, 99)
@@ -30,9 +29,6 @@ GOAL_MAX_MS = 50
 GOAL_PERCENT = 95
 ALL = "all"
 
-# Runs whose bounds may be broadcast: a key and two numbers each, some megabytes in all.
-BROADCAST_RUNS = 50_000
-
 # Parts into which the messages of one key are spread.
 MESSAGE_PARTS = 1024
 
@@ -100,7 +96,7 @@ def rt_indicators(
     )
 
 
-def _percent_name(percent: float) -> str:
+def percent_name(percent: float) -> str:
     return f"p{percent:g}".replace(".", "_")
 
 
@@ -127,7 +123,7 @@ def rt_percentiles(
             .select(
                 *keys,
                 *[
-                    F.col("__p")[i].cast("double").alias(_percent_name(p))
+                    F.col("__p")[i].cast("double").alias(percent_name(p))
                     for i, p in enumerate(percents)
                 ],
             )
@@ -142,7 +138,7 @@ def rt_percentiles(
             at_rank.append(F.max(F.when(here, F.col("rt_ms"))).alias(f"__{side}{i}"))
         low, high = F.col(f"__low{i}"), F.col(f"__high{i}")
         between = low + (high - low) * (rank - F.floor(rank))
-        results.append(between.cast("double").alias(_percent_name(p)))
+        results.append(between.cast("double").alias(percent_name(p)))
     found = ranked.groupBy(*keys).agg(F.max("__all").alias("__all"), *at_rank)
     return found.select(*keys, *results)
 
@@ -158,7 +154,7 @@ def rt_rollup(log: DataFrame, name: str = "name") -> DataFrame:
         _count_if(_failed()).alias("__ko"),
         F.min("rt_ms").alias("__min"),
         F.max("rt_ms").alias("__max"),
-        F.sum(F.col("rt_ms").cast("double")).alias("__sum"),
+        whole_sum("rt_ms").alias("__sum"),
         F.count("rt_ms").alias("__timed"),
     )
     label = F.when(F.grouping(name) == 1, F.lit(ALL)).otherwise(F.col(name))
@@ -172,7 +168,7 @@ def rt_rollup(log: DataFrame, name: str = "name") -> DataFrame:
             F.sum("__ko").alias("ko"),
             F.min("__min").alias("min_ms"),
             F.max("__max").alias("max_ms"),
-            (F.sum("__sum") / F.nullif(F.sum("__timed"), F.lit(0))).alias("mean_ms"),
+            F.try_divide(F.sum("__sum").cast("double"), F.sum("__timed")).alias("mean_ms"),
         )
         .select(
             F.col("__label").alias(name),
@@ -205,35 +201,30 @@ def rt_series(
     max_points: int = MAX_POINTS,
     run: str = "run_id",
     series: Sequence[str] = ("name",),
-    broadcast_runs: int = BROADCAST_RUNS,
 ) -> DataFrame:
     """Requests over each run, its span cut into at most ``max_points`` equal steps.
 
-    The bounds of the runs are found and written first. Up to ``broadcast_runs`` of them are
-    sent to the log, whose rows then need no shuffle before they are counted. More are joined
-    to counts per start time, by time block, so that a hot run is spread over many tasks.
+    Requests are counted per start time first. The bounds of a run are joined to these counts
+    by time block, so that a hot run is spread over many tasks.
     """
-    started = log.where(F.col("start_ms").isNotNull())
-    first, last = F.min("start_ms").alias("__first"), F.max("start_ms").alias("__last")
-    bounds = written(started.groupBy(F.col(run).alias("__run")).agg(first, last), "bounds")
+    counts = (
+        log.where(F.col("start_ms").isNotNull())
+        .groupBy(run, *series, "start_ms")
+        .agg(F.count(F.lit(1)).alias("__n"), _count_if(_failed()).alias("__ko"))
+        # Always true. With it the bounds need the same columns as the join, so Spark scans the
+        # log and shuffles the counts once for both.
+        .where(F.col("__ko") <= F.col("__n"))
+    )
+    placed = attach_over(
+        counts,
+        [run],
+        F.shiftright("start_ms", BLOCK_BITS),
+        __first=(F.min, "start_ms"),
+        __last=(F.max, "start_ms"),
+    )
     point = F.expr(f"(start_ms - __first) * {int(max_points)} div (__last - __first + 1)")
-    if bounds.count() <= broadcast_runs:
-        placed = started.join(F.broadcast(bounds), F.col(run).eqNullSafe(F.col("__run")))
-        requests, failed = F.count(F.lit(1)), _count_if(_failed())
-    else:
-        counts = started.groupBy(run, *series, "start_ms").agg(
-            F.count(F.lit(1)).alias("__n"), _count_if(_failed()).alias("__ko")
-        )
-        placed = attach_over(
-            counts,
-            [run],
-            F.shiftright("start_ms", BLOCK_BITS),
-            __first=(F.min, "start_ms"),
-            __last=(F.max, "start_ms"),
-        )
-        requests, failed = F.sum("__n"), F.sum("__ko")
     return placed.groupBy(run, *series, point.alias("point")).agg(
-        requests.alias("requests"), failed.alias("failed")
+        F.sum("__n").alias("requests"), F.sum("__ko").alias("failed")
     )
 
 
@@ -255,10 +246,17 @@ def slo_check(
 def scenario_spans(
     log: DataFrame, keys: Sequence[str] = ("run_id", "scenario", "user_id")
 ) -> DataFrame:
-    """First start, last end and length of each user's part in a scenario."""
+    """First start, last end and length of each user's part in a scenario.
+
+    While any request of the user is open, so is the part: its end and length are null.
+    """
+    still_open = _count_if(F.col("start_ms").isNotNull() & F.col("end_ms").isNull())
     return (
         log.groupBy(*keys)
-        .agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+        .agg(
+            F.min("start_ms").alias("start_ms"),
+            F.when(still_open == 0, F.max("end_ms")).alias("end_ms"),
+        )
         .withColumn("length_ms", F.col("end_ms") - F.col("start_ms"))
     )
 
@@ -268,7 +266,7 @@ def group_durations(groups: DataFrame, keys: Sequence[str] = ("name",)) -> DataF
     duration = F.col("exit_ms") - F.col("entry_ms")
     return groups.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("passes"),
-        F.avg(duration).alias("mean_ms"),
+        whole_mean(duration).alias("mean_ms"),
         F.max(duration).alias("max_ms"),
         _count_if(_failed()).alias("failed"),
     )

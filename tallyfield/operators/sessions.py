@@ -1,4 +1,8 @@
-"""Which sessions are in use, per group of sessions."""
+"""Which sessions are in use, per group of sessions.
+
+A session with no place in the listing takes its id for one. A session with no id cannot be
+named: it may be active, but is neither first nor ranked.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +16,6 @@ from tallyfield.operators.running import BLOCK_BITS, running_total
 # The states of a session in use, compared in lower case.
 ACTIVE_STATES = ("idle", "starting", "running")
 
-# Ids in one row of ``active_session_lists``; longer lists go on in further rows.
-PAGE_IDS = 10_000
-
 
 def is_active(state: str = "state") -> Column:
     return F.lower(F.col(state)).isin(*ACTIVE_STATES)
@@ -25,6 +26,10 @@ def active_sessions(sessions: DataFrame, state: str = "state") -> DataFrame:
     return sessions.where(is_active(state))
 
 
+def _place(order: str, session_id: str) -> Column:
+    return F.coalesce(F.col(order).cast("bigint"), F.col(session_id).cast("bigint"))
+
+
 def first_active(
     sessions: DataFrame,
     keys: Sequence[str],
@@ -33,7 +38,8 @@ def first_active(
     state: str = "state",
 ) -> DataFrame:
     """Per group, the id of the active session listed first; 0 where none is active."""
-    chosen = F.min_by(F.col(session_id), F.when(is_active(state), F.col(order)))
+    named = is_active(state) & F.col(session_id).isNotNull()
+    chosen = F.min_by(F.col(session_id), F.when(named, _place(order, session_id)))
     return sessions.groupBy(*keys).agg(
         F.coalesce(chosen, F.lit(0)).cast("bigint").alias("first_active_id")
     )
@@ -50,49 +56,14 @@ def active_positions(
     """One row per active session with its rank in its group, last listed first.
 
     ``order`` is the bigint place in the listing, unique in its group. Places may be far apart,
-    such as ids, so blocks are cut twice.
+    such as ids, so blocks are cut twice. A long group is many rows, never one array.
     """
-    active = active_sessions(sessions, state).select(
+    named = active_sessions(sessions, state).where(F.col(session_id).isNotNull())
+    active = named.select(
         *keys,
         F.col(session_id).alias("session_id"),
-        (-F.col(order).cast("bigint")).alias("__from_end"),
+        (-_place(order, session_id)).alias("__from_end"),
         F.lit(1).cast("bigint").alias("__one"),
     )
     ranked = running_total(active, keys, "__from_end", "__one", "rank", bits=bits, levels=2)
     return ranked.select(*keys, "rank", "session_id")
-
-
-def active_session_lists(
-    sessions: DataFrame,
-    keys: Sequence[str],
-    order: str = "position",
-    session_id: str = "id",
-    state: str = "state",
-    page_ids: int = PAGE_IDS,
-    bits: int = BLOCK_BITS,
-) -> DataFrame:
-    """Per group, the ids of its active sessions, last listed first.
-
-    The ids of a group fill pages 0, 1, … of up to ``page_ids`` each, so that no row or task
-    holds a hot group whole. A group with no active session has page 0 with an empty list.
-    """
-    ranked = active_positions(sessions, keys, order, session_id, state, bits)
-    entry = F.struct("rank", "session_id")
-    paged = ranked.select(
-        *keys,
-        F.floor((F.col("rank") - 1) / page_ids).cast("bigint").alias("page"),
-        entry.alias("__entry"),
-    )
-    # A group with no active session takes part with one null entry, which collect_list skips.
-    idle_groups = (
-        sessions.groupBy(*keys)
-        .agg(F.count(F.when(is_active(state), 1)).alias("__active"))
-        .where(F.col("__active") == 0)
-        .select(*keys, F.lit(0).cast("bigint").alias("page"))
-    )
-    return (
-        paged.unionByName(idle_groups, allowMissingColumns=True)
-        .groupBy(*keys, "page")
-        .agg(F.sort_array(F.collect_list("__entry")).alias("__entries"))
-        .select(*keys, "page", F.col("__entries.session_id").alias("ids"))
-    )

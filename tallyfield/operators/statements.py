@@ -13,6 +13,10 @@ from tallyfield.functions.decoding import (
     statement_text,
 )
 from tallyfield.functions.matching import full_match
+from tallyfield.functions.means import whole_mean
+
+# Fixed value: the time limit of a statement.
+STATEMENT_LIMIT_MS = 120_000
 
 
 def decode_statements(replies: DataFrame, reply: str = "reply") -> DataFrame:
@@ -87,6 +91,13 @@ def statement_times(log: DataFrame) -> DataFrame:
     taken = F.col("end_ns") - F.col("start_ns")
     return log.groupBy("session_id").agg(
         F.count(taken).alias("statements"),
-        (F.avg(taken) / 1e9).alias("mean_s"),
+        (whole_mean(taken) / 1e9).alias("mean_s"),
         (F.max(taken) / 1e9).alias("max_s"),
     )
+
+
+def slow_statements(log: DataFrame, limit_ms: int = STATEMENT_LIMIT_MS) -> DataFrame:
+    """Statements per session that took longer than the limit; 0 where none did."""
+    taken = F.col("end_ns") - F.col("start_ns")
+    over = F.count(F.when(taken > limit_ms * 1_000_000, 1))
+    return log.groupBy("session_id").agg(over.alias("over_limit"))

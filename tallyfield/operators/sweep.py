@@ -1,6 +1,7 @@
 """Concurrency: how many requests or users are open at once.
 
-A span is open from its start up to, not including, its end.
+A span is open from its start up to, not including, its end. One without an end is still open
+and stays so; one without a start has not begun and is not counted.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators.running import BLOCK_BITS, running_peak, running_total
 
+# Blocks are cut twice, which bounds the top level for instants in any unit, nanoseconds included.
+LEVELS = 2
+
 
 def open_changes(
     spans: DataFrame,
@@ -24,30 +28,25 @@ def open_changes(
         F.struct(F.col(start).alias("at_ms"), F.lit(1).cast("bigint").alias("change")),
         F.struct(F.col(end).alias("at_ms"), F.lit(-1).cast("bigint").alias("change")),
     )
-    complete = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    begun = spans.where(F.col(start).isNotNull())
     return (
-        complete.select(*keys, F.inline(edges))
+        begun.select(*keys, F.inline(edges))
+        .where(F.col("at_ms").isNotNull())
         .groupBy(*keys, "at_ms")
         .agg(F.sum("change").alias("change"))
     )
 
 
-def _levels(keys: Sequence[str]) -> int:
-    """With no key the top level is one task; a second cut bounds it for any bigint instants."""
-    return 1 if keys else 2
-
-
 def open_requests(
     spans: DataFrame,
     keys: Sequence[str] = ("run_id",),
     start: str = "start_ms",
     end: str = "end_ms",
     bits: int = BLOCK_BITS,
-    levels: int | None = None,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Open spans after each instant at which one starts or ends."""
     changes = open_changes(spans, keys, start, end)
-    levels = levels or _levels(keys)
     done = running_total(changes, keys, "at_ms", "change", "open", bits=bits, levels=levels)
     return done.select(*keys, "at_ms", "change", "open")
 
@@ -58,9 +57,8 @@ def max_open(
     start: str = "start_ms",
     end: str = "end_ms",
     bits: int = BLOCK_BITS,
-    levels: int | None = None,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """The largest number of spans open at once, per key or, with no keys, overall."""
     changes = open_changes(spans, keys, start, end)
-    levels = levels or _levels(keys)
     return running_peak(changes, keys, "at_ms", "change", "max_open", bits, levels)

@@ -10,7 +10,7 @@ from tallyfield.operators import exposure as ops
 from tallyfield.operators.joins import attach_totals, join_views
 from tallyfield.plans import inputs
 from tallyfield.session import analysis_session
-from tallyfield.sources.features import EXPOSURE_VIEW, LOSS_VIEW, register
+from tallyfield.sources.features import EXPOSURE_VIEW, LOSS_VIEW, load_feature, register
 from tallyfield.sources.views import run_sql
 
 # Bounds that spread the given tables over all bins.
@@ -21,6 +21,16 @@ def feature_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.exposure(spark, sf_dir)
 
 
+def feature_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_feature(
+        spark,
+        f"{sf_dir}/events.parquet",
+        "purchase",
+        columns={"site_id": "user_id", "cov1val": "value"},
+        feature_column="event_type",
+    )
+
+
 def view_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(inputs.exposure(spark, sf_dir), EXPOSURE_VIEW)
     return spark.table(EXPOSURE_VIEW).groupBy("portfolio_id").agg(F.count("*").alias("locations"))
@@ -103,6 +113,7 @@ def peek_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "feature_scan": feature_scan,
+    "feature_by_name": feature_by_name,
     "view_register": view_register,
     "view_chain": view_chain,
     "sql_statement": sql_statement,
@@ -144,6 +155,9 @@ ORACLES = {
         "SELECT l_suppkey AS portfolio_id, l_partkey AS site_id, l_quantity AS cov1val, "
         "l_extendedprice AS cov2val, l_discount AS cov3val, l_tax AS cov4val FROM lineitem"
     ),
+    "feature_by_name": (
+        "SELECT user_id AS site_id, value AS cov1val FROM events WHERE event_type = 'purchase'"
+    ),
     "view_register": (
         "SELECT l_suppkey AS portfolio_id, count(*) AS locations FROM lineitem GROUP BY l_suppkey"
     ),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.functions.decoding import TABLE_KIND, TEXT_KIND
-from tallyfield.sources.features import EXPOSURE_VIEW, LOSS_VIEW, load_feature
+from tallyfield.sources.features import load_feature
 
 EXPOSURE_COLUMNS = {
     "portfolio_id": "l_suppkey",
@@ -24,13 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_feature(
-        spark, f"{sf_dir}/lineitem.parquet", EXPOSURE_VIEW, columns=EXPOSURE_COLUMNS
-    )
+    return load_feature(spark, f"{sf_dir}/lineitem.parquet", columns=EXPOSURE_COLUMNS)
 
 
 def loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_feature(spark, f"{sf_dir}/part.parquet", LOSS_VIEW, columns=LOSS_COLUMNS)
+    return load_feature(spark, f"{sf_dir}/part.parquet", columns=LOSS_COLUMNS)
 
 
 def as_request_log(events: DataFrame) -> DataFrame:
@@ -49,6 +47,8 @@ def as_request_log(events: DataFrame) -> DataFrame:
         F.when(failed, "KO").otherwise("OK").alias("status"),
         F.when(failed, F.col("props")).alias("message"),
         took.alias("rt_ms"),
+        (start + F.shiftright(took, 2)).alias("request_end_ms"),
+        (start + F.shiftright(took, 1)).alias("response_start_ms"),
     )
 
 
@@ -57,10 +57,18 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlapping_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The request log with response times in seconds, so that requests overlap."""
-    return request_log(spark, sf_dir).withColumn(
-        "end_ms", F.col("start_ms") + F.col("rt_ms") * 1000
-    )
+    """The request log with response times in seconds, so that requests overlap.
+
+    Every tenth request has no end yet.
+    """
+    end = F.col("start_ms") + F.col("rt_ms") * 1000
+    return request_log(spark, sf_dir).withColumn("end_ms", F.when(F.col("id") % 10 != 0, end))
+
+
+def log_with_total_name(events: DataFrame) -> DataFrame:
+    """The request log in which purchases are named as the rows over all names are."""
+    name = F.when(F.col("name") == "purchase", "all").otherwise(F.col("name"))
+    return as_request_log(events).withColumn("name", name)
 
 
 def group_log(spark: SparkSession, sf_dir: str) -> DataFrame:

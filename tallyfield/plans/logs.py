@@ -88,7 +88,7 @@ def live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A stream takes a folder or a pattern; this pattern fits the table as one file or a folder.
     events = session.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     path = scratch_path(spark, "live")
-    metrics = live.live_metrics(inputs.as_request_log(events))
+    metrics = live.live_metrics(inputs.log_with_total_name(events))
     live.update_metrics(metrics, f"{path}/metrics", f"{path}/checkpoint").awaitTermination()
     return live.read_updates(spark, f"{path}/metrics")
 
@@ -121,7 +121,8 @@ _LOG = """
       SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS run_id, 'main' AS scenario, user_id,
              event_type AS name, start_ms, start_ms + rt_ms AS end_ms,
              CASE event_type WHEN 'error' THEN 'KO' ELSE 'OK' END AS status,
-             CASE event_type WHEN 'error' THEN props END AS message, rt_ms
+             CASE event_type WHEN 'error' THEN props END AS message, rt_ms,
+             start_ms + rt_ms // 4 AS request_end_ms, start_ms + rt_ms // 2 AS response_start_ms
       FROM started)
 """
 _PERCENT_OK = "CAST(100 * count(*) FILTER (status = 'OK') AS DOUBLE) / count(*)"
@@ -145,11 +146,12 @@ def _percentile(p: int) -> str:
 def _changes(spans: str) -> str:
     """Running sums over the start and end instants of ``spans``, per run and over all runs."""
     return f"""{_LOG},
-        long AS (SELECT run_id, scenario, user_id, start_ms, start_ms + rt_ms * 1000 AS end_ms
+        long AS (SELECT run_id, scenario, user_id, start_ms,
+                        CASE WHEN id % 10 <> 0 THEN start_ms + rt_ms * 1000 END AS end_ms
                  FROM log),
         spans AS ({spans}),
         edges AS (SELECT run_id, start_ms AS at_ms, 1 AS step FROM spans
-                  UNION ALL SELECT run_id, end_ms, -1 FROM spans),
+                  UNION ALL SELECT run_id, end_ms, -1 FROM spans WHERE end_ms IS NOT NULL),
         changes AS (SELECT run_id, at_ms, CAST(sum(step) AS BIGINT) AS change
                     FROM edges GROUP BY run_id, at_ms),
         running AS (SELECT run_id, at_ms, change, CAST(sum(change) OVER (
@@ -162,7 +164,8 @@ def _changes(spans: str) -> str:
 
 _REQUESTS = _changes("SELECT * FROM long")
 _USERS = _changes(
-    "SELECT run_id, scenario, user_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms "
+    "SELECT run_id, scenario, user_id, min(start_ms) AS start_ms, "
+    "CASE WHEN count(*) = count(end_ms) THEN max(end_ms) END AS end_ms "
     "FROM long GROUP BY run_id, scenario, user_id"
 )
 _MAX_PER_RUN = "SELECT run_id, max(open) AS max_open FROM running GROUP BY run_id"
@@ -235,7 +238,8 @@ ORACLES = {
     "open_requests_global": f"{_REQUESTS} SELECT max(open) AS max_open FROM overall",
     "active_users": f"{_USERS} {_MAX_PER_RUN}",
     "live_metrics": (
-        f"{_LOG} SELECT start_ms // 1000 * 1000 AS window_ms, name, {_LIVE} GROUP BY 1, 2 "
-        f"UNION ALL SELECT start_ms // 1000 * 1000, 'all', {_LIVE} GROUP BY 1"
+        f"{_LOG} SELECT start_ms // 1000 * 1000 AS window_ms, CASE name WHEN 'purchase' THEN 'all' "
+        f"ELSE name END AS name, false AS is_all, {_LIVE} GROUP BY 1, 2 "
+        f"UNION ALL SELECT start_ms // 1000 * 1000, 'all', true, {_LIVE} GROUP BY 1"
     ),
 }

@@ -11,6 +11,8 @@ from tallyfield.operators import sessions as ops
 from tallyfield.operators import statements
 from tallyfield.plans import inputs
 
+# A limit near the times in the given tables, so that some statements are over it.
+SLOW_MS = 3000
 TEXT_PATTERN = ".*on.*"
 RESULT_PATTERN = "user 1.*"
 EVALUE_PATTERN = "step [1-4]."
@@ -26,8 +28,7 @@ def first_active_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def active_session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = ops.active_session_lists(inputs.sessions(spark, sf_dir), ["cluster"])
-    return lists.select("cluster", "page", F.array_join("ids", ",").alias("ids"))
+    return ops.active_positions(inputs.sessions(spark, sf_dir), ["cluster"])
 
 
 def regex_full_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,10 @@ def statement_time_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.statement_times(inputs.statement_log(spark, sf_dir))
 
 
+def slow_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.slow_statements(inputs.statement_log(spark, sf_dir), SLOW_MS)
+
+
 def try_parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.date_texts(spark, sf_dir).withColumn("parsed", try_date(F.col("text")))
 
@@ -79,6 +84,7 @@ QUERIES = {
     "error_match": error_match,
     "result_match": result_match,
     "statement_time_by_session": statement_time_by_session,
+    "slow_statements": slow_statements,
     "try_parse_date": try_parse_date,
     "statement_decode": statement_decode,
     "session_decode": session_decode,
@@ -98,20 +104,11 @@ ORACLES = {
         "SELECT o_custkey AS cluster, coalesce(min(CASE WHEN o_orderstatus IN ('F', 'O') "
         "THEN o_orderkey END), 0) AS first_active_id FROM orders GROUP BY o_custkey"
     ),
-    "active_session_list": f"""
-        WITH ranked AS (
-          SELECT o_custkey, o_orderkey,
-                 row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS place
-          FROM orders WHERE o_orderstatus IN ('F', 'O')),
-        pages AS (
-          SELECT o_custkey AS cluster, CAST(floor((place - 1) / {ops.PAGE_IDS}) AS BIGINT) AS page,
-                 string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY place) AS ids
-          FROM ranked GROUP BY 1, 2)
-        SELECT cluster, page, ids FROM pages
-        UNION ALL
-        SELECT DISTINCT o_custkey, CAST(0 AS BIGINT), '' FROM orders
-        WHERE o_custkey NOT IN (SELECT cluster FROM pages)
-    """,
+    "active_session_list": (
+        "SELECT o_custkey AS cluster, o_orderkey AS session_id, "
+        "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rank "
+        "FROM orders WHERE o_orderstatus IN ('F', 'O')"
+    ),
     "regex_full_match": (
         "SELECT conv_id, turn, role, text FROM conversations "
         f"WHERE regexp_full_match(text, '{TEXT_PATTERN}', 's')"
@@ -143,6 +140,11 @@ ORACLES = {
         SELECT session_id, count(*) AS statements, avg(taken) / 1e9 AS mean_s,
                max(taken) / 1e9 AS max_s FROM log GROUP BY session_id
     """,
+    "slow_statements": (
+        "SELECT user_id AS session_id, "
+        f"count(*) FILTER (CAST(floor(value * 10) AS BIGINT) > {SLOW_MS}) AS over_limit "
+        "FROM events GROUP BY user_id"
+    ),
     "try_parse_date": """
         SELECT o_orderkey,
                CASE o_orderpriority

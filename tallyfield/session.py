@@ -12,21 +12,27 @@ from tallyfield.functions.exposure import register_functions
 # Fixed value: the size up to which the analysis session lets Spark broadcast a join side.
 BROADCAST_LIMIT = 200 * 1024 * 1024
 
+# How many times larger than its compressed files a table is taken to be in memory.
+COMPRESSION_FACTOR = 4.0
 
-def analysis_session(spark: SparkSession, broadcast_limit: int = BROADCAST_LIMIT) -> SparkSession:
-    """A session on the same cluster with the analysis options and SQL functions.
+
+def analysis_session(
+    spark: SparkSession,
+    broadcast_limit: int = BROADCAST_LIMIT,
+    compression_factor: float = COMPRESSION_FACTOR,
+) -> SparkSession:
+    """A session on the same cluster with the caller's settings, the analysis options and SQL functions.
 
     Options, views and functions set here stay out of the caller's session. Spark compares
     its size estimate of each join side with ``broadcast_limit``, and with adaptive execution
-    the size measured after a shuffle; a larger side is joined by sort-merge.
+    the size measured after a shuffle; a larger side is joined by sort-merge. The estimate of
+    a table is the size of its files times ``compression_factor``.
     """
     session = spark.newSession()
-    for key in (
-        "spark.sql.shuffle.partitions",
-        "spark.sql.session.timeZone",
-        "spark.sql.adaptive.enabled",
-    ):
-        session.conf.set(key, spark.conf.get(key))
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.sources.fileCompressionFactor", str(compression_factor))
     session.conf.set("spark.sql.autoBroadcastJoinThreshold", str(broadcast_limit))
     register_functions(session)
     return session

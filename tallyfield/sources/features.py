@@ -24,9 +24,12 @@ def load_feature(
     """Load a feature table lazily.
 
     ``columns`` maps feature column names to stored ones. Where one table holds several
-    features, ``feature_column`` names the column that tells them apart; the filter on it
-    reaches the scan, and prunes folders if the table is partitioned by it.
+    features, ``feature_column`` names the column that tells them apart and ``feature`` the
+    one wanted; the filter on it reaches the scan, and prunes folders if the table is
+    partitioned by it. A table with a single feature needs neither.
     """
+    if (feature is None) != (feature_column is None):
+        raise ValueError("feature and feature_column go together")
     loaded = spark.read.format(fmt).options(**options).load(table)
     if feature_column is not None:
         loaded = loaded.where(F.col(feature_column) == feature)

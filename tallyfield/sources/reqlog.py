@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The columns of the load-test records.
 REQUEST_SCHEMA = (
     "id BIGINT, run_id STRING, scenario STRING, user_id BIGINT, name STRING, start_ms BIGINT, "
-    "end_ms BIGINT, status STRING, message STRING, rt_ms BIGINT"
+    "end_ms BIGINT, status STRING, message STRING, rt_ms BIGINT, request_end_ms BIGINT, "
+    "response_start_ms BIGINT"
 )
 RUN_SCHEMA = "run_id STRING, run_date TIMESTAMP, simulation_id STRING, description STRING"
 SCENARIO_SCHEMA = (
@@ -19,13 +22,24 @@ GROUP_SCHEMA = (
 )
 
 
-def write_reqlog(log: DataFrame, path: str, replace_runs: bool = False) -> None:
+def write_reqlog(
+    log: DataFrame, path: str, replace_runs: bool = False, schema: str = REQUEST_SCHEMA
+) -> None:
     """Append records of any of the kinds above under one folder per run.
 
+    What reading would not give back is refused: columns that ``schema`` does not name, and an
+    empty run id, which as a folder is the same as none.
+
     The rebalance gathers each run into few files, and adaptive execution splits a run too
     large for one task. With ``replace_runs`` the runs in ``log`` take the place of what is
     there, so that a job started over does not add its records twice.
     """
+    unnamed = set(log.columns) - set(StructType.fromDDL(schema).names)
+    if unnamed:
+        raise ValueError(f"columns that the schema does not name: {', '.join(sorted(unnamed))}")
+    run = F.col("run_id")
+    refused = F.raise_error(F.lit("run_id must not be empty")).cast("string")
+    log = log.withColumn("run_id", F.when(run == "", refused).otherwise(run))
     writer = log.hint("rebalance", "run_id").write.partitionBy("run_id")
     if replace_runs:
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")

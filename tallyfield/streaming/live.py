@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyfield.operators.reqlog import ALL, KO
+from tallyfield.functions.means import whole_mean
+from tallyfield.operators.reqlog import ALL, KO, percent_name
 from tallyfield.session import analysis_session
 
+LABELS = ("name", "is_all")
 METRICS = ("requests", "failed", "max_ms", "mean_ms")
 _BATCH = "batch"
 
@@ -33,26 +37,48 @@ def update_session(spark: SparkSession) -> SparkSession:
 
 
 def live_metrics(
-    log: DataFrame, interval: str = "1 second", delay: str = "1 minute", at: str = "start_ms"
+    log: DataFrame,
+    interval: str = "1 second",
+    delay: str = "1 minute",
+    at: str = "start_ms",
+    percents: Sequence[float] = (),
+    totals_only: bool = False,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Per interval, request name and over all names: count, failures, longest and mean time.
 
+    ``is_all`` marks the rows over all names, since a request may be named as they are. Each of
+    ``percents`` adds a percentile of the response time, off a sketch of bounded size whose
+    rank error is 1 / ``accuracy``. ``totals_only`` leaves out the rows per name.
+
     Works on a stream and on a static log. On a stream, rows more than ``delay`` behind the
     newest one may be dropped; the watermark also bounds the state.
     """
-    label = F.explode(F.array(F.col("name"), F.lit(ALL)))
+    total = F.struct(F.lit(ALL).alias("name"), F.lit(True).alias("is_all"))
+    named = F.struct(F.col("name").alias("name"), F.lit(False).alias("is_all"))
+    labels = F.array(total) if totals_only else F.array(named, total)
     copies = log.select(
-        F.timestamp_millis(at).alias("__at"), "status", "rt_ms", label.alias("name")
+        F.timestamp_millis(at).alias("__at"), "status", "rt_ms", F.inline(labels)
     ).withWatermark("__at", delay)
+    sketched = [
+        F.percentile_approx("rt_ms", p / 100.0, accuracy).cast("double").alias(percent_name(p))
+        for p in percents
+    ]
     return (
-        copies.groupBy(F.window("__at", interval).alias("__window"), "name")
+        copies.groupBy(F.window("__at", interval).alias("__window"), *LABELS)
         .agg(
             F.count(F.lit(1)).alias("requests"),
             F.count(F.when(F.col("status") == KO, 1)).alias("failed"),
             F.max("rt_ms").alias("max_ms"),
-            F.avg("rt_ms").alias("mean_ms"),
+            whole_mean("rt_ms").alias("mean_ms"),
+            *sketched,
+        )
+        .select(
+            F.unix_millis("__window.start").alias("window_ms"),
+            *LABELS,
+            *METRICS,
+            *map(percent_name, percents),
         )
-        .select(F.unix_millis("__window.start").alias("window_ms"), "name", *METRICS)
     )
 
 
@@ -92,12 +118,16 @@ def update_metrics(
     return stream.trigger(**trigger).start()
 
 
-def read_updates(spark: SparkSession, path: str) -> DataFrame:
-    """The newest metrics of each interval and name from the folders of ``update_metrics``."""
+def read_updates(spark: SparkSession, path: str, percents: Sequence[float] = ()) -> DataFrame:
+    """The newest metrics of each interval and name from the folders of ``update_metrics``.
+
+    ``percents`` are those that ``live_metrics`` was given.
+    """
+    names = [percent_name(p) for p in percents]
     schema = (
-        "window_ms BIGINT, name STRING, requests BIGINT, failed BIGINT, max_ms BIGINT, "
-        f"mean_ms DOUBLE, {_BATCH} BIGINT"
+        "window_ms BIGINT, name STRING, is_all BOOLEAN, requests BIGINT, failed BIGINT, "
+        f"max_ms BIGINT, mean_ms DOUBLE, {''.join(f'{n} DOUBLE, ' for n in names)}{_BATCH} BIGINT"
     )
     updates = spark.read.schema(schema).parquet(path)
-    newest = [F.max_by(metric, _BATCH).alias(metric) for metric in METRICS]
-    return updates.groupBy("window_ms", "name").agg(*newest)
+    newest = [F.max_by(metric, _BATCH).alias(metric) for metric in (*METRICS, *names)]
+    return updates.groupBy("window_ms", *LABELS).agg(*newest)

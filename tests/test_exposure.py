@@ -16,6 +16,7 @@ from tallyfield.operators.joins import attach_over, attach_totals, join_views
 from tallyfield.session import analysis_session, scratch_path
 from tallyfield.sources.features import EXPOSURE_VIEW, LOSS_VIEW, load_feature, register
 from tallyfield.sources.views import chain, run_sql
+from tallyfield.streaming.live import update_session
 from tests.plans import executed_plan
 
 SCHEMA = (
@@ -127,13 +128,42 @@ def test_features_of_one_table(spark, exposure):
     assert "PartitionFilters: [isnotnull(feature" in executed_plan(loaded)
 
 
+def test_a_feature_needs_its_column_and_the_column_a_feature(spark):
+    for half in ({"feature": "b"}, {"feature_column": "feature"}):
+        with pytest.raises(ValueError):
+            load_feature(spark, "/root/testdata/sf0.001/events.parquet", **half)
+
+
+def test_the_wanted_feature_reaches_the_scan(spark):
+    path = "/root/testdata/sf0.001/events.parquet"
+    df = load_feature(spark, path, "click", feature_column="event_type", columns={"v": "value"})
+    assert "EqualTo(event_type,click)" in executed_plan(df)
+    assert df.count() == spark.read.parquet(path).where("event_type = 'click'").count()
+    assert load_feature(spark, path, "nosuch", feature_column="event_type").count() == 0
+
+
+def test_the_session_keeps_the_callers_settings(spark):
+    wanted = {
+        "spark.sql.ansi.enabled": "false",
+        "spark.sql.files.maxPartitionBytes": "1048576b",
+        "spark.sql.adaptive.skewJoin.enabled": "false",
+        "spark.sql.shuffle.partitions": "3",
+    }
+    caller = spark.newSession()
+    for key, value in wanted.items():
+        caller.conf.set(key, value)
+    for session in (analysis_session(caller), update_session(caller)):
+        assert {key: session.conf.get(key) for key in wanted} == wanted
+    assert float(analysis_session(caller, compression_factor=2.5).conf.get("spark.sql.sources.fileCompressionFactor")) == 2.5
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
 def test_formats(spark, exposure, fmt):
     path = scratch_path(spark, fmt)
     rows = exposure.where("site_id = 3")
     rows.write.format(fmt).option("header", True).save(path)
     options = {"header": "true", "inferSchema": "true"} if fmt == "csv" else {}
-    loaded = load_feature(spark, path, EXPOSURE_VIEW, fmt, **options)
+    loaded = load_feature(spark, path, fmt=fmt, **options)
     assert exposure_bins(loaded).select("max_10", "BIN").collect() == [(HIGH, 100)]
 
 
@@ -182,6 +212,13 @@ def test_peek_keeps_only_the_first_rows(exposure):
     assert "TakeOrderedAndProject" in executed_plan(df)
 
 
+def test_peek_without_an_order_reads_no_more_than_it_needs(spark):
+    df = peek(load_feature(spark, "/root/testdata/sf0.001/lineitem.parquet"))
+    assert df.count() == 1
+    plan = executed_plan(df)
+    assert "Sort" not in plan and "Exchange" not in plan and "TakeOrdered" not in plan
+
+
 @pytest.mark.parametrize(("limit", "join"), [(200 << 20, "BroadcastHashJoin"), (-1, "SortMergeJoin")])
 def test_broadcast_only_within_the_limit(spark, limit, join):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -17,9 +17,9 @@ def records(seed, n, first, last):
     rng = random.Random(seed)
     rows = []
     for i in range(n):
-        name, status = rng.choice(["a", "a", "a", "b"]), rng.choice(["OK", "KO"])
+        name, status = rng.choice(["a", "a", "all", "b"]), rng.choice(["OK", "KO"])
         start, rt = rng.randint(first, last), rng.randint(0, 900)
-        rows.append((i, "r", "main", 1, name, start, start + rt, status, None, rt))
+        rows.append((i, "r", "main", 1, name, start, start + rt, status, None, rt, None, None))
     return rows
 
 
@@ -38,7 +38,7 @@ def source(spark):
 
 
 def rows_of(df):
-    columns = ["window_ms", "name", "requests", "failed", "max_ms", "mean_ms"]
+    columns = ["window_ms", "name", "is_all", "requests", "failed", "max_ms", "mean_ms"]
     return sorted(map(tuple, df.select(*columns).collect()))
 
 
@@ -113,10 +113,53 @@ def test_all_row_is_the_sum_of_the_names(spark, source):
     add, _, static = source
     add(records(2, 100, 0, 5_000))
     sums = {}
-    for window, name, requests, *_ in rows_of(live_metrics(static())):
-        part = sums.setdefault(window, {"all": 0, "named": 0})
-        part["all" if name == "all" else "named"] += requests
-    assert all(p["all"] == p["named"] for p in sums.values())
+    for window, name, is_all, requests, *_ in rows_of(live_metrics(static())):
+        assert not is_all or name == "all"
+        part = sums.setdefault(window, {True: 0, False: 0})
+        part[is_all] += requests
+    assert all(p[True] == p[False] for p in sums.values())
+
+
+def test_a_request_named_all(spark):
+    rows = [(1, "r", "main", 1, name, 5, 9, "OK", None, 4, None, None) for name in ("all", "b")]
+    got = live_metrics(spark.createDataFrame(rows, REQUEST_SCHEMA)).collect()
+    assert sorted((r.name, r.is_all, r.requests) for r in got) == [
+        ("all", False, 1), ("all", True, 2), ("b", False, 1)
+    ]
+
+
+def test_totals_only(spark, source):
+    add, _, static = source
+    add(records(2, 50, 0, 3_000))
+    whole = [r for r in rows_of(live_metrics(static())) if r[2]]
+    assert rows_of(live_metrics(static(), totals_only=True)) == whole
+
+
+def test_percentiles_over_several_batches(spark, source):
+    add, stream, static = source
+    path, percents, accuracy = scratch_path(spark, "percents"), (50, 75, 95, 99), 100
+    for seed in range(3):
+        add(records(seed, 400, 0, 1_999))
+    metrics = live_metrics(stream(1), percents=percents, accuracy=accuracy)
+    update_metrics(metrics, f"{path}/m", f"{path}/c").awaitTermination()
+    got = read_updates(spark, f"{path}/m", percents).where("is_all").collect()
+    times = {}
+    for r in static().collect():
+        times.setdefault(r.start_ms // 1000 * 1000, []).append(r.rt_ms)
+    assert {r.window_ms for r in got} == set(times)
+    for r in got:
+        values = times[r.window_ms]
+        for p in percents:
+            found, off = r[f"p{p}"], len(values) / accuracy + 1
+            low, high = sum(v < found for v in values), sum(v <= found for v in values)
+            assert low - off <= len(values) * p / 100 <= high + off
+
+
+def test_means_are_exact(spark):
+    big = 2**53 + 1
+    rows = [(1, "r", "main", 1, "a", 5, 9, "OK", None, t, None, None) for t in (big, 1, 1, -big)]
+    got = live_metrics(spark.createDataFrame(rows, REQUEST_SCHEMA), totals_only=True).collect()
+    assert [r.mean_ms for r in got] == [0.5]
 
 
 def test_stream_over_the_sink(spark):

@@ -32,7 +32,7 @@ from tests.plans import executed_plan
 
 
 def record(run="r", name="n", start=0, rt=10, status="OK", message=None, user=1, i=0):
-    return (i, run, "main", user, name, start, start + rt, status, message, rt)
+    return (i, run, "main", user, name, start, start + rt, status, message, rt, start + 1, start + 2)
 
 
 def log_of(spark, *records):
@@ -132,7 +132,7 @@ def test_percentiles(spark, skewed, bits):
 
 
 def test_percentiles_of_one_request(spark):
-    log = log_of(spark, record(rt=7), (1, "r", "main", 1, "m", 0, None, "OK", None, None))
+    log = log_of(spark, record(rt=7), (1, "r", "main", 1, "m", 0, None, "OK", None, None, None, None))
     assert [tuple(r) for r in rt_percentiles(log).collect()] == [("n", 7.0, 7.0, 7.0, 7.0)]
 
 
@@ -164,9 +164,8 @@ def test_histogram(spark):
     assert {r.cell_ms: r.requests for r in rt_histogram(log).collect()} == {-10: 1, 0: 2, 10: 2, 20: 1}
 
 
-@pytest.mark.parametrize("broadcast_runs", [0, 100])
 @pytest.mark.parametrize("points", [1, 7, 1000])
-def test_series(spark, skewed, points, broadcast_runs):
+def test_series(spark, skewed, points):
     bounds = {}
     for r in skewed:
         low, high = bounds.get(r[1], (r[5], r[5]))
@@ -177,13 +176,24 @@ def test_series(spark, skewed, points, broadcast_runs):
         key = (r[1], r[4], (r[5] - low) * points // (high - low + 1))
         n, ko = want.get(key, (0, 0))
         want[key] = (n + 1, ko + (r[7] == "KO"))
-    df = rt_series(log_of(spark, *skewed), points, broadcast_runs=broadcast_runs)
-    assert ("BroadcastHashJoin" in executed_plan(df)) == (broadcast_runs > 0)
-    got = df.collect()
+    got = rt_series(log_of(spark, *skewed), points).collect()
     assert {(r.run_id, r.name, r.point): (r.requests, r.failed) for r in got} == want
     assert max(r.point for r in got) < points
 
 
+def test_series_is_lazy_and_counts_once(spark, skewed):
+    path = scratch_path(spark, "growing")
+    write_reqlog(log_of(spark, *skewed), path)
+    df = rt_series(read_reqlog(spark, path), 10)
+    df.collect()
+    assert "ReusedExchange" in executed_plan(df)
+    write_reqlog(log_of(spark, record(run="new"), record(run="hot", start=90_000_000)), path)
+    spark.catalog.refreshByPath(path)
+    got = rt_series(read_reqlog(spark, path), 10).collect()
+    assert {r.point for r in got} <= set(range(10))
+    assert "new" in {r.run_id for r in got} and sum(r.requests for r in got) == len(skewed) + 2
+
+
 def test_spans_and_groups(spark):
     log = log_of(spark, record(start=5, rt=5), record(start=1, rt=1), record(user=2, start=3, rt=4))
     got = {r.user_id: (r.start_ms, r.end_ms, r.length_ms) for r in scenario_spans(log).collect()}
@@ -202,7 +212,8 @@ def test_sink_appends_and_prunes(spark):
     back = read_reqlog(spark, path)
     assert back.schema == StructType.fromDDL(
         "id BIGINT, scenario STRING, user_id BIGINT, name STRING, start_ms BIGINT, end_ms BIGINT, "
-        "status STRING, message STRING, rt_ms BIGINT, run_id STRING"
+        "status STRING, message STRING, rt_ms BIGINT, request_end_ms BIGINT, "
+        "response_start_ms BIGINT, run_id STRING"
     )
     assert sorted(back.select(*log_of(spark).columns).collect()) == sorted(
         log_of(spark, *first, *second).collect()
@@ -221,11 +232,19 @@ def test_sink_takes_the_other_records(spark, schema):
     empty = spark.createDataFrame([], schema)
     row = ["x" if f.dataType.simpleString() == "string" else None for f in empty.schema]
     records = spark.createDataFrame([tuple(row)], schema)
-    write_reqlog(records, path)
+    write_reqlog(records, path, schema=schema)
     back = read_reqlog(spark, path, schema)
     assert back.select(*records.columns).collect() == records.collect()
 
 
+def test_sink_refuses_what_reading_would_lose(spark):
+    path = scratch_path(spark, "refused")
+    with pytest.raises(ValueError, match="extra"):
+        write_reqlog(log_of(spark, record()).withColumn("extra", F.lit(1)), path)
+    with pytest.raises(Exception, match="run_id must not be empty"):
+        write_reqlog(log_of(spark, record(run="")), path)
+
+
 def test_sink_splits_a_hot_run(spark):
     """A run too large for one task is written by several."""
     path = scratch_path(spark, "hot")

@@ -4,11 +4,11 @@ import pytest
 
 from tallyfield.operators.sessions import (
     active_positions,
-    active_session_lists,
     active_sessions,
     first_active,
 )
 from tallyfield.operators.statements import decode_session_lists
+from tests.plans import executed_plan
 
 SCHEMA = "cluster string, position long, id long, state string"
 
@@ -38,9 +38,25 @@ def test_first(sessions):
     assert got == {"a": 14, "b": 0, None: 31}
 
 
-def test_lists(sessions):
-    got = {(r.cluster, r.page): r.ids for r in active_session_lists(sessions, ["cluster"]).collect()}
-    assert got == {("a", 0): [13, 12, 14], ("b", 0): [], (None, 0): [31]}
+def ranked(df, **named):
+    return {(r.cluster, r["rank"]): r.session_id for r in active_positions(df, ["cluster"], **named).collect()}
+
+
+def test_ranks(sessions):
+    assert ranked(sessions) == {("a", 1): 13, ("a", 2): 12, ("a", 3): 14, (None, 1): 31}
+
+
+def test_no_place_and_no_id(spark):
+    rows = [
+        ("a", None, 5, "idle"), ("a", 9, 6, "idle"), ("a", 1, 4, "dead"),  # 5 stands at place 5
+        ("b", None, 8, "idle"),
+        ("c", 1, None, "idle"), ("c", 2, 3, "idle"),
+        ("d", 1, None, "idle"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    first = {r.cluster: r.first_active_id for r in first_active(df, ["cluster"]).collect()}
+    assert first == {"a": 5, "b": 8, "c": 3, "d": 0}
+    assert ranked(df) == {("a", 1): 6, ("a", 2): 5, ("b", 1): 8, ("c", 1): 3}
 
 
 def test_listed_sessions_keep_their_place(spark):
@@ -55,33 +71,28 @@ def test_listed_sessions_keep_their_place(spark):
     ]
     first = first_active(df, ["cluster"], session_id="session_id").collect()
     assert [r.first_active_id for r in first] == [9]
-    lists = active_session_lists(df, ["cluster"], session_id="session_id").collect()
-    assert [r.ids for r in lists] == [[7, 9]]
+    assert ranked(df, session_id="session_id") == {("a", 1): 7, ("a", 2): 9}
 
 
-def test_lists_without_a_group_key(sessions):
+def test_first_without_a_group_key(sessions):
     one = sessions.where("cluster = 'a'")
     assert [r.first_active_id for r in first_active(one, []).collect()] == [14]
 
 
 @pytest.mark.parametrize("bits", [2, 21])
-def test_hot_group_fills_pages(spark, bits):
+def test_hot_group(spark, bits):
     rng = random.Random(3)
     rows = [
         (rng.choice(["hot", "hot", "c", "d"]), at, 1000 - at, rng.choice(["idle", "dead", "Running"]))
         for at in range(200)
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    lists, pages = {}, {}
+    lists = {}
     for c, _, i, s in sorted(rows, key=lambda r: -r[1]):
         lists.setdefault(c, []).extend([i] if s != "dead" else [])
-    for r in active_session_lists(df, ["cluster"], page_ids=7, bits=bits).collect():
-        assert len(r.ids) <= 7
-        pages.setdefault(r.cluster, {})[r.page] = r.ids
-    got = {c: [i for p in sorted(v) for i in v[p]] for c, v in pages.items()}
-    assert got == lists
-    ranks = {(r.cluster, r["rank"]): r.session_id for r in active_positions(df, ["cluster"], bits=bits).collect()}
-    assert ranks == {(c, n): i for c, ids in lists.items() for n, i in enumerate(ids, 1)}
+    got = active_positions(df, ["cluster"], bits=bits)
+    assert ranked(df, bits=bits) == {(c, n): i for c, ids in lists.items() for n, i in enumerate(ids, 1)}
+    assert "collect_list" not in executed_plan(got)
 
 
 def test_places_may_be_any_bigint(spark):

@@ -12,6 +12,7 @@ from tallyfield.operators.statements import (
     decode_statements,
     error_match,
     result_match,
+    slow_statements,
     statement_times,
 )
 from tests.plans import executed_plan
@@ -148,3 +149,10 @@ def test_statement_times(spark):
     log = spark.createDataFrame(rows, "session_id int, start_ns long, end_ns long")
     got = {r.session_id: tuple(r)[1:] for r in statement_times(log).collect()}
     assert got == {1: (2, 1.5, 2.0), 2: (0, None, None)}
+
+
+def test_slow_statements(spark):
+    second = 10**9
+    rows = [("a", 0, 120 * second), ("a", 0, 120 * second + 1), ("b", 5, 6), ("a", 7, None)]
+    log = spark.createDataFrame(rows, "session_id string, start_ns long, end_ns long")
+    assert {r.session_id: r.over_limit for r in slow_statements(log).collect()} == {"a": 1, "b": 0}

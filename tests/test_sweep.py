@@ -42,7 +42,9 @@ def test_random_spans(spark, bits):
         ([(0, 10), (10, 20)], 1),  # touching spans do not overlap
         ([(5, 9), (5, 9), (5, 6)], 3),
         ([(5, 5)], 0),  # nothing is open for no time
-        ([(0, 10), (5, None), (None, 7)], 1),
+        ([(0, 10), (5, None), (None, 7)], 2),  # open to this day; never begun
+        ([(0, 4), (1, None), (2, None), (3, None)], 4),
+        ([(7, None)], 1),
     ],
 )
 def test_edges(spark, spans, most):
@@ -59,6 +61,30 @@ def test_last_running_sum_is_zero(spark):
     assert last == {"r": 0, "s": 0}
 
 
+def test_open_spans_count_in_every_run(spark):
+    rows = [("r", 0, 5), ("r", 6, None), ("r", 7, None), ("r", 8, None), ("s", 3, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.run_id: r.max_open for r in max_open(df).collect()} == {"r": 3, "s": 1}
+    assert [r.max_open for r in max_open(df, keys=()).collect()] == [4]
+    assert {(r.run_id, r.at_ms): r.open for r in open_requests(df).collect()}["r", 8] == 3
+
+
+def test_nanoseconds(spark):
+    """Instants far apart in one run: the top level stays small."""
+    day = 86_400 * 10**9
+    rows = [("r", i * day, i * day + 3 * day // 2) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [r.max_open for r in max_open(df).collect()] == [2]
+
+
+def test_a_part_is_open_while_a_request_is(spark):
+    rows = [("r", "m", 1, 0, 5), ("r", "m", 1, 7, None), ("r", "m", 2, 1, 2)]
+    log = spark.createDataFrame(rows, "run_id string, scenario string, user_id long, start_ms long, end_ms long")
+    spans = {r.user_id: (r.start_ms, r.end_ms, r.length_ms) for r in scenario_spans(log).collect()}
+    assert spans == {1: (0, None, None), 2: (1, 2, 1)}
+    assert [r.max_open for r in max_open(scenario_spans(log)).collect()] == [2]
+
+
 def test_no_spans(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert open_requests(df).collect() == []
