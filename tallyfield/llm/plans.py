@@ -33,8 +33,8 @@ def utf8_sha256(text):
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_documents(docs).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return score_documents(docs, classes="lang").select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
     )
 
