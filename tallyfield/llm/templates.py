@@ -5,8 +5,10 @@ capitalised word inside a sentence ``<p>`` (a name), a unit after a number ``<u>
 word without its punctuation. Windows of ``window`` canonical tokens are hashed and joined with the windows of the
 benchmark items. Windows that match at the same distance between the two texts are one alignment. Its slots
 are the placeholders with their original words; they are consistent when each value of the item
-stands for one value of the document. A document is contaminated by an item when consistent
-windows of it match. So a question with other numbers and names is found, and a text that only shares the frame is not.
+stands for one value of the document. Windows of an alignment that touch or overlap are one run. A document is
+contaminated by an item when a run of it holds ``run`` words of the item, or all of them where it has fewer; tokens
+without a letter or digit are no words. So a question with other numbers and names is found, and a text that
+shares a stock phrase or a row of marks is not.
 
 Only DataFrame functions are used. Before windows of the corpus are shuffled, they are checked
 against the residues of benchmark windows modulo ``RESIDUES``: a table of at most so many numbers,
@@ -14,20 +16,20 @@ which is broadcast. What passes is joined exactly, on the hash and then on the w
 
 Defined cases: null and empty texts, and those shorter than a window, match nothing; an item
 shorter than a window matches nothing; windows with fewer than ``solid``
-tokens that are no placeholder are not used; repeated rows are judged alike, each by itself; a null item id is
+words that are no placeholder are not used; an item without words matches nothing; repeated rows are judged alike, each by itself; a null item id is
 an item like others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.session import written
 
 WINDOW = 8
 SOLID = 5
-MATCHES = 1
+RUN = 13
 RESIDUES = 1 << 20
 # Units that are placeholders after a number.
 UNITS = (
@@ -40,6 +42,8 @@ _NUMBER = r"^[(\[$€£+-]*[0-9]+([.,:/-][0-9]+)*[%)\].,;:!?]*$"
 _NAME = r"^[\"'(]*\p{Lu}\p{Ll}+"
 _ENDS = r"[.!?:][\"')]*$"
 _EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+_WORD = r"[\p{L}\p{N}]"
+ALIGNMENT = ("_row", "_item", "shift")
 
 
 def tokens_of(text: Column) -> Column:
@@ -102,25 +106,41 @@ def cut(places: DataFrame, rows: DataFrame, row: str, text: str, window: int) ->
     )
 
 
+def words_in(tokens: Column) -> Column:
+    return F.size(F.filter(tokens, lambda t: t.rlike(_WORD)))
+
+
+def runs(windows: DataFrame) -> DataFrame:
+    """(alignment, words): the words of each run of windows [begin, end), counted in words of the item."""
+    ordered = Window.partitionBy(*ALIGNMENT).orderBy("begin", "end")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    opens = (F.col("begin") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int")
+    numbered = windows.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(ordered))
+    return numbered.groupBy(*ALIGNMENT, "_run").agg((F.max("end") - F.min("begin")).alias("words")).drop("_run")
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, solid: int = SOLID, matches: int = MATCHES,
+    window: int = WINDOW, solid: int = SOLID, run: int = RUN,
 ) -> DataFrame:
     """``docs`` with ``contaminated`` and ``items``, the sorted ids of the items found in each.
 
     ``window`` is a power of two. ``docs`` is written once with row numbers.
     """
     docs = docs.drop("contaminated", "items")
-    spark = docs.sparkSession
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
     asked = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
-    asked = written(asked.withColumn("_item", F.monotonically_increasing_id()), "items")
+    asked = once(asked.withColumn("_item", F.monotonically_increasing_id()), "all", tokens_of(F.col("text")), "_item", "item", "text")
+    asked = written(asked.withColumn("item_words", words_in(F.col("all"))), "items")
 
     def solid_enough(forms: Column) -> Column:
-        return F.size(F.filter(forms, lambda f: ~f.startswith("<"))) >= solid
+        return F.size(F.filter(forms, lambda f: ~f.startswith("<") & (f != ""))) >= solid
 
     frames = cut(window_hashes(asked, "_item", "text", window), asked, "_item", "text", window)
-    frames = written(frames.where(solid_enough(F.col("forms"))), "frames")
+    frames = frames.where(solid_enough(F.col("forms"))).join(asked.select("_item", "all"), "_item")
+    begin = words_in(F.slice("all", 1, F.col("at")))
+    frames = frames.withColumn("begin", begin).withColumn("end", F.col("begin") + words_in(F.col("tokens")))
+    frames = written(frames.drop("all"), "frames")
     residues = frames.select(F.pmod("hash", F.lit(RESIDUES)).alias("residue")).distinct()
     found = (
         window_hashes(numbered, "_row", text, window)
@@ -132,7 +152,7 @@ def decontaminate(
     found = written(found, "suspect-windows")
     found = cut(found, numbered, "_row", text, window)
     frames = frames.select(
-        "_item", F.col("at").alias("item_at"), "hash", F.col("tokens").alias("item_tokens"),
+        "_item", F.col("at").alias("item_at"), "begin", "end", "hash", F.col("tokens").alias("item_tokens"),
         F.col("forms").alias("item_forms"),
     )
     aligned = (
@@ -150,14 +170,16 @@ def decontaminate(
         ),
         lambda s: s.isNotNull(),
     )
-    # consistent: no value of the item stands for two of the document
-    together = aligned.withColumn("slots", slots).groupBy("_row", "_item", "shift").agg(
-        F.count(F.lit(1)).alias("matched"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+    aligned = written(
+        aligned.withColumn("slots", slots).select(*ALIGNMENT, "item_at", "begin", "end", "slots"), "alignments"
     )
+    # consistent: no value of the item stands for two of the document
+    together = aligned.groupBy(*ALIGNMENT).agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["asked"]))) == F.size("slots")
+    good = aligned.join(together.where(consistent).select(*ALIGNMENT), list(ALIGNMENT), "left_semi")
     hits = (
-        together.where(consistent & (F.col("matched") >= matches))
-        .join(asked.select("_item", "item"), "_item")
+        runs(good).join(asked.select("_item", "item", "item_words"), "_item")
+        .where((F.col("item_words") > 0) & (F.col("words") >= F.least(F.lit(run), "item_words")))
         .groupBy("_row")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )

@@ -26,6 +26,16 @@ def test_slots_must_agree(spark):
     assert found(spark, [other, mixed], [(4, item)]) == [[4], []]
 
 
+def test_stock_phrases_and_marks_are_no_leak(spark):
+    stock = "Which of the following is the correct answer to the puzzle that old Greta wrote on her kitchen wall?"
+    table = "Fill in this table of rivers by length please : | | | | | | | | | | | | | | and then name the longest of all"
+    texts = [
+        "We asked which of the following is the correct answer to our own survey.", "my table | | | | | | | | | | | | | | | |",
+        "so. " + stock, "so. " + table,
+    ]
+    assert found(spark, texts, [(1, stock), (2, table)]) == [[], [], [1], [2]]
+
+
 def test_empty(spark):
     assert found(spark, ["a b c"], [(1, None), (2, "")]) == [[]]
     none = spark.createDataFrame([], ITEMS)
