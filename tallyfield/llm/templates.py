@@ -4,8 +4,10 @@ A text is cut into tokens, and each token into a canonical form: a number is ``<
 capitalised word inside a sentence ``<p>`` (a name), a unit after a number ``<u>``, anything else the lower-cased
 word without its punctuation. Windows of ``window`` canonical tokens are hashed and joined with the windows of the
 benchmark items. Windows that match at the same distance between the two texts are one alignment. Its slots
-are the placeholders with their original words; they are consistent when each value of the item
-stands for one value of the document. Windows of an alignment that touch or overlap are one run. A document is
+are the placeholders with their original words. A value of the item has a reading in an alignment when more than
+half of its places there stand for one value of the document. A window is consistent when all its slots
+follow the readings, or when it is copied word for word; other windows of the alignment are not touched. Consistent
+windows of an alignment that touch or overlap are one run. A document is
 contaminated by an item when a run of it holds ``run`` words of the item, or all of them where it has fewer; tokens
 without a letter or digit are no words. So a question with other numbers and names is found, and a text that
 shares a stock phrase or a row of marks is not.
@@ -119,6 +121,18 @@ def runs(windows: DataFrame) -> DataFrame:
     return numbered.groupBy(*ALIGNMENT, "_run").agg((F.max("end") - F.min("begin")).alias("words")).drop("_run")
 
 
+def consistent(aligned: DataFrame) -> DataFrame:
+    """The windows of ``aligned`` whose slots follow the readings of their alignment or are copied word for word."""
+    given = aligned.select(*ALIGNMENT, F.inline("slots")).distinct().groupBy(*ALIGNMENT, "asked", "given").agg(F.count("at").alias("n"))
+    places = F.sum("n").over(Window.partitionBy(*ALIGNMENT, "asked"))
+    strays = given.withColumn("places", places).where(F.col("n") * 2 <= F.col("places"))
+    strays = strays.groupBy(*ALIGNMENT).agg(F.collect_set(F.struct("asked", "given")).alias("strays"))
+    pairs = F.transform("slots", lambda s: F.struct(s["asked"].alias("asked"), s["given"].alias("given")))
+    copied = F.forall("slots", lambda s: s["asked"] == s["given"])
+    follows = F.col("strays").isNull() | copied | ~F.arrays_overlap(pairs, F.coalesce("strays", F.array().cast("array<struct<asked:string,given:string>>")))
+    return aligned.join(strays, list(ALIGNMENT), "left").where(follows).drop("strays")
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     window: int = WINDOW, solid: int = SOLID, run: int = RUN,
@@ -160,10 +174,12 @@ def decontaminate(
         .where(F.col("forms") == F.col("item_forms"))
         .withColumn("shift", F.col("at") - F.col("item_at"))
     )
+    places = F.sequence(F.col("item_at"), F.col("item_at") + F.size("forms") - 1)
     slots = F.filter(
         F.zip_with(
-            F.col("forms"), F.arrays_zip("tokens", "item_tokens"),
+            F.col("forms"), F.arrays_zip("tokens", "item_tokens", places.alias("item_at")),
             lambda f, t: F.when(f.startswith("<"), F.struct(
+                t["item_at"].alias("at"),
                 F.lower(F.regexp_replace(t["item_tokens"], _EDGES, "")).alias("asked"),
                 F.lower(F.regexp_replace(t["tokens"], _EDGES, "")).alias("given"),
             )),
@@ -173,10 +189,7 @@ def decontaminate(
     aligned = written(
         aligned.withColumn("slots", slots).select(*ALIGNMENT, "item_at", "begin", "end", "slots"), "alignments"
     )
-    # consistent: no value of the item stands for two of the document
-    together = aligned.groupBy(*ALIGNMENT).agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["asked"]))) == F.size("slots")
-    good = aligned.join(together.where(consistent).select(*ALIGNMENT), list(ALIGNMENT), "left_semi")
+    good = consistent(aligned)
     hits = (
         runs(good).join(asked.select("_item", "item", "item_words"), "_item")
         .where((F.col("item_words") > 0) & (F.col("words") >= F.least(F.lit(run), "item_words")))

@@ -26,6 +26,16 @@ def test_slots_must_agree(spark):
     assert found(spark, [other, mixed], [(4, item)]) == [[4], []]
 
 
+def test_one_edited_slot_spares_the_rest(spark):
+    item = (
+        "When the mill of Greta closed in spring she sold the old wheel and moved near the river with two dogs and a cart; "
+        "years later the mill was bought by a man who paid Greta for the name and nothing else at all"
+    )
+    edited = item.replace("paid Greta", "paid Bob")
+    renamed = item.replace("Greta", "Ann").replace("paid Ann", "paid Bob")
+    assert found(spark, [edited, renamed, item.replace("Greta", "Ann")], [(7, item)]) == [[7], [7], [7]]
+
+
 def test_stock_phrases_and_marks_are_no_leak(spark):
     stock = "Which of the following is the correct answer to the puzzle that old Greta wrote on her kitchen wall?"
     table = "Fill in this table of rivers by length please : | | | | | | | | | | | | | | and then name the longest of all"
