@@ -3,7 +3,8 @@
 A text is cut into tokens, and each token into a canonical form: a number is ``<n>``, a
 capitalised word inside a sentence ``<p>`` (a name), a unit after a number ``<u>``, anything else the lower-cased
 word without its punctuation. Windows of ``window`` canonical tokens are hashed and joined with the windows of the
-benchmark items. Windows that match at the same distance between the two texts are one alignment. Its slots
+benchmark items. The same windows are joined by their literal tokens too, lower-cased and without punctuation, so a
+copy is found where a window is made of numbers and names; items shorter than a window are joined as a whole. Windows that match at the same distance between the two texts are one alignment. Its slots
 are the placeholders with their original words. A value of the item has a reading in an alignment when more than
 half of its places there stand for one value of the document. A window is consistent when all its slots
 follow the readings, or when it is copied word for word; other windows of the alignment are not touched. Consistent
@@ -16,9 +17,9 @@ Only DataFrame functions are used. Before windows of the corpus are shuffled, th
 against the residues of benchmark windows modulo ``RESIDUES``: a table of at most so many numbers,
 which is broadcast. What passes is joined exactly, on the hash and then on the window itself.
 
-Defined cases: null and empty texts, and those shorter than a window, match nothing; an item
-shorter than a window matches nothing; windows with fewer than ``solid``
-words that are no placeholder are not used; an item without words matches nothing; repeated rows are judged alike, each by itself; a null item id is
+Defined cases: null and empty texts, match nothing; windows and short items with fewer than ``solid`` words that are no placeholder
+match by their literal tokens only, so with other values they are not found; an item of one word is found wherever the word
+stands; an item without words matches nothing; repeated rows are judged alike, each by itself; a null item id is
 an item like others.
 """
 
@@ -75,37 +76,66 @@ def once(df: DataFrame, name: str, value: Column, *kept: str) -> DataFrame:
     return df.select(*kept, F.explode(F.array(value)).alias(name))
 
 
-def window_hashes(rows: DataFrame, row: str, text: str, window: int) -> DataFrame:
-    """(row, at, hash): the windows of each text.
+def literal(tokens: Column) -> Column:
+    """The literal form of each token; one without a letter or digit stays."""
 
-    The hash of eight tokens comes from hashes of two fours, and those from twos, so each token is
-    hashed once. No row carries more than its place and hash.
+    def form(word: Column) -> Column:
+        plain = F.lower(F.regexp_replace(word, _EDGES, ""))
+        return F.when(plain == "", word).otherwise(plain)
+
+    return F.transform(tokens, form)
+
+
+def window_hashes(rows: DataFrame, row: str, text: str, sizes: list[int]) -> DataFrame:
+    """(row, exact, size, at, hash): the windows of each text, by canonical and (``exact``) by literal tokens.
+
+    The hash of a window comes from hashes of shorter ones, the powers of two in its size, so each token is
+    hashed once a form. No row carries more than its place and hash.
     """
     out = once(rows, "tokens", tokens_of(F.col(text)), row)
-    out = once(out, "forms", canonical(F.col("tokens")), row)
-    out = once(out, "h1", F.transform("forms", lambda f: F.xxhash64(f)), row)
-    size = 1
-    while size < window:
-        name = f"h{size}"
-        left = F.greatest(F.size(name) - size, F.lit(0))
-        joined = F.zip_with(F.slice(name, 1, left), F.slice(name, size + 1, left), lambda a, b: F.xxhash64(a, b))
-        size *= 2
-        out = once(out, f"h{size}", joined, row)
-    return out.select(row, F.posexplode(f"h{size}").alias("at", "hash"))
-
-
-def cut(places: DataFrame, rows: DataFrame, row: str, text: str, window: int) -> DataFrame:
-    """The windows at (row, at) with their tokens and canonical forms."""
+    kept, keys = [row], []
+    for exact, forms in ((False, canonical), (True, literal)):
+        name = lambda size: f"h{size}{'x' if exact else ''}"  # noqa: B023, E731
+        out = once(out, name(1), F.transform(forms(F.col("tokens")), lambda f: F.xxhash64(f)), *kept, "tokens")
+        kept.append(name(1))
+    out = out.drop("tokens")
+    for exact in (False, True):
+        name = lambda size: f"h{size}{'x' if exact else ''}"  # noqa: B023, E731
+
+        def add(size, a, b, out, name=name):
+            left = F.greatest(F.size(name(1)) - (size - 1), F.lit(0))
+            joined = F.zip_with(F.slice(name(a), 1, left), F.slice(name(b), a + 1, left), lambda x, y: F.xxhash64(x, y))
+            kept.append(name(size))
+            return once(out, name(size), joined, *kept[:-1])
+
+        power = 1
+        while 2 * power <= max(sizes):
+            out = add(2 * power, power, power, out)
+            power *= 2
+        for size in sizes:
+            if name(size) not in kept:  # the largest power of two in it first
+                rest, have = size, 0
+                while rest:
+                    part = 1 << (rest.bit_length() - 1)
+                    if have and name(have + part) not in kept:
+                        out = add(have + part, have, part, out)
+                    have, rest = have + part, rest - part
+            keys.append(F.struct(F.lit(exact).alias("exact"), F.lit(size).alias("size"), F.col(name(size)).alias("hashes")))
+    out = out.select(row, F.inline(F.array(*keys)))
+    return out.select(row, "exact", "size", F.posexplode("hashes").alias("at", "hash"))
+
+
+def cut(places: DataFrame, rows: DataFrame, row: str, text: str) -> DataFrame:
+    """The windows at (row, at) with their tokens, canonical and literal forms."""
     with_text = places.join(rows.select(row, F.col(text).alias("_text")), row)
     with_tokens = once(with_text, "tokens", tokens_of(F.col("_text")), *places.columns)
     # one token before the window tells whether its first word begins a sentence or follows a number
-    near = F.slice("tokens", F.greatest(F.col("at"), F.lit(1)), F.when(F.col("at") > 0, window + 1).otherwise(window))
+    near = F.slice("tokens", F.greatest(F.col("at"), F.lit(1)), F.when(F.col("at") > 0, F.col("size") + 1).otherwise(F.col("size")))
     formed = once(with_tokens, "tokens", near, *places.columns)
     formed = once(formed, "forms", canonical(F.col("tokens")), *places.columns, "tokens")
     first = F.when(F.col("at") > 0, 2).otherwise(1)
-    return formed.withColumn("forms", F.slice("forms", first, window)).withColumn(
-        "tokens", F.slice("tokens", first, window)
-    )
+    formed = formed.withColumn("forms", F.slice("forms", first, F.col("size"))).withColumn("tokens", F.slice("tokens", first, F.col("size")))
+    return formed.withColumn("forms", F.when(F.col("exact"), literal(F.col("tokens"))).otherwise(F.col("forms")))
 
 
 def words_in(tokens: Column) -> Column:
@@ -150,27 +180,31 @@ def decontaminate(
     def solid_enough(forms: Column) -> Column:
         return F.size(F.filter(forms, lambda f: ~f.startswith("<") & (f != ""))) >= solid
 
-    frames = cut(window_hashes(asked, "_item", "text", window), asked, "_item", "text", window)
-    frames = frames.where(solid_enough(F.col("forms"))).join(asked.select("_item", "all"), "_item")
+    # at most window lengths: those of the short items, and the window's own
+    shorter = asked.where(F.size("all") < window).select(F.size("all").alias("size")).distinct().collect()
+    sizes = sorted({window} | {r["size"] for r in shorter if r["size"] > 0})
+    frames = cut(window_hashes(asked, "_item", "text", sizes), asked, "_item", "text")
+    frames = frames.join(asked.select("_item", "all"), "_item").where(F.col("size") == F.least(F.size("all"), F.lit(window)))
+    frames = frames.where(F.when(F.col("exact"), words_in(F.col("tokens")) > 0).otherwise(solid_enough(F.col("forms"))))
     begin = words_in(F.slice("all", 1, F.col("at")))
     frames = frames.withColumn("begin", begin).withColumn("end", F.col("begin") + words_in(F.col("tokens")))
     frames = written(frames.drop("all"), "frames")
     residues = frames.select(F.pmod("hash", F.lit(RESIDUES)).alias("residue")).distinct()
     found = (
-        window_hashes(numbered, "_row", text, window)
+        window_hashes(numbered, "_row", text, sizes)
         .withColumn("residue", F.pmod("hash", F.lit(RESIDUES)))
         .join(F.broadcast(residues), "residue", "left_semi")  # at most RESIDUES numbers
         .drop("residue")
-        .join(frames.select("hash").distinct(), "hash", "left_semi")
+        .join(frames.select("exact", "size", "hash").distinct(), ["exact", "size", "hash"], "left_semi")
     )
     found = written(found, "suspect-windows")
-    found = cut(found, numbered, "_row", text, window)
+    found = cut(found, numbered, "_row", text)
     frames = frames.select(
-        "_item", F.col("at").alias("item_at"), "begin", "end", "hash", F.col("tokens").alias("item_tokens"),
+        "_item", F.col("at").alias("item_at"), "begin", "end", "exact", "size", "hash", F.col("tokens").alias("item_tokens"),
         F.col("forms").alias("item_forms"),
     )
     aligned = (
-        found.join(frames, "hash")
+        found.join(frames, ["exact", "size", "hash"])
         .where(F.col("forms") == F.col("item_forms"))
         .withColumn("shift", F.col("at") - F.col("item_at"))
     )
@@ -178,7 +212,7 @@ def decontaminate(
     slots = F.filter(
         F.zip_with(
             F.col("forms"), F.arrays_zip("tokens", "item_tokens", places.alias("item_at")),
-            lambda f, t: F.when(f.startswith("<"), F.struct(
+            lambda f, t: F.when(~F.col("exact") & f.startswith("<"), F.struct(
                 t["item_at"].alias("at"),
                 F.lower(F.regexp_replace(t["item_tokens"], _EDGES, "")).alias("asked"),
                 F.lower(F.regexp_replace(t["tokens"], _EDGES, "")).alias("given"),

@@ -26,6 +26,17 @@ def test_slots_must_agree(spark):
     assert found(spark, [other, mixed], [(4, item)]) == [[4], []]
 
 
+def test_short_and_slot_dense_items(spark):
+    items = [
+        (1, "What is the capital of France?"), (2, "3 + 4 = ?"), (3, "Meet Anna Bob Carl Dora Emil Fritz Gerd Hans Ida Jan Karl Lars Mia Nora."),
+        (4, "Add 12 7 19 44 3 8 21 90 55 61 70 81 93 15 26"), (5, "* * * * * * * * * *"), (6, "Is the river near Paris or not?"),
+    ]
+    copied = [f"so. {t} ok" for _, t in items]
+    others = ["so. What is the capital of Spain?", "so 3 + 5 = ?", "Add 12 7 19 44 3 8 21 90 55 61 0 81 93 15 26"]
+    got = found(spark, copied + others + [items[2][1].lower()], items)
+    assert got[:6] == [[1], [2], [3], [4], [], [6]] and got[6:] == [[1], [], [], [3]]
+
+
 def test_one_edited_slot_spares_the_rest(spark):
     item = (
         "When the mill of Greta closed in spring she sold the old wheel and moved near the river with two dogs and a cart; "
