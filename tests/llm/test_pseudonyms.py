@@ -45,6 +45,27 @@ def test_formats(spark):
     assert pseudonymise(documents(spark, []), "key").count() == 0
 
 
+def test_further_layouts(spark):
+    values = [
+        "(555) 123-4567", "555-123-4567", "+1 555-123-4567", "+44 20 7946 0958", "020 7946 0958", "3782 822463 10005", "1/2/2020",
+        "3 May 2021", "May 03, 2021", "123-45-6789", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "2001:db8::ff00:42:8329",
+        "+33 1 23 45 67 89", "+15551234567", "2001:0db8:0:0:0:ff00:42:8329", "666-45-6789", "1/2020", "std::cout 12:30:45 +5 100",
+    ]
+    rows = [(i, f"so {v}, then") for i, v in enumerate(values)]
+    got = {r.doc_id: r.text for r in pseudonymise(documents(spark, rows), "key").collect()}
+    new = [got[i][3:-6] for i in range(len(values))]
+    assert all(got[i] == f"so {n}, then" for i, n in enumerate(new))
+    assert [n == v for n, v in zip(new, values, strict=True)] == [False] * 16 + [True] * 3
+    digits = ["".join(c for c in n if c.isdigit()) for n in new]
+    assert digits[0] == digits[1] == digits[2][1:] == digits[14][1:] and new[3].startswith("+44 ") and new[4].startswith("0")
+    assert luhn(digits[5]) and new[12] == new[15] and len(new[12].split(":")) == 8
+    a, b = (datetime.datetime.strptime(n, f) for n, f in ((new[7], "%d %B %Y"), (new[8], "%B %d, %Y")))
+    assert a == b and datetime.datetime.strptime(new[6], "%d/%m/%Y")
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", new[9])
+    for n in (new[10].replace(" ", ""), new[11]):
+        assert int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1
+
+
 def test_no_python(spark):
     plan = plans.op5_pseudonyms(spark, SF_DIR)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
