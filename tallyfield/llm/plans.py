@@ -14,6 +14,7 @@ from tallyfield.llm.mixing import score_documents
 from tallyfield.llm.pseudonyms import pseudonymise
 from tallyfield.llm.secrets import joined_spans, scan_secrets
 from tallyfield.llm.shards import assign_shards
+from tallyfield.llm.spelling import spelling_variants
 from tallyfield.llm.templates import decontaminate
 from tallyfield.llm.text import share_package
 from tallyfield.llm.trees import quality_rules
@@ -120,6 +121,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling_variants(docs, damage=True)
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_secrets": op2_secrets,
@@ -131,6 +137,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_shards": op9_shards,
     "op10_bpe": op10_bpe,
+    "op13_spelling": op13_spelling,
 }
 
 _BLANKS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
