@@ -53,14 +53,6 @@ ALL = (1 << COARSE) - 1
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def damaged(doc_id, run: str) -> str:
-    """The lower-cased run, less one letter if the hash of document and run says so."""
-    seed = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    h = zlib.crc32(run.encode(), seed)
-    cut = h % len(run)
-    return run[:cut] + run[cut + 1 :] if h % DAMAGE_DIVISOR == 0 else run
-
-
 def count_words(docs: DataFrame, text: str, key: str, min_length: int, damage: bool) -> DataFrame:
     """(word, n): how often each word of ``min_length`` letters or more occurs in all texts."""
     find = re.compile(RUN).findall
@@ -101,9 +93,18 @@ def letter_groups(words: DataFrame) -> np.ndarray:
     Letters go, the commonest first, to the group that holds the fewest so far; coarse groups are
     filled first, then the fine groups of each. At most as many rows as there are letters.
     """
+
+    def count(batches):
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            joined = "".join(batch.column("word").to_pylist()).encode("latin-1")
+            total += np.bincount(np.frombuffer(joined, np.uint8), minlength=256)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["letter", "n"])
+
     counted = (
-        words.select(F.explode(F.split("word", "")).alias("letter"))
-        .groupBy("letter").agg(F.count(F.lit(1)).alias("n")).where(F.col("letter") != "").collect()
+        words.select("word").mapInArrow(count, "letter long, n long")
+        .groupBy("letter").agg(F.sum("n").alias("n")).collect()
     )
     coarse, fine = np.zeros(COARSE), np.zeros((COARSE, FINE))
     group = np.zeros(256, np.int64)
@@ -112,7 +113,7 @@ def letter_groups(words: DataFrame) -> np.ndarray:
         f = int(fine[c].argmin())
         coarse[c] += row.n
         fine[c, f] += row.n
-        group[ord(row.letter)] = c * FINE + f
+        group[row.letter] = c * FINE + f
     return group
 
 

@@ -78,7 +78,7 @@ def test_anagrams_and_split_cells(spark, small_cells):
 
 
 def test_odd_rows(spark):
-    long = "x" * 100_000
+    long = "x" * 3_000
     rows = [
         (1, None), (2, ""), (3, "  \n "), (4, "Ünïcode Ünïcode ünïcode Ünïcode"), (None, "naïve naïve naive naive naive"),
         (5, f"{long} {long} {long}y {long}y"), (5, f"{long} {long}y"), (6, "abcd abcd abcd abcde abcde abcde"),
@@ -93,6 +93,14 @@ def test_odd_rows(spark):
     assert got(spelling_variants(documents(spark, [(1, None)]))) == set()
 
 
+def test_very_long_words(spark):
+    long = "xy" * 100_000
+    rows = [(1, f"{long} {long} {long}"), (2, f"{long}z " * 9 + "other " * 3)]
+    assert got(spelling_variants(documents(spark, rows))) == {
+        (long, f"{long}z", f"{long}z", 3, 1, 9), (f"{long}z", None, f"{long}z", 9, 1, None), ("other", None, "other", 3, 0, None)
+    }
+
+
 def test_long_chain_of_forms(spark):
     rows = [(i, " ".join(["abcde" + "f" * i] * 3 * 2**i)) for i in range(9)]
     result = got(spelling_variants(documents(spark, rows)))
