@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.llm.bpe import decode_bpe, encode_bpe
+from tallyfield.llm.conversations import damage_turns, repair_conversations
 from tallyfield.llm.jaccard import jaccard_components
 from tallyfield.llm.kernel import quality_scores
 from tallyfield.llm.lines import drop_common_lines
@@ -121,6 +122,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage by the contract, then repair; conversations that lost all their rows have zeros."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repair = repair_conversations(damage_turns(rows))
+    summary, hashes = repair.summary(), repair.hashes().withColumnRenamed("conv_id", "_h")
+    found = summary.withColumnRenamed("conv_id", "_c").join(hashes, F.col("_c").eqNullSafe(F.col("_h")))
+    all_ids = rows.select("conv_id").distinct()
+    joined = all_ids.join(found, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return joined.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", utf8_sha256(F.lit(""))).alias("repaired_sha256"),
+    )
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spelling_variants(docs, damage=True)
@@ -137,6 +155,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_shards": op9_shards,
     "op10_bpe": op10_bpe,
+    "op12_conversations": op12_conversations,
     "op13_spelling": op13_spelling,
 }
 
