@@ -13,6 +13,7 @@ from tallyfield.llm.kernel import quality_scores
 from tallyfield.llm.lines import drop_common_lines
 from tallyfield.llm.mixing import score_documents
 from tallyfield.llm.pseudonyms import pseudonymise
+from tallyfield.llm.repeats import remove_repeats
 from tallyfield.llm.secrets import joined_spans, scan_secrets
 from tallyfield.llm.shards import assign_shards
 from tallyfield.llm.spelling import spelling_variants
@@ -122,6 +123,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damage by the contract, then repair; conversations that lost all their rows have zeros."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -155,6 +164,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_shards": op9_shards,
     "op10_bpe": op10_bpe,
+    "op11_repeats": op11_repeats,
     "op12_conversations": op12_conversations,
     "op13_spelling": op13_spelling,
 }
