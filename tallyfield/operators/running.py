@@ -63,22 +63,24 @@ def running_total(
     return done.where(~F.col(opener)).select(*cells.columns, out, *([total] if total else []))
 
 
-def running_peak(
+def fold_peaks(
     cells: DataFrame,
     keys: Sequence[str],
     at: str,
     value: str,
-    out: str,
+    sums: Sequence[str] = (),
     bits: int = BLOCK_BITS,
     levels: int = 1,
 ) -> DataFrame:
-    """Per key, the largest running sum of ``value`` in ``at`` order; one row per key.
+    """Per key: ``net``, the whole change, ``peak``, the largest running sum, and ``first_at``.
 
     A stretch of rows is fully told by its net change and its highest point, so blocks fold
-    into larger blocks and no row is joined back.
+    into larger blocks and no row is joined back. ``sums`` are columns that are added up.
     """
-    part = cells.select(*keys, F.col(at).alias("__at"), F.col(value).alias("__net"))
-    part = part.withColumn("__peak", F.col("__net"))
+    part = cells.select(
+        *keys, F.col(at).alias("__at"), F.col(value).alias("net"), F.col(at).alias("first_at"), *sums
+    )
+    part = part.withColumn("peak", F.col("net"))
     for level in range(levels + 1):
         last = level == levels
         group = list(keys) if last else [*keys, "__block"]
@@ -89,12 +91,31 @@ def running_peak(
             .orderBy("__at")
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        reached = F.coalesce(F.sum("__net").over(earlier), F.lit(0)) + F.col("__peak")
+        reached = F.coalesce(F.sum("net").over(earlier), F.lit(0)) + F.col("peak")
         part = (
             part.withColumn("__reached", reached)
             .groupBy(*group)
-            .agg(F.sum("__net").alias("__net"), F.max("__reached").alias("__peak"))
+            .agg(
+                F.sum("net").alias("net"),
+                F.max("__reached").alias("peak"),
+                F.min("first_at").alias("first_at"),
+                *[F.sum(s).alias(s) for s in sums],
+            )
         )
         if not last:
             part = part.withColumnRenamed("__block", "__at")
-    return part.select(*keys, F.coalesce("__peak", F.lit(0)).cast("bigint").alias(out))
+    return part
+
+
+def running_peak(
+    cells: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    value: str,
+    out: str,
+    bits: int = BLOCK_BITS,
+    levels: int = 1,
+) -> DataFrame:
+    """Per key, the largest running sum of ``value`` in ``at`` order; one row per key."""
+    folded = fold_peaks(cells, keys, at, value, bits=bits, levels=levels)
+    return folded.select(*keys, F.coalesce("peak", F.lit(0)).cast("bigint").alias(out))

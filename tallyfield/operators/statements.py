@@ -14,6 +14,8 @@ from tallyfield.functions.decoding import (
 )
 from tallyfield.functions.matching import full_match
 from tallyfield.functions.means import whole_mean
+from tallyfield.operators.asof import asof_join
+from tallyfield.operators.sessions import is_active
 
 # Fixed value: the time limit of a statement.
 STATEMENT_LIMIT_MS = 120_000
@@ -101,3 +103,25 @@ def slow_statements(log: DataFrame, limit_ms: int = STATEMENT_LIMIT_MS) -> DataF
     taken = F.col("end_ns") - F.col("start_ns")
     over = F.count(F.when(taken > limit_ms * 1_000_000, 1))
     return log.groupBy("session_id").agg(over.alias("over_limit"))
+
+
+def session_at_start(log: DataFrame, changes: DataFrame, order: str = "change_id") -> DataFrame:
+    """Each statement with the state its session had when it started, since when, and whether in use.
+
+    ``changes`` has session_id, changed_ns and state. A statement before the first change of its
+    session has no state and is not in use.
+    """
+    found = asof_join(
+        log, changes, ["session_id"], "start_ns", "changed_ns", ["state"], order, since="state_since_ns"
+    )
+    return found.withColumn("active", F.coalesce(is_active("state"), F.lit(False)))
+
+
+def statement_times_by_state(stated: DataFrame) -> DataFrame:
+    """Count, mean and longest statement time in seconds per state at the start."""
+    taken = F.col("end_ns") - F.col("start_ns")
+    return stated.groupBy("state", "active").agg(
+        F.count(taken).alias("statements"),
+        (whole_mean(taken) / 1e9).alias("mean_s"),
+        (F.max(taken) / 1e9).alias("max_s"),
+    )

@@ -93,6 +93,29 @@ def statement_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def session_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What events say of the session of their user: it starts, runs, or dies."""
+    kind = F.col("name")
+    state = F.when(kind == "signup", "Starting").when(kind == "purchase", "RUNNING").when(kind == "error", "dead")
+    return request_log(spark, sf_dir).where(state.isNotNull()).select(
+        F.col("user_id").alias("session_id"),
+        (F.col("start_ms") * 1_000_000).alias("changed_ns"),
+        F.col("id").alias("change_id"),
+        state.alias("state"),
+    )
+
+
+def stated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views, clicks and errors as statements, the latter at the very instant of their change."""
+    log = request_log(spark, sf_dir).where(F.col("name").isin("view", "click", "error"))
+    return log.select(
+        F.col("id").alias("statement_id"),
+        F.col("user_id").alias("session_id"),
+        (F.col("start_ms") * 1_000_000).alias("start_ns"),
+        (F.col("end_ms") * 1_000_000).alias("end_ns"),
+    )
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sessions, listed by order key, grouped by customer."""
     status = F.col("o_orderstatus")

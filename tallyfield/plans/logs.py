@@ -74,6 +74,10 @@ def max_open_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.max_open(inputs.overlapping_log(spark, sf_dir))
 
 
+def open_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep.open_series(inputs.overlapping_log(spark, sf_dir))
+
+
 def open_requests_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.max_open(inputs.overlapping_log(spark, sf_dir), keys=())
 
@@ -108,6 +112,7 @@ QUERIES = {
     "group_durations": group_durations,
     "open_requests": open_requests,
     "max_open_requests": max_open_requests,
+    "open_series": open_series,
     "open_requests_global": open_requests_global,
     "active_users": active_users,
     "live_metrics": live_metrics,
@@ -235,6 +240,27 @@ ORACLES = {
     """,
     "open_requests": f"{_REQUESTS} SELECT run_id, at_ms, change, open FROM running",
     "max_open_requests": f"{_REQUESTS} {_MAX_PER_RUN}",
+    # Each stretch between neighbouring instants, the bounds of the steps among them, with its level.
+    "open_series": f"""{_REQUESTS},
+        ends AS (SELECT run_id, min(at_ms) AS first, max(at_ms) AS last FROM changes GROUP BY run_id),
+        steps AS (
+          SELECT run_id, point, first + (point * (last - first + 1) + {ops.MAX_POINTS - 1}) // {ops.MAX_POINTS} AS from_ms,
+                 first + ((point + 1) * (last - first + 1) + {ops.MAX_POINTS - 1}) // {ops.MAX_POINTS} AS to_ms
+          FROM ends, range({ops.MAX_POINTS}) AS r(point)),
+        cuts AS (SELECT run_id, at_ms, sum(change) AS change FROM (
+                   SELECT run_id, at_ms, change FROM changes
+                   UNION ALL SELECT run_id, from_ms, 0 FROM steps WHERE to_ms > from_ms)
+                 GROUP BY run_id, at_ms),
+        levels AS (
+          SELECT run_id, at_ms, sum(change) OVER (PARTITION BY run_id ORDER BY at_ms) AS open,
+                 coalesce(lead(at_ms) OVER (PARTITION BY run_id ORDER BY at_ms), last + 1) AS until
+          FROM cuts JOIN ends USING (run_id))
+        SELECT run_id, point, from_ms, to_ms, CAST(max(open) AS BIGINT) AS peak,
+               CAST(sum(open * (until - at_ms)) AS BIGINT) AS area,
+               CAST(sum(open * (until - at_ms)) AS DOUBLE) / (to_ms - from_ms) AS mean_open
+        FROM levels JOIN steps USING (run_id) WHERE at_ms >= from_ms AND at_ms < to_ms
+        GROUP BY run_id, point, from_ms, to_ms
+    """,
     "open_requests_global": f"{_REQUESTS} SELECT max(open) AS max_open FROM overall",
     "active_users": f"{_USERS} {_MAX_PER_RUN}",
     "live_metrics": (

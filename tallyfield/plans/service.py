@@ -72,6 +72,18 @@ def slow_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.slow_statements(inputs.statement_log(spark, sf_dir), SLOW_MS)
 
 
+def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.session_at_start(inputs.stated_log(spark, sf_dir), inputs.session_changes(spark, sf_dir))
+
+
+def statement_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stated(spark, sf_dir)
+
+
+def statement_time_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.statement_times_by_state(_stated(spark, sf_dir))
+
+
 def try_parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.date_texts(spark, sf_dir).withColumn("parsed", try_date(F.col("text")))
 
@@ -85,6 +97,8 @@ QUERIES = {
     "result_match": result_match,
     "statement_time_by_session": statement_time_by_session,
     "slow_statements": slow_statements,
+    "statement_state": statement_state,
+    "statement_time_by_state": statement_time_by_state,
     "try_parse_date": try_parse_date,
     "statement_decode": statement_decode,
     "session_decode": session_decode,
@@ -93,8 +107,29 @@ QUERIES = {
 
 _STEP = "regexp_extract(props, '([0-9]+)', 1)"
 _TRACE = f"'at step ' || {_STEP} || chr(10) || 'for user ' || user_id"
+_STATED = """
+    WITH log AS (
+      SELECT event_id, user_id AS session_id, event_type, epoch_us(ts) // 1000 * 1000000 AS start_ns,
+             CAST(floor(value * 10) AS BIGINT) * 1000000 AS taken
+      FROM events),
+    changes AS (
+      SELECT session_id, start_ns AS changed_ns, arg_max(
+               CASE event_type WHEN 'signup' THEN 'Starting' WHEN 'purchase' THEN 'RUNNING' ELSE 'dead' END,
+               event_id) AS state
+      FROM log WHERE event_type IN ('signup', 'purchase', 'error') GROUP BY session_id, start_ns),
+    stated AS (
+      SELECT l.event_id AS statement_id, l.session_id, start_ns, start_ns + taken AS end_ns, state,
+             changed_ns AS state_since_ns, coalesce(lower(state) IN ('idle', 'starting', 'running'), false) AS active
+      FROM (SELECT * FROM log WHERE event_type IN ('view', 'click', 'error')) AS l
+      ASOF LEFT JOIN changes AS c ON l.session_id = c.session_id AND l.start_ns >= c.changed_ns)
+"""
 
 ORACLES = {
+    "statement_state": f"{_STATED} SELECT * FROM stated",
+    "statement_time_by_state": (
+        f"{_STATED} SELECT state, active, count(*) AS statements, avg(end_ns - start_ns) / 1e9 AS mean_s, "
+        "max(end_ns - start_ns) / 1e9 AS max_s FROM stated GROUP BY state, active"
+    ),
     "active_sessions": (
         "SELECT o_custkey AS cluster, o_orderkey AS id, "
         "CASE o_orderstatus WHEN 'F' THEN 'Idle' ELSE 'STARTING' END AS state "

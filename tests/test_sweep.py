@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tallyfield.operators.reqlog import scenario_spans
-from tallyfield.operators.sweep import max_open, open_requests
+from tallyfield.operators.sweep import max_open, open_requests, open_series
 
 SCHEMA = "run_id string, start_ms long, end_ms long"
 
@@ -96,3 +96,52 @@ def test_users(spark):
     rows = [("r", "m", 1, 0, 5), ("r", "m", 1, 50, 60), ("r", "m", 2, 20, 30), ("r", "m", 3, 60, 70)]
     log = spark.createDataFrame(rows, "run_id string, scenario string, user_id long, start_ms long, end_ms long")
     assert [r.max_open for r in max_open(scenario_spans(log)).collect()] == [2]
+
+
+def brute_series(spans, points):
+    known = [(s, e) for s, e in spans if s is not None]
+    instants = [t for s, e in known for t in (s, e) if t is not None]
+    if not instants:
+        return {}
+    first, last = min(instants), max(instants)
+    length, out = last - first + 1, {}
+    for t in range(first, last + 1):
+        p = (t - first) * points // length
+        n = sum(1 for s, e in known if s <= t and (e is None or t < e))
+        start, end, peak, area = out.get(p, (t, t, 0, 0))
+        out[p] = (start, t + 1, max(peak, n), area + n)
+    return out
+
+
+@pytest.mark.parametrize(("points", "bits"), [(7, 3), (1000, 21), (1, 4), (64, 2)])
+def test_series(spark, points, bits):
+    rng = random.Random(points)
+    runs = {"hot": [], "a": [], "one": [(5, 5)], "open": [(3, None), (9, None)], "far": [(0, 1), (900, 901)], "never": [(None, 4)]}
+    for _ in range(120):
+        start = rng.randint(-50, 400)
+        end = None if rng.random() < 0.05 else start + rng.choice([0, 1, 7, 90])
+        runs["hot" if rng.random() < 0.8 else "a"].append((start, end))
+    df = spark.createDataFrame([(r, s, e) for r, spans in runs.items() for s, e in spans], SCHEMA)
+    rows = open_series(df, points, bits=bits).collect()
+    got = {}
+    for r in rows:
+        assert got.setdefault(r.run_id, {}).setdefault(r.point, r) is r
+        assert r.mean_open == r.area / (r.to_ms - r.from_ms)
+    want = {r: brute_series(spans, points) for r, spans in runs.items()}
+    assert {k: {p: (r.from_ms, r.to_ms, r.peak, r.area) for p, r in v.items()} for k, v in got.items()} == {
+        k: v for k, v in want.items() if v
+    }
+
+
+def test_series_of_no_spans(spark):
+    assert open_series(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_series_peaks_are_the_peak(spark):
+    rng = random.Random(9)
+    rows = [("r", s := rng.randint(0, 10**9), s + rng.randint(0, 10**7)) for _ in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    series = open_series(df).collect()
+    assert len(series) == 1000
+    assert max(r.peak for r in series) == max_open(df).first().max_open
+    assert sum(r.area for r in series) == sum(e - s for _, s, e in rows)
