@@ -43,7 +43,17 @@ def exposure_bins(
     count: int = BIN_COUNT,
 ) -> DataFrame:
     """The largest coverage sum per key and the equal-width bin it falls in."""
-    largest = max_exposure(exposure, keys, coverages)
+    return bin_maxima(max_exposure(exposure, keys, coverages), keys, low, high, count)
+
+
+def bin_maxima(
+    largest: DataFrame,
+    keys: Sequence[str] = SITE_KEYS,
+    low: float = BIN_LOW,
+    high: float = BIN_HIGH,
+    count: int = BIN_COUNT,
+) -> DataFrame:
+    """The bin of each largest coverage sum, just computed or kept."""
     return largest.select(
         "max_10", exposure_bin(F.col("max_10"), low, high, count).alias("BIN"), *keys
     )

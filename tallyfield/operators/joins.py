@@ -19,6 +19,26 @@ def join_views(
     return session.table(left).join(session.table(right), on, how)
 
 
+def save_bucketed(df: DataFrame, name: str, path: str, on: str | Sequence[str], buckets: int) -> DataFrame:
+    """Write ``df`` as a table of the session's catalog, dealt by hash of ``on`` into sorted buckets.
+
+    Each bucket is one file, so that reading keeps its order. A bucket should fit into an
+    executor's memory a few times over: some hundred MB.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def join_colocated(
+    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Equi-join by merging. Tables of ``save_bucketed`` with the same keys and number of buckets are not
+    shuffled again; any other side is shuffled, and sorted, for itself."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def attach_totals(df: DataFrame, other: DataFrame, **totals: Column) -> DataFrame:
     """Every row of ``df`` beside one row of totals over all of ``other``.
 

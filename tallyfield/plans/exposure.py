@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.exposure import coverage_sum, register_functions
 from tallyfield.operators import exposure as ops
-from tallyfield.operators.joins import attach_totals, join_views
+from tallyfield.operators.joins import attach_totals, join_colocated, join_views, save_bucketed
 from tallyfield.plans import inputs
-from tallyfield.session import analysis_session
+from tallyfield.session import analysis_session, scratch_path
 from tallyfield.sources.features import EXPOSURE_VIEW, LOSS_VIEW, load_feature, register
+from tallyfield.sources.kept import keep_maxima, merge_maxima, read_maxima
 from tallyfield.sources.views import run_sql
 
 # Bounds that spread the given tables over all bins.
 LOW, HIGH, BINS = 1000, 90000, 99
+BUCKETS = 16
 
 
 def feature_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +74,29 @@ def exposure_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.exposure_bins(inputs.exposure(spark, sf_dir), low=LOW, high=HIGH, count=BINS)
 
 
+def exposure_bins_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines arrive in three batches; two are merged, one comes again, and the bins come from what is kept."""
+    columns = {**inputs.EXPOSURE_COLUMNS, "line": "l_linenumber"}
+    lines = load_feature(spark, f"{sf_dir}/lineitem.parquet", columns=columns)
+    path, merged = scratch_path(spark, "maxima"), scratch_path(spark, "maxima")
+    keep_maxima(lines.where("line <= 2"), path, "first")
+    keep_maxima(lines.where("line BETWEEN 3 AND 4"), path, "second")
+    merge_maxima(spark, path, merged)
+    keep_maxima(lines.where("line > 4"), merged, "third")
+    keep_maxima(lines.where("line BETWEEN 3 AND 4"), merged, "second")
+    return ops.bin_maxima(read_maxima(spark, merged), low=LOW, high=HIGH, count=BINS)
+
+
+def join_colocated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both features are saved in buckets of the site, then joined without a shuffle."""
+    path = scratch_path(spark, "bucketed")
+    name = path.rsplit("-", 1)[1]
+    exposure, loss = inputs.exposure(spark, sf_dir), inputs.loss(spark, sf_dir)
+    left = save_bucketed(exposure, f"exposure_{name}", f"{path}/exposure", "site_id", BUCKETS)
+    right = save_bucketed(loss, f"loss_{name}", f"{path}/loss", "site_id", BUCKETS)
+    return join_colocated(left, right, "site_id").select("portfolio_id", "site_id", "cov2val", "loss")
+
+
 def width_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.exposure(spark, sf_dir).select(
         "portfolio_id",
@@ -123,6 +148,8 @@ QUERIES = {
     "cross_join_views": cross_join_views,
     "max_exposure": max_exposure,
     "exposure_bins": exposure_bins,
+    "exposure_bins_kept": exposure_bins_kept,
+    "join_colocated_features": join_colocated_features,
     "peek_rows": peek_rows,
     "width_bucket": width_bucket,
     "sql_udf_register": sql_udf_register,
@@ -149,6 +176,10 @@ _ROW_BINS = (
     "SELECT l_suppkey AS portfolio_id, l_partkey AS site_id, l_extendedprice AS cov2val, "
     f"{_bin('l_extendedprice')} AS \"BIN\" FROM lineitem"
 )
+_JOINED = (
+    "SELECT l_suppkey AS portfolio_id, l_partkey AS site_id, l_extendedprice AS cov2val, "
+    "p_retailprice AS loss FROM lineitem JOIN part ON l_partkey = p_partkey"
+)
 
 ORACLES = {
     "feature_scan": (
@@ -173,10 +204,8 @@ ORACLES = {
         "SELECT l_extendedprice AS value, l_quantity AS quantity, l_suppkey AS portfolio, "
         "l_partkey AS site FROM lineitem"
     ),
-    "join_views_broadcast": (
-        "SELECT l_suppkey AS portfolio_id, l_partkey AS site_id, l_extendedprice AS cov2val, "
-        "p_retailprice AS loss FROM lineitem JOIN part ON l_partkey = p_partkey"
-    ),
+    "join_views_broadcast": _JOINED,
+    "join_colocated_features": _JOINED,
     "cross_join_views": (
         f"SELECT largest.*, totals.* FROM ({_MAX}) AS largest CROSS JOIN "
         "(SELECT max(p_retailprice) AS top_loss, count(p_retailprice) AS loss_sites FROM part) "
@@ -184,6 +213,7 @@ ORACLES = {
     ),
     "max_exposure": _MAX,
     "exposure_bins": _BINS,
+    "exposure_bins_kept": _BINS,
     "peek_rows": f"{_MAX} ORDER BY portfolio_id, site_id LIMIT 1",
     "width_bucket": _ROW_BINS,
     "sql_udf_register": _ROW_BINS,
