@@ -22,6 +22,7 @@ name is replaced. Matches are judged on the bytes of the input and never cross d
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -221,7 +222,7 @@ def repeated_anchors(docs: DataFrame, text: str, length: int, buckets: int, comm
     return docs.mapInArrow(anchors, _ANCHORS).groupBy("bucket").applyInArrow(twice, _FOUND)
 
 
-_CUT = "shard int, doc long, mark long, first long, strings long, body binary"
+_CUT = "shard int, doc long, mark long, first long, strings long, anchor long, body binary"
 _SPANS = "doc long, mark long, spans binary"
 
 
@@ -246,32 +247,33 @@ def cut_runs(docs: DataFrame, text: str, length: int, shards: int, common: np.nd
                 very = np.isin(runs.hash[chosen], shared.value)
                 out = []
 
-                def add(shard, key, first, strings, body):
+                def add(shard, key, first, strings, anchor, body):
                     here = (*key, first)
                     earliest = known.get(body)
                     if earliest is not None and earliest <= here:
                         if earliest < here:
-                            out.append((shard, *key, first, strings, None))
+                            out.append((shard, *key, first, strings, None, None))
                         return
                     known[body] = here
-                    out.append((shard, *key, first, strings, body))
+                    out.append((shard, *key, first, strings, anchor, body))
 
                 for r, hot in zip(chosen.tolist(), very.tolist(), strict=True):
                     i, first, n, h = int(runs.who[r]), int(runs.first[r]), int(runs.size[r]), int(runs.hash[r])
                     if hot:
                         for s in range(first, first + n):
                             body = found[i][s : s + length]
-                            add(xxhash.xxh3_64_intdigest(body) % shards, keys[i], s, 1, body)
+                            h = xxhash.xxh3_64_intdigest(body)
+                            add(h % shards, keys[i], s, 1, h - (1 << 63), body)
                     else:
-                        add((h >> 20) % shards, keys[i], first, n, found[i][first : first + n + length - 1])
+                        add((h >> 20) % shards, keys[i], first, n, h - (1 << 63), found[i][first : first + n + length - 1])
                 if len(known) > RUNS_KNOWN:
                     known = {}
                 if out:
                     columns = list(zip(*out, strict=True))
-                    types = (pa.int32(), *[pa.int64()] * 4, pa.binary())
+                    types = (pa.int32(), *[pa.int64()] * 5, pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                        names=["shard", "doc", "mark", "first", "strings", "body"],
+                        names=["shard", "doc", "mark", "first", "strings", "anchor", "body"],
                     )
 
     return docs.mapInArrow(run, _CUT)
@@ -282,16 +284,24 @@ def copied(shard: pa.Table, length: int) -> Iterator[tuple[int, int, int, int]]:
     plain = shard.filter(shard.column("body").is_null())
     for doc, mark, first, n in zip(*(plain.column(c).to_pylist() for c in ("doc", "mark", "first", "strings")), strict=True):
         yield doc, mark, first, first + n + length - 1
-    shard = shard.filter(shard.column("body").is_valid()).select(["doc", "mark", "first", "body"])
-    if not shard.num_rows:
-        return
+    shard = shard.filter(shard.column("body").is_valid()).drop_columns(["shard", "strings"])
     # Earlier documents and places come first, so the least position of a group is its earliest string.
     shard = shard.sort_by([("doc", "ascending"), ("mark", "ascending"), ("first", "ascending")])
-    columns = [shard.column(c).to_numpy() for c in ("doc", "mark", "first")]
-    # A document that stands in several rows gives the same run once for each.
-    new = np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)]
-    shard, (doc, mark, first) = shard.filter(pa.array(new)), (c[new] for c in columns)
-    bodies = shard.column("body").to_pylist()
+    known, held = {}, []
+    for row in zip(*(shard.column(c).to_pylist() for c in ("doc", "mark", "first", "anchor", "body")), strict=True):
+        earliest = known.setdefault(row[4], row)
+        if earliest is row:
+            held.append(row)
+        elif earliest[:3] != row[:3]:  # a document in several rows gives the same run once for each
+            yield *row[:3], row[2] + len(row[4])
+    # Strings with different anchors differ, so a run that is alone with its anchor has no copies left.
+    runs_at = Counter(row[3] for row in held)
+    held = [row for row in held if runs_at[row[3]] > 1]
+    if not held:
+        return
+    doc, mark, first = (np.array([row[i] for row in held]) for i in range(3))
+    bodies = [row[4] for row in held]
+    del known, held, runs_at
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1
     starts = np.cumsum(sizes) - sizes
     text = np.zeros(int(sizes.sum()), np.uint16)

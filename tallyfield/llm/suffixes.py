@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 
 NONE = np.iinfo(np.int16).max
+LETTER_BITS, WORD = 9, 7
 
 
 def falls_or_rises(t: np.ndarray) -> np.ndarray:
@@ -30,17 +31,33 @@ def falls_or_rises(t: np.ndarray) -> np.ndarray:
     return kind
 
 
-def common_prefix(t: np.ndarray, rest: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def words_of(t: np.ndarray) -> np.ndarray:
+    """The ``WORD`` letters from each place in one number; letters have at most ``LETTER_BITS`` bits."""
+    def after(x, n):
+        return np.r_[x[n:], np.zeros(min(n, len(x)), np.uint64)]
+
+    bits = np.uint64(LETTER_BITS)
+    one = t.astype(np.uint64)
+    two = one << bits | after(one, 1)
+    three = two << bits | after(one, 2)
+    four = two << (bits * np.uint64(2)) | after(two, 2)
+    return four << (bits * np.uint64(3)) | after(three, 4)
+
+
+def common_prefix(words: np.ndarray, rest: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The common-prefix length of pairs of suffixes, at most up to the end of a segment."""
     most = np.minimum(rest[a], rest[b])
     out = np.zeros(len(a), np.int64)
     going = np.flatnonzero(most > 0)
     while len(going):
-        same = t[a[going] + out[going]] == t[b[going] + out[going]]
-        going = going[same]
-        out[going] += 1
+        differ = words[a[going] + out[going]] ^ words[b[going] + out[going]]
+        end = np.flatnonzero(differ)
+        for n in range(1, WORD):
+            out[going[end]] += differ[end] >> np.uint64(LETTER_BITS * (WORD - n)) == 0
+        going = going[differ == 0]
+        out[going] += WORD
         going = going[out[going] < most[going]]
-    return out
+    return np.minimum(out, most)
 
 
 class _Scan:
@@ -93,11 +110,11 @@ class _Scan:
             self.feed(pos, common)
 
 
-def _first_length(t, rest, a: int, b: int) -> int:
-    return int(common_prefix(t, rest, np.array([a]), np.array([b]))[0])
+def _first_length(words, rest, a: int, b: int) -> int:
+    return int(common_prefix(words, rest, np.array([a]), np.array([b]))[0])
 
 
-def induce(t: np.ndarray, kind: np.ndarray, rest: np.ndarray, seeds: np.ndarray, common: np.ndarray | None):
+def induce(t: np.ndarray, kind: np.ndarray, words: np.ndarray, rest: np.ndarray, seeds: np.ndarray, common: np.ndarray | None):
     """Order all suffixes by the order of the seeds: for each letter (L part, S part) with lengths.
 
     ``seeds`` are the low positions in the order of their letters, end letters first. Without
@@ -120,7 +137,7 @@ def induce(t: np.ndarray, kind: np.ndarray, rest: np.ndarray, seeds: np.ndarray,
         falling.append((pos, com))
         low, low_common = seeds[bounds[c] : bounds[c + 1]], common[bounds[c] : bounds[c + 1]].copy()
         if lengths and len(low):
-            low_common[0] = _first_length(t, rest, pos[-1], low[0]) if len(pos) else 0
+            low_common[0] = _first_length(words, rest, pos[-1], low[0]) if len(pos) else 0
         up.run(low, low_common)
     down = _Scan(t, kind, letters, True, lengths)
     rising = []
@@ -135,7 +152,7 @@ def induce(t: np.ndarray, kind: np.ndarray, rest: np.ndarray, seeds: np.ndarray,
         fall, fall_common = falling[c]
         between = 0
         if lengths and len(pos) and len(fall):
-            between = _first_length(t, rest, fall[-1], pos[-1])
+            between = _first_length(words, rest, fall[-1], pos[-1])
         back = np.r_[np.int16(between), fall_common[:0:-1]] if lengths and len(fall) else np.zeros(len(fall), np.int16)
         down.run(fall[::-1], back)
         # Upwards each entry is compared with the one below it.
@@ -186,14 +203,16 @@ def ranked(names: np.ndarray, left: np.ndarray) -> np.ndarray:
 def suffix_order(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, lengths): all suffixes but the end letters in order, and what each shares with the one before.
 
-    ``t`` has letters from 0, which ends each segment and the text; segments have at least one letter.
+    ``t`` has letters from 0, which ends each segment and the text, to 2^9 - 1; a segment has from one letter
+    to some thousands.
     """
     ends = np.flatnonzero(t == 0)
     rest = ends[np.searchsorted(ends, np.arange(len(t)))] - np.arange(len(t))
     kind = falls_or_rises(t)
     low = np.flatnonzero(kind & np.r_[False, ~kind[:-1]]).astype(np.int32)
     loose = low[np.argsort(t[low], kind="stable")]
-    _, rising = induce(t, kind, rest, loose, None)
+    words = words_of(t)
+    _, rising = induce(t, kind, words, rest, loose, None)
     is_low = np.zeros(len(t), bool)
     is_low[low] = True
     closing = t[low] == 0
@@ -207,7 +226,7 @@ def suffix_order(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left = close_at[np.searchsorted(close_at, np.arange(len(low)))] - np.arange(len(low))
     seeds = low[ranked(names, left)]
     common = np.zeros(len(seeds), np.int16)
-    common[1:] = common_prefix(t, rest, seeds[:-1], seeds[1:])
-    falling, rising = induce(t, kind, rest, seeds, common)
+    common[1:] = common_prefix(words, rest, seeds[:-1], seeds[1:])
+    falling, rising = induce(t, kind, words, rest, seeds, common)
     parts = [part for both in zip(falling, rising, strict=True) for part in both]
     return np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
