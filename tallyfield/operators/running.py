@@ -71,16 +71,22 @@ def fold_peaks(
     sums: Sequence[str] = (),
     bits: int = BLOCK_BITS,
     levels: int = 1,
+    peak: str | None = None,
 ) -> DataFrame:
     """Per key: ``net``, the whole change, ``peak``, the largest running sum, and ``first_at``.
 
     A stretch of rows is fully told by its net change and its highest point, so blocks fold
-    into larger blocks and no row is joined back. ``sums`` are columns that are added up.
+    into larger blocks and no row is joined back. ``sums`` are columns that are added up. Cells
+    that are stretches themselves bring their highest point in ``peak``.
     """
     part = cells.select(
-        *keys, F.col(at).alias("__at"), F.col(value).alias("net"), F.col(at).alias("first_at"), *sums
+        *keys,
+        F.col(at).alias("__at"),
+        F.col(value).alias("net"),
+        F.col(peak or value).alias("peak"),
+        F.col(at).alias("first_at"),
+        *sums,
     )
-    part = part.withColumn("peak", F.col("net"))
     for level in range(levels + 1):
         last = level == levels
         group = list(keys) if last else [*keys, "__block"]

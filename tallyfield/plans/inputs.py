@@ -56,13 +56,17 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_request_log(table(spark, sf_dir, "events"))
 
 
-def overlapping_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_overlapping_log(events: DataFrame) -> DataFrame:
     """The request log with response times in seconds, so that requests overlap.
 
     Every tenth request has no end yet.
     """
     end = F.col("start_ms") + F.col("rt_ms") * 1000
-    return request_log(spark, sf_dir).withColumn("end_ms", F.when(F.col("id") % 10 != 0, end))
+    return as_request_log(events).withColumn("end_ms", F.when(F.col("id") % 10 != 0, end))
+
+
+def overlapping_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_overlapping_log(table(spark, sf_dir, "events"))
 
 
 def log_with_total_name(events: DataFrame) -> DataFrame:

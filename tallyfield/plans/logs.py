@@ -12,13 +12,14 @@ from tallyfield.plans import inputs
 from tallyfield.session import scratch_path
 from tallyfield.sources.kept import keep_sketches, read_sketches
 from tallyfield.sources.reqlog import read_reqlog, write_reqlog
-from tallyfield.streaming import live
+from tallyfield.streaming import live, peaks
 
 # Limits near the times in the given tables, so that some requests pass and some fail.
 SLOW_MS = 3000
 GOAL_MS, GOAL_PERCENT = 3000, 80
 # A run in the middle of those given.
 MIDDLE = "2024-01-16"
+SETTLED_MS = 1_705_363_200_000
 
 
 def reqlog_sink_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,11 +101,23 @@ def active_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.max_open(ops.scenario_spans(inputs.overlapping_log(spark, sf_dir)))
 
 
-def live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    session = live.update_session(spark)
-    schema = inputs.table(spark, sf_dir, "events").schema
+def _events_stream(session: SparkSession, sf_dir: str) -> DataFrame:
+    schema = inputs.table(session, sf_dir, "events").schema
     # A stream takes a folder or a pattern; this pattern fits the table as one file or a folder.
-    events = session.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    return session.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+def live_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log streams in; what is over by the middle of it is settled, and the peaks are read."""
+    path, settled = scratch_path(spark, "peaks"), scratch_path(spark, "peaks")
+    log = inputs.as_overlapping_log(_events_stream(spark, sf_dir))
+    peaks.stream_changes(log, f"{path}/kept", f"{path}/checkpoint").awaitTermination()
+    peaks.settle(spark, f"{path}/kept", settled, SETTLED_MS)
+    return peaks.read_peaks(spark, settled)
+
+
+def live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events_stream(live.update_session(spark), sf_dir)
     path = scratch_path(spark, "live")
     metrics = live.live_metrics(inputs.log_with_total_name(events))
     live.update_metrics(metrics, f"{path}/metrics", f"{path}/checkpoint").awaitTermination()
@@ -131,6 +144,7 @@ QUERIES = {
     "open_requests_global": open_requests_global,
     "active_users": active_users,
     "live_metrics": live_metrics,
+    "live_peak": live_peak,
 }
 
 _LOG = """
@@ -286,6 +300,11 @@ ORACLES = {
     """,
     "open_requests_global": f"{_REQUESTS} SELECT max(open) AS max_open FROM overall",
     "active_users": f"{_USERS} {_MAX_PER_RUN}",
+    "live_peak": f"""{_REQUESTS},
+        now AS (SELECT run_id, CAST(sum(change) AS BIGINT) AS open_now FROM changes GROUP BY run_id)
+        SELECT run_id, max(open) AS max_open, any_value(open_now) AS open_now, CAST(0 AS BIGINT) AS late
+        FROM running JOIN now USING (run_id) GROUP BY run_id
+    """,
     "live_metrics": (
         f"{_LOG} SELECT start_ms // 1000 * 1000 AS window_ms, CASE name WHEN 'purchase' THEN 'all' "
         f"ELSE name END AS name, false AS is_all, {_LIVE} GROUP BY 1, 2 "
