@@ -23,8 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-# The layouts that are looked for, the first that matches at a place counts.
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# The layouts that are looked for, the first that matches at a place counts. No group repeats
+# without a bound, as each repeat of one takes a frame of the matcher's stack; a domain has at most 127 labels.
+# No layout goes over a line, and each holds a digit or an @.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,}"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 _H = "[0-9A-Fa-f]{1,4}"
 ADDRESS6 = (
@@ -245,22 +247,43 @@ def pseudonym(value: Column, key: str) -> Column:
     )
 
 
+def replaced(line: Column, key: str) -> Column:
+    """(line, n): the line with its values replaced, and how many of them changed.
+
+    The values are taken out and what stands between them is kept. Arrays of one element keep Spark
+    from copying the search into every use of its result.
+    """
+    found = F.array(F.struct(
+        F.regexp_extract_all(line, F.lit(ANY), F.lit(0)).alias("values"), F.split(line, ANY, -1).alias("between")
+    ))
+    made = F.transform(found, lambda cut: F.struct(
+        cut["values"].alias("values"), cut["between"].alias("between"),
+        F.transform(cut["values"], lambda v: pseudonym(v, key)).alias("new"),
+    ))
+
+    def joined(cut: Column) -> Column:
+        parts = F.flatten(F.zip_with(cut["between"], cut["new"], lambda gap, v: F.array(gap, F.coalesce(v, F.lit("")))))
+        changed = F.filter(F.arrays_zip(cut["values"].alias("a"), cut["new"].alias("b")), lambda v: v["a"] != v["b"])
+        return F.struct(F.array_join(parts, "").alias("line"), F.size(changed).alias("n"))
+
+    return F.transform(made, joined)[0]
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with the new text and ``n_replaced``, how many values were found in it.
+    """``docs`` with the new text and ``n_replaced``, how many values in it were changed.
 
-    The values of a text are taken out and the text between them kept; each value is replaced in
-    a generator's row, which keeps Spark from copying the search into every use.
+    Only lines with a digit or an @ are searched.
     """
-    found = F.explode(F.array(F.struct(
-        F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(0)).alias("values"),
-        F.split(F.coalesce(text, F.lit("")), ANY, -1).alias("between"),
-    )))
     kept = [c for c in docs.columns if c != "n_replaced"]
-    cut = docs.select(*kept, found.alias("_cut"))
-    new = F.transform(F.col("_cut.values"), lambda v: pseudonym(v, key))
-    cut = cut.select(*kept, "_cut", F.explode(F.array(new)).alias("_new"))
-    joined = F.array_join(
-        F.flatten(F.zip_with(F.col("_cut.between"), "_new", lambda gap, v: F.array(gap, F.coalesce(v, F.lit(""))))), ""
+    lines = F.transform(
+        F.split(F.coalesce(text, F.lit("")), "\n", -1),
+        lambda line: F.when(line.rlike("[0-9@]"), replaced(line, key)).otherwise(
+            F.struct(line.alias("line"), F.lit(0).alias("n"))
+        ),
+    )
+    cut = docs.select(*kept, F.explode(F.array(lines)).alias("_lines"))
+    count = F.aggregate("_lines", F.lit(0).cast("long"), lambda total, line: total + line["n"])
+    new = F.array_join(F.transform("_lines", lambda line: line["line"]), "\n")
+    return cut.select(
+        *(F.when(F.col(text).isNotNull(), new).alias(c) if c == text else F.col(c) for c in kept), count.alias("n_replaced")
     )
-    text_of = F.when(F.col(text).isNull(), None).when(F.size("_new") == 0, F.col(text)).otherwise(joined)
-    return cut.withColumn("n_replaced", F.size("_new").cast("long")).withColumn(text, text_of).select(*kept, "n_replaced")

@@ -41,10 +41,12 @@ UNITS = (
     "dollars", "euros", "cents", "percent", "usd", "eur",
 )
 
-_NUMBER = r"^[(\[$€£+-]*[0-9]+([.,:/-][0-9]+)*[%)\].,;:!?]*$"
+# Groups repeat possessively and runs begin where no run goes on: such patterns take no stack and look at each
+# character once, however long a word is.
+_NUMBER = r"^[(\[$€£+-]*+[0-9]++(?:[.,:/-][0-9]++)*+[%)\].,;:!?]*+$"
 _NAME = r"^[\"'(]*\p{Lu}\p{Ll}+"
 _ENDS = r"[.!?:][\"')]*$"
-_EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+_EDGES = r"^[^\p{L}\p{N}]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
 _WORD = r"[\p{L}\p{N}]"
 ALIGNMENT = ("_row", "_item", "shift")
 
@@ -54,21 +56,31 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def canonical(tokens: Column) -> Column:
+def cleaned(tokens: Column) -> Column:
+    """Each token with ``plain``, lower-cased and without punctuation, and what else its forms need."""
+
+    def parts(word: Column) -> Column:
+        return F.transform(F.array(F.regexp_replace(word, _EDGES, "")), lambda bare: F.struct(
+            word.alias("word"), F.lower(bare).alias("plain"), (F.lower(bare) != bare).alias("cased"),
+            (bare.rlike("^[0-9]") & word.rlike(_NUMBER)).alias("number"),
+        ))[0]
+
+    return F.transform(tokens, parts)
+
+
+def canonical(clean: Column) -> Column:
     """The canonical form of each token; a first word of a sentence is no name."""
 
-    def form(word: Column, before: Column) -> Column:
-        plain = F.lower(F.regexp_replace(word, _EDGES, ""))
+    def form(this: Column, before: Column) -> Column:
         return (
-            F.when(word.rlike(_NUMBER), F.lit("<n>"))
-            .when(before.rlike(_NUMBER) & plain.isin(*UNITS), F.lit("<u>"))
-            .when(word.rlike(_NAME) & before.isNotNull() & ~before.rlike(_ENDS), F.lit("<p>"))
-            .otherwise(plain)
+            F.when(this["number"], F.lit("<n>"))
+            .when(before["number"] & this["plain"].isin(*UNITS), F.lit("<u>"))
+            .when(this["cased"] & before.isNotNull() & this["word"].rlike(_NAME) & ~before["word"].rlike(_ENDS), F.lit("<p>"))
+            .otherwise(this["plain"])
         )
 
-    nothing = F.array(F.lit(None).cast("string"))
-    before = F.slice(F.concat(nothing, tokens), 1, F.size(tokens))
-    return F.zip_with(tokens, before, form)
+    before = F.slice(F.concat(F.array(F.lit(None)), clean), 1, F.size(clean))
+    return F.zip_with(clean, before, form)
 
 
 def once(df: DataFrame, name: str, value: Column, *kept: str) -> DataFrame:
@@ -76,14 +88,9 @@ def once(df: DataFrame, name: str, value: Column, *kept: str) -> DataFrame:
     return df.select(*kept, F.explode(F.array(value)).alias(name))
 
 
-def literal(tokens: Column) -> Column:
+def literal(clean: Column) -> Column:
     """The literal form of each token; one without a letter or digit stays."""
-
-    def form(word: Column) -> Column:
-        plain = F.lower(F.regexp_replace(word, _EDGES, ""))
-        return F.when(plain == "", word).otherwise(plain)
-
-    return F.transform(tokens, form)
+    return F.transform(clean, lambda t: F.when(t["plain"] == "", t["word"]).otherwise(t["plain"]))
 
 
 def window_hashes(rows: DataFrame, row: str, text: str, sizes: list[int]) -> DataFrame:
@@ -92,7 +99,7 @@ def window_hashes(rows: DataFrame, row: str, text: str, sizes: list[int]) -> Dat
     The hash of a window comes from hashes of shorter ones, the powers of two in its size, so each token is
     hashed once a form. No row carries more than its place and hash.
     """
-    out = once(rows, "tokens", tokens_of(F.col(text)), row)
+    out = once(rows, "tokens", cleaned(tokens_of(F.col(text))), row)
     kept, keys = [row], []
     for exact, forms in ((False, canonical), (True, literal)):
         name = lambda size: f"h{size}{'x' if exact else ''}"  # noqa: B023, E731
@@ -131,11 +138,12 @@ def cut(places: DataFrame, rows: DataFrame, row: str, text: str) -> DataFrame:
     with_tokens = once(with_text, "tokens", tokens_of(F.col("_text")), *places.columns)
     # one token before the window tells whether its first word begins a sentence or follows a number
     near = F.slice("tokens", F.greatest(F.col("at"), F.lit(1)), F.when(F.col("at") > 0, F.col("size") + 1).otherwise(F.col("size")))
-    formed = once(with_tokens, "tokens", near, *places.columns)
-    formed = once(formed, "forms", canonical(F.col("tokens")), *places.columns, "tokens")
+    formed = once(once(with_tokens, "tokens", near, *places.columns), "clean", cleaned(F.col("tokens")), *places.columns, "tokens")
+    formed = once(formed, "forms", canonical(F.col("clean")), *places.columns, "tokens", "clean")
     first = F.when(F.col("at") > 0, 2).otherwise(1)
-    formed = formed.withColumn("forms", F.slice("forms", first, F.col("size"))).withColumn("tokens", F.slice("tokens", first, F.col("size")))
-    return formed.withColumn("forms", F.when(F.col("exact"), literal(F.col("tokens"))).otherwise(F.col("forms")))
+    inside = {c: F.slice(c, first, F.col("size")) for c in ("forms", "tokens", "clean")}
+    formed = formed.withColumns(inside)
+    return formed.withColumn("forms", F.when(F.col("exact"), literal(F.col("clean"))).otherwise(F.col("forms"))).drop("clean")
 
 
 def words_in(tokens: Column) -> Column:

@@ -1,11 +1,12 @@
 import datetime
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from tallyfield.llm import plans
-from tallyfield.llm.pseudonyms import permuted_digits, pseudonymise
-from tests.llm.cases import SF_DIR, documents, with_clashes
+from tallyfield.llm.pseudonyms import ANY, permuted_digits, pseudonymise
+from tests.llm.cases import SF_DIR, documents, real_documents, with_clashes
 
 
 def luhn(digits):
@@ -69,3 +70,35 @@ def test_further_layouts(spark):
 def test_no_python(spark):
     plan = plans.op5_pseudonyms(spark, SF_DIR)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_only_values_change_and_alike_everywhere(spark):
+    """Values found in whole texts by another matcher: each is replaced, all between them stays."""
+    got = {r.doc_id: r for r in plans.op5_pseudonyms(spark, SF_DIR).collect()}
+    new_of, old_of, n = {}, {}, 0
+    for doc_id, text, *_ in real_documents():
+        between, values = regex.split(ANY, text), [m.group() for m in regex.finditer(ANY, text)]
+        new = regex.fullmatch("(.*)".join(map(regex.escape, between)), got[doc_id].text, regex.DOTALL)
+        assert new, doc_id
+        assert got[doc_id].n_replaced == sum(a != b for a, b in zip(values, new.groups(), strict=True))
+        for old, other in zip(values, new.groups(), strict=True):
+            assert new_of.setdefault(old, other) == other and old_of.setdefault(other, old) == old
+            n += old != other
+    assert n > 10
+
+
+def test_what_stays_is_not_counted(spark):
+    rows = [(1, "300.1.1.1 and 30/02/2024 and 01/2023"), (2, "at 10.0.0.1\n\nor 10.0.0.1,\r\n10.0.0.2\n"), (3, "\n")]
+    got = {r.doc_id: r for r in pseudonymise(documents(spark, rows), "key").collect()}
+    assert (got[1].n_replaced, got[1].text) == (0, rows[0][1])
+    assert got[2].n_replaced == 3 and got[2].text.count("\n") == 4 and got[2].text.startswith("at ") and got[2].text[-1] == "\n"
+    assert (got[3].n_replaced, got[3].text) == (0, "\n")
+
+
+def test_long_texts_of_every_kind_end(spark):
+    """No pattern may use up the stack or look at a run again from each of its places."""
+    units = ["b.", ".1", "a:", "12 ", " ", "7", "1-", "a@", "0 ", "+1", "A1 ", "1.1.", "::", "(0", "é1"]
+    rows = [(i, "a@" * (u == "b.") + "1" * (u == ".1") + u * (1_000_000 // len(u)) + "com") for i, u in enumerate(units)]
+    got = {r.doc_id: r.n for r in pseudonymise(documents(spark, rows), "key").selectExpr("doc_id", "length(text) AS n").collect()}
+    assert len(got) == len(rows)
+    assert got[4] == len(rows[4][1]) and got[0] >= len(rows[0][1]) - 10

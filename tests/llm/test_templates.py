@@ -79,3 +79,11 @@ def test_query_finds_all_long_passages(spark):
         want = set().union(*(grams.get(tuple(ws[k : k + 13]), ()) for k in range(len(ws) - 12)))
         assert want <= set(got[doc_id]["items"])
         assert bool(want) == got[doc_id].contaminated
+
+
+def test_long_words_and_texts_of_every_kind_end(spark):
+    """No pattern may use up the stack or look at a run again from each of its places."""
+    units = [".1", "1,", "b.", "!", "a!", "12 ", " ", "7", "'", "(1", "A.", ":"]
+    texts = ["1" * (u == ".1") + u * (1_000_000 // len(u)) + "a!" for u in units] + ["a" + "!" * 1_000_000 + "a", "x. " * 99 + ITEM]
+    got = found(spark, texts, [(1, ITEM), (2, "1" + ".1" * 300_000 + " of them"), (3, "a" + "!" * 300_000)])
+    assert got[-1] == [1] and len(got) == len(texts)
