@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators import reqlog as ops
 from tallyfield.operators import sweep
+from tallyfield.operators.cells import BITS, cell_percentiles, rt_cells
 from tallyfield.operators.sketches import merge_sketches
 from tallyfield.plans import inputs
 from tallyfield.session import scratch_path
@@ -19,6 +20,7 @@ SLOW_MS = 3000
 GOAL_MS, GOAL_PERCENT = 3000, 80
 # A run in the middle of those given.
 MIDDLE = "2024-01-16"
+USER, STRETCH_MS = 7, (1_704_700_000_000, 1_706_000_000_000)
 SETTLED_MS = 1_705_363_200_000
 
 
@@ -28,6 +30,14 @@ def reqlog_sink_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_reqlog(spark, path)
 
 
+def reqlog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests of one user in a stretch of time, out of a log that is sorted and has lookups."""
+    path = scratch_path(spark, "reqlog")
+    write_reqlog(inputs.request_log(spark, sf_dir), path, order=["start_ms"], lookups=["user_id"])
+    stretch = F.col("start_ms").between(*STRETCH_MS)
+    return read_reqlog(spark, path).where((F.col("user_id") == USER) & stretch).select("run_id", "id", "name", "start_ms", "rt_ms")
+
+
 def request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.request_counts(inputs.request_log(spark, sf_dir))
 
@@ -57,6 +67,11 @@ def rt_percentiles_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_sketches(read_sketches(spark, path))
 
 
+def rt_percentiles_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells are counted run by run, and the percentiles come from their sum."""
+    return cell_percentiles(rt_cells(inputs.request_log(spark, sf_dir), ["run_id", "name"]))
+
+
 def rt_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.rt_rollup(inputs.request_log(spark, sf_dir))
 
@@ -107,6 +122,16 @@ def _events_stream(session: SparkSession, sf_dir: str) -> DataFrame:
     return session.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
+def live_metrics_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record comes twice and counts once; intervals that the watermark has closed."""
+    events = _events_stream(spark, sf_dir)
+    twice = inputs.as_request_log(events).withColumn("sent", F.explode(F.array(F.lit(1), F.lit(2))))
+    path = scratch_path(spark, "live")
+    metrics = live.live_metrics(twice, "1 minute", once=["run_id", "id"])
+    live.append_metrics(metrics, f"{path}/metrics", f"{path}/checkpoint", every=None).awaitTermination()
+    return spark.read.schema(metrics.schema).parquet(f"{path}/metrics")
+
+
 def live_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log streams in; what is over by the middle of it is settled, and the peaks are read."""
     path, settled = scratch_path(spark, "peaks"), scratch_path(spark, "peaks")
@@ -126,12 +151,14 @@ def live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "reqlog_sink_scan": reqlog_sink_scan,
+    "reqlog_lookup": reqlog_lookup,
     "request_counts": request_counts,
     "timed_out_requests": timed_out_requests,
     "error_summary": error_summary,
     "rt_indicators": rt_indicators,
     "rt_percentiles": rt_percentiles,
     "rt_percentiles_kept": rt_percentiles_kept,
+    "rt_percentiles_cells": rt_percentiles_cells,
     "rt_rollup": rt_rollup,
     "rt_histogram": rt_histogram,
     "rt_series": rt_series,
@@ -144,6 +171,7 @@ QUERIES = {
     "open_requests_global": open_requests_global,
     "active_users": active_users,
     "live_metrics": live_metrics,
+    "live_metrics_once": live_metrics_once,
     "live_peak": live_peak,
 }
 
@@ -177,6 +205,13 @@ def _percentile(p: int) -> str:
     return f"{low} + ({high} - {low}) * ({rank} - floor({rank})) AS p{p}"
 
 
+def _cell_middle(p: int) -> str:
+    """The middle of the cell of the percentile: its leading digits, and half of what follows them."""
+    value = f"v[greatest(CAST(ceil(len(v) * CAST({p / 100} AS DOUBLE)) AS BIGINT), 1)]"
+    width = f"CAST(1 AS BIGINT) << greatest(length(bin({value})) - {BITS + 1}, 0)"
+    return f"CAST({value} // ({width}) * ({width}) + (({width}) - 1) // 2 AS BIGINT) AS p{p}"
+
+
 def _changes(spans: str) -> str:
     """Running sums over the start and end instants of ``spans``, per run and over all runs."""
     return f"""{_LOG},
@@ -206,6 +241,10 @@ _MAX_PER_RUN = "SELECT run_id, max(open) AS max_open FROM running GROUP BY run_i
 
 ORACLES = {
     "reqlog_sink_scan": f"{_LOG} SELECT * FROM log",
+    "reqlog_lookup": (
+        f"{_LOG} SELECT run_id, id, name, start_ms, rt_ms FROM log "
+        f"WHERE user_id = {USER} AND start_ms BETWEEN {STRETCH_MS[0]} AND {STRETCH_MS[1]}"
+    ),
     "request_counts": (
         f"{_LOG} SELECT run_id, count(*) AS requests, count(*) FILTER (status = 'KO') AS failed, "
         f"{_PERCENT_OK} AS percent_ok, max(end_ms) - min(start_ms) AS uptime_ms "
@@ -242,6 +281,10 @@ ORACLES = {
         + ", ".join(f"v[CAST(ceil(len(v) * {p / 100}) AS BIGINT)] AS p{p}" for p in ops.PERCENTS)
         + " FROM sorted JOIN stats USING (name)"
     ),
+    "rt_percentiles_cells": (
+        f"{_LOG}, sorted AS (SELECT name, list(rt_ms ORDER BY rt_ms) AS v FROM log GROUP BY name) "
+        "SELECT name, len(v) AS requests, " + ", ".join(map(_cell_middle, ops.PERCENTS)) + " FROM sorted"
+    ),
     "rt_rollup": (
         f"{_LOG} SELECT name, false AS is_all, {_STATS} GROUP BY name "
         f"UNION ALL SELECT 'all', true, {_STATS}"
@@ -300,6 +343,12 @@ ORACLES = {
     """,
     "open_requests_global": f"{_REQUESTS} SELECT max(open) AS max_open FROM overall",
     "active_users": f"{_USERS} {_MAX_PER_RUN}",
+    "live_metrics_once": (
+        f"{_LOG}, closed AS (SELECT * FROM log WHERE start_ms // 60000 * 60000 + 60000 <= "
+        "(SELECT max(start_ms) FROM log) - 60000) "
+        f"SELECT start_ms // 60000 * 60000 AS window_ms, name, false AS is_all, {_LIVE.replace('FROM log', 'FROM closed')} "
+        f"GROUP BY 1, 2 UNION ALL SELECT start_ms // 60000 * 60000, 'all', true, {_LIVE.replace('FROM log', 'FROM closed')} GROUP BY 1"
+    ),
     "live_peak": f"""{_REQUESTS},
         now AS (SELECT run_id, CAST(sum(change) AS BIGINT) AS open_now FROM changes GROUP BY run_id)
         SELECT run_id, max(open) AS max_open, any_value(open_now) AS open_now, CAST(0 AS BIGINT) AS late

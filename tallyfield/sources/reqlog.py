@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,7 +25,13 @@ GROUP_SCHEMA = (
 
 
 def write_reqlog(
-    log: DataFrame, path: str, replace_runs: bool = False, schema: str = REQUEST_SCHEMA
+    log: DataFrame,
+    path: str,
+    replace_runs: bool = False,
+    schema: str = REQUEST_SCHEMA,
+    order: Sequence[str] = (),
+    lookups: Sequence[str] = (),
+    options: Mapping[str, str] | None = None,
 ) -> None:
     """Append records of any of the kinds above under one folder per run.
 
@@ -33,6 +41,10 @@ def write_reqlog(
     The rebalance gathers each run into few files, and adaptive execution splits a run too
     large for one task. With ``replace_runs`` the runs in ``log`` take the place of what is
     there, so that a job started over does not add its records twice.
+
+    ``order`` sorts the records of a file, such as by start_ms, so that a range of it is in few row groups;
+    ``lookups`` are columns that single values are looked up in, such as user_id: each row group
+    gets a Bloom filter of them, and groups without the value are skipped. ``options`` go to the writer.
     """
     unnamed = set(log.columns) - set(StructType.fromDDL(schema).names)
     if unnamed:
@@ -40,7 +52,12 @@ def write_reqlog(
     run = F.col("run_id")
     refused = F.raise_error(F.lit("run_id must not be empty")).cast("string")
     log = log.withColumn("run_id", F.when(run == "", refused).otherwise(run))
-    writer = log.hint("rebalance", "run_id").write.partitionBy("run_id")
+    dealt = log.hint("rebalance", "run_id")
+    if order:
+        dealt = dealt.sortWithinPartitions("run_id", *order)
+    writer = dealt.write.partitionBy("run_id").options(**(options or {}))
+    for column in lookups:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     if replace_runs:
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,7 @@ def live_metrics(
     percents: Sequence[float] = (),
     totals_only: bool = False,
     accuracy: int = 10_000,
+    once: Sequence[str] = (),
 ) -> DataFrame:
     """Per interval, request name and over all names: count, failures, longest and mean time.
 
@@ -51,15 +53,24 @@ def live_metrics(
     ``percents`` adds a percentile of the response time, off a sketch of bounded size whose
     rank error is 1 / ``accuracy``. ``totals_only`` leaves out the rows per name.
 
+    ``once`` names the columns that tell a record, such as run_id and id: a record sent again counts
+    once. On a stream its copies must come within ``delay`` of each other, which bounds the ids held,
+    and the stream must end in ``append_metrics``; ``late_rows`` tells how many rows came too late.
+
     Works on a stream and on a static log. On a stream, rows more than ``delay`` behind the
     newest one may be dropped; the watermark also bounds the state.
     """
     total = F.struct(F.lit(ALL).alias("name"), F.lit(True).alias("is_all"))
-    named = F.struct(F.col("name").alias("name"), F.lit(False).alias("is_all"))
+    named = F.struct(F.col("__name").alias("name"), F.lit(False).alias("is_all"))
     labels = F.array(total) if totals_only else F.array(named, total)
-    copies = log.select(
-        F.timestamp_millis(at).alias("__at"), "status", "rt_ms", F.inline(labels)
+    records = log.select(
+        F.timestamp_millis(at).alias("__at"), "status", "rt_ms", F.col("name").alias("__name"),
+        *[F.col(c).alias(f"__once{i}") for i, c in enumerate(once)],
     ).withWatermark("__at", delay)
+    told = [f"__once{i}" for i in range(len(once))]
+    if told:
+        records = records.dropDuplicatesWithinWatermark(told) if log.isStreaming else records.dropDuplicates(told)
+    copies = records.select("__at", "status", "rt_ms", F.inline(labels))
     sketched = [
         F.percentile_approx("rt_ms", p / 100.0, accuracy).cast("double").alias(percent_name(p))
         for p in percents
@@ -83,16 +94,32 @@ def live_metrics(
 
 
 def append_metrics(
-    metrics: DataFrame, path: str, checkpoint: str, every: str = "1 second"
+    metrics: DataFrame, path: str, checkpoint: str, every: str | None = "1 second"
 ) -> StreamingQuery:
-    """Write each interval to Parquet once, when the watermark has passed its end."""
-    return (
+    """Write each interval to Parquet once, when the watermark has passed its end.
+
+    With no ``every``, the stream reads what is there and stops; the intervals of the last
+    ``delay`` of the log stay open and are written when it goes on.
+    """
+    stream = (
         metrics.writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(processingTime=every)
-        .start()
+    )
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.trigger(**trigger).start()
+
+
+def late_rows(stream: StreamingQuery) -> int:
+    """Rows that the stream dropped as they came behind the watermark, as far back as its progress reaches.
+
+    The session keeps ``spark.sql.streaming.numRecentProgressUpdates`` batches, 100 by default.
+    """
+    return sum(
+        int(operator["numRowsDroppedByWatermark"])
+        for progress in stream.recentProgress
+        for operator in json.loads(progress.json)["stateOperators"]
     )
 
 

@@ -6,6 +6,7 @@ from tallyfield.session import scratch_path
 from tallyfield.sources.reqlog import REQUEST_SCHEMA, read_reqlog, stream_reqlog, write_reqlog
 from tallyfield.streaming.live import (
     append_metrics,
+    late_rows,
     live_metrics,
     read_updates,
     update_metrics,
@@ -170,3 +171,29 @@ def test_stream_over_the_sink(spark):
     stream = live_metrics(stream_reqlog(spark, f"{path}/log"))
     update_metrics(stream, f"{path}/m", f"{path}/c").awaitTermination()
     assert rows_of(read_updates(spark, f"{path}/m")) == rows_of(live_metrics(log))
+
+
+def test_retried_records_count_once_and_late_ones_are_told(spark, source):
+    add, stream, static = source
+    path = scratch_path(spark, "once")
+
+    def one(i, at):
+        return (i, "r", "main", 1, "a", at, at + 1, "OK", None, 1, None, None)
+
+    first = records(1, 80, 1_000_000, 1_020_000)
+    others = [(i + 100, *r) for i, *r in records(2, 40, 1_020_000, 1_030_000)]
+    add(first)
+    add(first[40:] + others)
+    add(others + [one(5000, 1_200_000)])
+    # What is late is judged by the watermark of the batch before.
+    add([one(5001, 1_200_500)])
+    add([one(6000 + i, 1_001_000) for i in range(7)])
+    query = append_metrics(live_metrics(stream(1), once=["run_id", "id"]), f"{path}/m", f"{path}/c", every=None)
+    query.awaitTermination()
+    assert late_rows(query) == 7
+    got = rows_of(spark.read.parquet(f"{path}/m"))
+    kept = static().where("id < 5000")
+    assert kept.count() == 200
+    assert got == rows_of(live_metrics(kept, once=["run_id", "id"]))
+    assert got == rows_of(live_metrics(kept.dropDuplicates(["run_id", "id"])))
+    assert sum(r[3] for r in got if r[2]) == 120
