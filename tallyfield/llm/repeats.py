@@ -251,8 +251,8 @@ def cut_runs(docs: DataFrame, text: str, length: int, shards: int, common: np.nd
                     here = (*key, first)
                     earliest = known.get(body)
                     if earliest is not None and earliest <= here:
-                        if earliest < here:
-                            out.append((shard, *key, first, strings, None, None))
+                        if earliest < here:  # known as copies, so any shard may take them
+                            out.append(((key[1] ^ first) % shards, *key, first, strings, None, None))
                         return
                     known[body] = here
                     out.append((shard, *key, first, strings, anchor, body))
