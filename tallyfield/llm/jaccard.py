@@ -17,8 +17,8 @@ min(n - p, m - q), and a pair whose similarity this keeps too low needs no compa
 The lists are scanned for components, not for all pairs. Every member is compared with two pivots
 of its list: the one whose own lists are longest together, which among edited copies is their
 original or stands nearest to it, and one by hash. Links found join most members, and only members of one list that are
-still in different components are compared with each other. Pairs of one component need no
-comparison, so a group of copies costs a few comparisons for each member; no pair that could join
+still in different components are compared with each other, after a closer bound by what each lacks of
+a common centre of the list. Pairs of one component need no comparison, so a group of copies costs a few comparisons for each member; no pair that could join
 two components is left out.
 
 Equal sets are one class from the start. Shingles and classes are known by 64-bit hashes; set
@@ -39,10 +39,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tallyfield.llm.bloom import CHUNK, CHUNKS, Filter, OnceTwice, bits_for, merge_once_twice
 from tallyfield.llm.components import components
@@ -53,7 +52,9 @@ WORDS = 5
 PERCENT = 80
 CELLS = 1 << 22
 LARGEST_LIGHT = 24
-CLASSES_KEPT = 500_000
+CLASSES_KEPT = 100_000
+#: Members of a list that are paired as they are.
+PAIRED = 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -368,6 +369,68 @@ def may_link(n, p, m, q, percent: int):
     return 100 * most >= percent * (n + m - most)
 
 
+def views(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, x, nx, missing, extra): for pairs of classes what the set of c lacks of that of x, and has beyond it.
+
+    ``missing`` has a bit for each shingle of x, in its order.
+    """
+    left = sets.select(F.col("_class").alias("c"), F.col("_set").alias("_c"))
+    right = sets.select(F.col("_class").alias("x"), F.col("_set").alias("_x"))
+
+    def look(batches):
+        for batch in batches:
+            sizes, missing, extra = [], [], []
+            for c, x in zip(batch.column("_c").to_pylist(), batch.column("_x").to_pylist(), strict=True):
+                mine, other = unpacked(c), unpacked(x)
+                lacks = ~np.isin(other, mine, assume_unique=True)
+                bits = np.packbits(lacks)
+                missing.append(np.pad(bits, (0, -len(bits) % 8)).view(np.int64))
+                sizes.append(len(other))
+                extra.append(len(mine) - len(other) + int(lacks.sum()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("c"), batch.column("x"), pa.array(sizes, pa.int64()), pa.array(missing, pa.list_(pa.int64())), pa.array(extra, pa.int64())],
+                names=["c", "x", "nx", "missing", "extra"],
+            )
+
+    both = pairs.join(left, "c").join(right, "x").select("c", "x", "_c", "_x")
+    return both.mapInArrow(look, "c long, x long, nx long, missing array<long>, extra long")
+
+
+def open_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of members of one list, in different components, that may be similar enough.
+
+    In a list of more than ``PAIRED`` members each is seen from the list's centre x, the member with the
+    fewest private shingles. Of the shingles of x a pair has in common at most those that neither lacks, and
+    of the others at most what either has beyond x and its private ones. Copies of one original, each edited
+    elsewhere, lack different parts of it, so this bound is close to their true overlap; it is a condition of
+    the join, and pairs that it rules out are no rows.
+    """
+    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct("private", "c"))["c"].alias("x"))
+    known = open_.join(sizes, "key")
+    few = known.where(F.col("_size") <= PAIRED).drop("_size", "x")
+    many = written(known.where(F.col("_size") > PAIRED).drop("_size"), "open-lists")
+    seen = written(views(many.select("c", "x").distinct(), sets), "open-views")
+    many = many.join(seen, ["c", "x"]).withColumn("extra", F.col("extra") - F.col("private"))
+
+    def paired(rows: DataFrame, condition) -> DataFrame:
+        mine, other = rows.alias("l"), rows.alias("r")
+        col = lambda side, name: F.col(f"{side}.{name}")
+        bound = may_link(*(col(s, f) for s in "lr" for f in ("n", "private")), percent)
+        on = (col("l", "key") == col("r", "key")) & (col("l", "g") < col("r", "g")) & bound
+        met = mine.join(other, on & condition(col) if condition else on)
+        return met.select(F.greatest(col("l", "c"), col("r", "c")).alias("a"), F.least(col("l", "c"), col("r", "c")).alias("b"))
+
+    def close(col) -> Column:
+        lacked = F.aggregate(
+            F.zip_with(col("l", "missing"), col("r", "missing"), lambda x, y: F.bit_count(x.bitwiseOR(y))),
+            F.lit(0), lambda total, n: total + n,
+        )
+        most = col("l", "nx") - lacked + F.least(col("l", "extra"), col("r", "extra"))
+        return 100 * most >= percent * (col("l", "n") + col("r", "n") - most)
+
+    return paired(few, None).union(paired(many, close))
+
+
 def jaccard_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, boundary: int | None = None
 ) -> DataFrame:
@@ -380,15 +443,10 @@ def jaccard_components(
         boundary = light_boundary(percent, mean_list)
     rows = written(keyed_sets(docs, text, levels, percent, boundary), "shingle-keys")
 
-    ordered = Window.partitionBy("key").orderBy("n", "c").rowsBetween(Window.unboundedPreceding, 0)
-    entries = rows.select(F.col("_class").alias("c"), F.col("n_shingles").alias("n"), F.explode("_keys").alias("key"))
-    lists = written(
-        entries.withColumn("first", F.first(F.struct("c", "n")).over(ordered))
-        .where(F.col("first.c") != F.col("c"))
-        .select("key", "c", "n", F.col("first.c").alias("c0"), F.col("first.n").alias("n0")),
-        "lists",
-    )
-    members = written(lists.select("key", "c", "n").union(lists.select("key", "c0", "n0")).distinct(), "list-members")
+    # A class comes from each task that met it. Lists of one class are dropped before anything else is done with them.
+    entries = rows.select(F.explode("_keys").alias("key"), F.col("_class").alias("c"), F.col("n_shingles").alias("n"))
+    several = entries.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
+    members = written(entries.join(several, "key", "left_semi").distinct(), "list-members")
     # a partner may be as small as the overlap that this set needs
     least = F.floor((F.col("n") * percent + 99) / 100).cast("long")
     wanted = written(
@@ -429,16 +487,8 @@ def jaccard_components(
     )
     placed = written(placed, "placed-members")
     mixed_lists = placed.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("key")
-    open_ = placed.join(mixed_lists, "key", "left_semi")
-    other = open_.toDF("key", "c2", "n2", "private2", "g2")
-    rest = (
-        open_.join(other, "key")
-        .where(F.col("g") < F.col("g2"))
-        .where(may_link(F.col("n"), F.col("private"), F.col("n2"), F.col("private2"), percent))
-        .select(F.greatest("c", "c2").alias("a"), F.least("c", "c2").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    open_ = written(placed.join(mixed_lists, "key", "left_semi"), "open-members")
+    rest = open_pairs(open_, sets, percent).distinct().join(stars, ["a", "b"], "left_anti")
     rest = written(rest, "open-pairs")
     more = written(linked(rest, sets, percent), "open-links")
     final = written(components(links.union(more)), "components")

@@ -90,6 +90,28 @@ def test_large_groups_and_common_passages(spark):
     assert result(jaccard_components(documents(spark, rows).select("doc_id", "text"))) == brute(rows)
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_large_group_of_copies_about_the_limit(spark, monkeypatch, edits):
+    """Copies of a text that is not there: just above the limit to each other, or just below it."""
+    rng = random.Random(edits)
+    base, rows = [f"b{rng.randrange(10**6)}" for _ in range(60 * edits)], []
+    for i in range(400):
+        out = list(base)
+        for at in rng.sample(range(len(out)), edits):
+            out[at] = f"w{rng.randrange(10**6)}"
+        rows.append((i, " ".join(out)))
+    compared = []
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return linked(pairs, *args)
+
+    linked = jaccard.linked
+    monkeypatch.setattr(jaccard, "linked", counted)
+    assert result(jaccard_components(documents(spark, rows).select("doc_id", "text"))) == brute(rows)
+    assert sum(compared) < 20 * len(rows)  # of some 80,000 pairs
+
+
 def test_threshold_is_inclusive(spark):
     # 9 and 9 shingles, 8 of them common: 80 of 100
     base = [f"a{i}" for i in range(12)]
