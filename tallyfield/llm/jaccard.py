@@ -225,6 +225,17 @@ class _Seen:
         return True
 
 
+def _released(work):
+    """The work on pieces of text, after each of which memory that Arrow holds unused goes back."""
+
+    def run(piece):
+        done = work(piece)
+        pa.default_memory_pool().release_unused()
+        return done
+
+    return run
+
+
 def keyed_sets(docs: DataFrame, text: str, levels: np.ndarray, percent: int, boundary: int) -> DataFrame:
     """``docs`` without text, with ``_class``, ``n_shingles`` and ``_keys``.
 
@@ -249,7 +260,7 @@ def keyed_sets(docs: DataFrame, text: str, levels: np.ndarray, percent: int, bou
                 _keys=pa.array(keys, pa.list_(pa.int64())),
             )
 
-        return work
+        return _released(work)
 
     added = {"_class": T.LongType(), "n_shingles": T.LongType(), "_keys": T.ArrayType(T.LongType())}
     kept = T.StructType([f for f in docs.schema.fields if f.name != text])
@@ -303,7 +314,7 @@ def sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 names=["_class", "_set"],
             )
 
-        return work
+        return _released(work)
 
     schema = T.StructType([T.StructField("_class", T.LongType()), T.StructField("_set", T.BinaryType())])
     found = map_pieces(docs.select(text), text, schema, make)
@@ -357,7 +368,7 @@ def private_counts(sets: DataFrame) -> DataFrame:
                 [piece.column("_class"), pa.array(counts, pa.int64())], names=["c", "private"]
             )
 
-        return work
+        return _released(work)
 
     schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("private", T.LongType())])
     return map_pieces(sets, "_set", schema, make)

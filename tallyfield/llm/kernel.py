@@ -169,6 +169,19 @@ def score_kernel(df: DataFrame, model: KernelModel, features: str = "features")
     return df.mapInArrow(run, fields_and(df.schema, score=T.DoubleType()))
 
 
+def score_texts(df: DataFrame, model: KernelModel, text: str = "text") -> DataFrame:
+    """Add ``score`` straight from the texts, without a column of statistics; texts go to Python once."""
+
+    def make():
+        def work(piece):
+            features = np.array([text_stats(t)[1] for t in texts(piece, text)])
+            return with_columns(piece, score=pa.array(model.score(features), pa.float64()))
+
+        return work
+
+    return map_pieces(df, text, fields_and(df.schema, score=T.DoubleType()), make)
+
+
 def fold(key: str, count: int):
     """crc32 of a key as text, modulo ``count``; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(count))

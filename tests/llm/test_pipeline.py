@@ -37,3 +37,15 @@ def test_odd_tables(spark):
             docs = corpus_pipeline.written(stage(spark, docs, SF_DIR), "t")
             assert docs.columns == COLUMNS
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() == docs.count()
+
+
+def test_clashing_names_stay(spark):
+    """Extra columns named as the stages name theirs come out as they went in."""
+    names = ["n", "row", "_row", "score", "features", "n_dropped", "n_lines", "component_id", "contaminated", "items", "_order", "_digest"]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").selectExpr("*", *(f"concat('{n}', doc_id) AS `{n}`" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, SF_DIR), "t")
+        assert docs.columns == COLUMNS + names
+    rows = docs.collect()
+    assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() == len(rows)
