@@ -59,10 +59,16 @@ def tokens_of(text: Column) -> Column:
 def cleaned(tokens: Column) -> Column:
     """Each token with ``plain``, lower-cased and without punctuation, and what else its forms need."""
 
+    # A word of ASCII characters only needs no pattern.
+    plain_ascii = F.lit("".join(c for c in map(chr, range(128)) if not c.isalnum()))
+
     def parts(word: Column) -> Column:
-        return F.transform(F.array(F.regexp_replace(word, _EDGES, "")), lambda bare: F.struct(
-            word.alias("word"), F.lower(bare).alias("plain"), (F.lower(bare) != bare).alias("cased"),
-            (bare.rlike("^[0-9]") & word.rlike(_NUMBER)).alias("number"),
+        bare = F.when(F.octet_length(word) == F.length(word), F.btrim(word, plain_ascii)).otherwise(F.regexp_replace(word, _EDGES, ""))
+        both = F.transform(F.array(bare), lambda b: F.struct(b.alias("b"), F.lower(b).alias("plain")))
+        return F.transform(both, lambda t: F.struct(
+            word.alias("word"), t["plain"].alias("plain"), (t["plain"] != t["b"]).alias("cased"),
+            # Text order puts the digits from "0" up to, not including, ":".
+            ((t["b"] >= "0") & (t["b"] < ":") & word.rlike(_NUMBER)).alias("number"),
         ))[0]
 
     return F.transform(tokens, parts)
