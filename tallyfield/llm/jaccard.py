@@ -17,9 +17,14 @@ min(n - p, m - q), and a pair whose similarity this keeps too low needs no compa
 The lists are scanned for components, not for all pairs. Every member is compared with two pivots
 of its list: the one whose own lists are longest together, which among edited copies is their
 original or stands nearest to it, and one by hash. Links found join most members, and only members of one list that are
-still in different components are compared with each other, after a closer bound by what each lacks of
-a common centre of the list. Pairs of one component need no comparison, so a group of copies costs a few comparisons for each member; no pair that could join
-two components is left out.
+still in different components have to meet. Pairs of one component need no comparison, so a group of copies costs a few
+comparisons for each member; no pair that could join two components is left out.
+
+Long lists that are still open are dealt anew, ``ROUNDS`` times, by how their members differ from a centre x. If c and d
+lack m and k of the N shingles of x, their overlap is N - m - k plus what their differences from x have in common. Two
+that are not both linked with x can therefore only link if their differences share at least one shingle, mostly many, and each enters the lists of
+so many of the rarest shingles of its difference that they meet in one. Members of the new lists are compared with
+a centre there, and so on; lists of at most ``PAIRED`` members are paired, as is, after a bound on each pair, what the last round leaves.
 
 Equal sets are one class from the start. Shingles and classes are known by 64-bit hashes; set
 overlaps are counted on 48 bits of them. Orders are by estimated frequency (a fixed table of
@@ -39,7 +44,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +60,10 @@ LARGEST_LIGHT = 24
 CLASSES_KEPT = 100_000
 #: Members of a list that are paired as they are.
 PAIRED = 16
+#: How often open lists are dealt anew before all pairs of what is left are judged.
+ROUNDS = 2
+#: Parts that the members of one centre are spread over.
+PARTS = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -407,30 +416,89 @@ def views(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(look, "c long, x long, nx long, missing array<long>, extra long")
 
 
-def open_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(c, x, n, nx, m, near, differ): for pairs of classes their sizes, how many of the shingles of x the set of c
+    lacks, whether the two link, and the shingles that one of them has alone.
+    """
+    left = sets.select(F.col("_class").alias("c"), F.col("_set").alias("_c"))
+    right = sets.select(F.col("_class").alias("x"), F.col("_set").alias("_x"))
+
+    def look(batches):
+        for batch in batches:
+            sizes, others, lacks, near, differ = [], [], [], [], []
+            for c, x in zip(batch.column("_c").to_pylist(), batch.column("_x").to_pylist(), strict=True):
+                mine, other = unpacked(c), unpacked(x)
+                apart = np.setxor1d(mine, other, assume_unique=True)
+                both = (len(mine) + len(other) - len(apart)) // 2
+                sizes.append(len(mine))
+                others.append(len(other))
+                lacks.append(len(other) - both)
+                near.append(100 * both >= percent * (len(mine) + len(other) - both))
+                differ.append(apart.view(np.int64))
+            columns = [pa.array(v, pa.int64()) for v in (sizes, others, lacks)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("c"), batch.column("x"), *columns, pa.array(near, pa.bool_()), pa.array(differ, pa.list_(pa.int64()))],
+                names=["c", "x", "n", "nx", "m", "near", "differ"],
+            )
+
+    both = pairs.join(left, "c").join(right, "x").select("c", "x", "_c", "_x")
+    return both.mapInArrow(look, "c long, x long, n long, nx long, m long, near boolean, differ array<long>")
+
+
+def lists_by_difference(seen: DataFrame, percent: int) -> DataFrame:
+    """(key, c): lists in which all members of a centre meet that may link and are not both linked with it.
+
+    c and d link if their differences share t = (w(c) + w(d)) / (100 + percent) - nx shingles, where w is
+    percent * n + (100 + percent) * m; with the least w of possible partners this bounds t for c alone. t is over 0, since
+    w is at least percent * nx for all, and over 100 * nx for those not linked with the centre. Of the d
+    shingles of a difference that others have, too, the rarest d - t + 1 are entered.
+    """
+    whole = 100 + percent
+    seen = seen.withColumn("w", percent * F.col("n") + whole * F.col("m"))
+    least = seen.groupBy("x").agg(F.min("w").alias("any"), F.min(F.when(~F.col("near"), F.col("w"))).alias("far"))
+    least = least.where("far is not null").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = seen.withColumn("part", F.pmod(F.xxhash64("c"), F.lit(PARTS)).cast("int")).join(least, ["x", "part"])
+    partner = F.when(F.col("near"), F.col("far")).otherwise(F.col("any"))
+    share = F.greatest(F.lit(1), F.ceil((F.col("w") + partner - whole * F.col("nx")) / whole)).cast("long")
+    entries = dealt.select("x", "c", share.alias("t"), F.explode("differ").alias("e"))
+    counts = entries.groupBy("x", "e").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    known = entries.join(counts, ["x", "e"])
+    own = Window.partitionBy("x", "c")  # at most the shingles of two sets
+    ranked = known.select(
+        "x", "c", "e", "t", F.count(F.lit(1)).over(own).alias("d"),
+        F.row_number().over(own.orderBy("held", "e")).alias("rank"),
+    )
+    return ranked.where("rank <= d - t + 1").select(F.xxhash64("x", "e").alias("key"), "c")
+
+
+def still_open(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``members`` with the component ``g``, of lists that have several."""
+    known = members.join(placed, F.col("c") == F.col("node"), "left").withColumn("g", F.coalesce("component", "c"))
+    known = written(known.drop("node", "component"), "placed-members")
+    several = known.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("key")
+    return written(known.join(several, "key", "left_semi"), "open-members")
+
+
+def met(rows: DataFrame, percent: int, condition=None) -> DataFrame:
+    """(a, b): the members of one list in different components that may link by their private shingles."""
+    mine, other = rows.alias("l"), rows.alias("r")
+    col = lambda side, name: F.col(f"{side}.{name}")
+    bound = may_link(*(col(s, f) for s in "lr" for f in ("n", "private")), percent)
+    on = (col("l", "key") == col("r", "key")) & (col("l", "g") < col("r", "g")) & bound
+    found = mine.join(other, on & condition(col) if condition else on)
+    return found.select(F.greatest(col("l", "c"), col("r", "c")).alias("a"), F.least(col("l", "c"), col("r", "c")).alias("b"))
+
+
+def close_pairs(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs of members of one list, in different components, that may be similar enough.
 
-    In a list of more than ``PAIRED`` members each is seen from the list's centre x, the member with the
-    fewest private shingles. Of the shingles of x a pair has in common at most those that neither lacks, and
-    of the others at most what either has beyond x and its private ones. Copies of one original, each edited
-    elsewhere, lack different parts of it, so this bound is close to their true overlap; it is a condition of
+    Each is seen from the list's centre x. Of the shingles of x a pair has in common at most those that neither lacks,
+    and of the others at most what either has beyond x and its private ones. The bound is a condition of
     the join, and pairs that it rules out are no rows.
     """
-    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct("private", "c"))["c"].alias("x"))
-    known = open_.join(sizes, "key")
-    few = known.where(F.col("_size") <= PAIRED).drop("_size", "x")
-    many = written(known.where(F.col("_size") > PAIRED).drop("_size"), "open-lists")
     seen = written(views(many.select("c", "x").distinct(), sets), "open-views")
     many = many.join(seen, ["c", "x"]).withColumn("extra", F.col("extra") - F.col("private"))
 
-    def paired(rows: DataFrame, condition) -> DataFrame:
-        mine, other = rows.alias("l"), rows.alias("r")
-        col = lambda side, name: F.col(f"{side}.{name}")
-        bound = may_link(*(col(s, f) for s in "lr" for f in ("n", "private")), percent)
-        on = (col("l", "key") == col("r", "key")) & (col("l", "g") < col("r", "g")) & bound
-        met = mine.join(other, on & condition(col) if condition else on)
-        return met.select(F.greatest(col("l", "c"), col("r", "c")).alias("a"), F.least(col("l", "c"), col("r", "c")).alias("b"))
-
     def close(col) -> Column:
         lacked = F.aggregate(
             F.zip_with(col("l", "missing"), col("r", "missing"), lambda x, y: F.bit_count(x.bitwiseOR(y))),
@@ -439,7 +507,42 @@ def open_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         most = col("l", "nx") - lacked + F.least(col("l", "extra"), col("r", "extra"))
         return 100 * most >= percent * (col("l", "n") + col("r", "n") - most)
 
-    return paired(few, None).union(paired(many, close))
+    return met(many, percent, close)
+
+
+def remaining_links(
+    open_: DataFrame, links: DataFrame, placed: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS
+) -> DataFrame:
+    """``links`` and so many more that all members of the lists ``open_`` that link are in one component.
+
+    ``placed`` has the components of ``links``.
+    """
+    of_class = open_.select("c", "n", "private").distinct()
+    pairs, known_links = [], links.count()
+    for left in range(rounds, -1, -1):
+        centre = F.min(F.struct("private", F.xxhash64("c").alias("h"), "c"))["c"].alias("x")
+        sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), centre)
+        known = open_.join(sizes, "key")
+        pairs.append(met(known.where(F.col("_size") <= PAIRED), percent))
+        many = written(known.where(F.col("_size") > PAIRED).drop("_size"), "open-lists")
+        if many.isEmpty():
+            break
+        if not left:
+            pairs.append(close_pairs(many, sets, percent))
+            break
+        views_ = differences(many.where("c != x").select("c", "x").distinct(), sets, percent)
+        seen = written(views_, "differences")
+        near = seen.where("near").select(F.greatest("c", "x").alias("a"), F.least("c", "x").alias("b"))
+        links = written(links.union(near).distinct(), "round-links")
+        if (count := links.count()) > known_links:
+            placed, known_links = written(components(links), "round-components"), count
+        dealt = lists_by_difference(seen, percent).join(of_class, "c")
+        open_ = still_open(dealt, placed)
+    found = pairs[0]
+    for more in pairs[1:]:
+        found = found.union(more)
+    rest = written(found.distinct().join(links, ["a", "b"], "left_anti"), "open-pairs")
+    return links.union(written(linked(rest, sets, percent), "open-links"))
 
 
 def jaccard_components(
@@ -492,17 +595,8 @@ def jaccard_components(
     links = written(linked(stars, sets, percent), "star-links")
     joined = written(components(links), "star-components")
 
-    placed = (
-        members.join(joined, F.col("c") == F.col("node"), "left")
-        .select("key", "c", "n", "private", F.coalesce("component", "c").alias("g"))
-    )
-    placed = written(placed, "placed-members")
-    mixed_lists = placed.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("key")
-    open_ = written(placed.join(mixed_lists, "key", "left_semi"), "open-members")
-    rest = open_pairs(open_, sets, percent).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = written(rest, "open-pairs")
-    more = written(linked(rest, sets, percent), "open-links")
-    final = written(components(links.union(more)), "components")
+    open_ = still_open(members, joined)
+    final = written(components(remaining_links(open_, links, joined, sets, percent)), "components")
 
     class_key = rows.groupBy("_class").agg(F.min(key).alias("_least")).join(
         final.withColumnRenamed("node", "_class"), "_class", "left"

@@ -155,3 +155,19 @@ def test_sets_survive_packing():
 def test_query(spark):
     rows = [(d, t) for d, t, *_ in real_documents()]
     assert result(plans.op3_jaccard_join(spark, SF_DIR)) == brute(rows)
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_lists_dealt_by_differences_lose_no_link(spark, monkeypatch, rounds):
+    """A large group in which some pairs just link, most do not, and none is the original."""
+    rng = random.Random(rounds + 11)
+    base, rows = [f"b{rng.randrange(10**6)}" for _ in range(90)], []
+    for i in range(300):
+        out, at = list(base), rng.randrange(len(base) - 12)
+        for k in (at, at + rng.randrange(3, 9), rng.randrange(len(base))):
+            out[k] = f"w{rng.randrange(4)}"
+        rows.append((i, " ".join(out[rng.randrange(4) :])))
+    monkeypatch.setattr(jaccard, "PAIRED", 4)
+    full = jaccard.remaining_links
+    monkeypatch.setattr(jaccard, "remaining_links", lambda *given: full(*given, rounds=rounds))
+    assert result(jaccard_components(documents(spark, rows).select("doc_id", "text"))) == brute(rows)
