@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfield.operators import messages, sweep
 from tallyfield.operators import reqlog as ops
-from tallyfield.operators import sweep
 from tallyfield.operators.cells import BITS, cell_percentiles, rt_cells
 from tallyfield.operators.sketches import merge_sketches
 from tallyfield.plans import inputs
@@ -50,6 +50,10 @@ def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.error_summary(inputs.request_log(spark, sf_dir))
 
 
+def message_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.message_templates(inputs.request_log(spark, sf_dir))
+
+
 def rt_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.rt_indicators(inputs.request_log(spark, sf_dir))
 
@@ -155,6 +159,7 @@ QUERIES = {
     "request_counts": request_counts,
     "timed_out_requests": timed_out_requests,
     "error_summary": error_summary,
+    "message_templates": message_templates,
     "rt_indicators": rt_indicators,
     "rt_percentiles": rt_percentiles,
     "rt_percentiles_kept": rt_percentiles_kept,
@@ -239,6 +244,34 @@ _USERS = _changes(
 )
 _MAX_PER_RUN = "SELECT run_id, max(open) AS max_open FROM running GROUP BY run_id"
 
+_SPLIT = "string_split_regex(text, '[ \\t\\r\\n]+')"
+
+
+def _message_level(level: int) -> str:
+    """The tree of messages with one level more."""
+    n, token = level + 1, f"coalesce(tokens[{level + 1}], '')"
+    return f"""level{n} AS (
+          SELECT text, failures, node || chr(10) || CASE WHEN wide THEN '<*>' ELSE {token} END AS node,
+                 CASE WHEN wide THEN list_concat(list_concat(tokens[1:{level}], ['<*>']), tokens[{level + 2}:]) ELSE tokens END AS tokens
+          FROM level{level} JOIN (SELECT node, count(DISTINCT {token}) > {messages.CHILDREN} AS wide
+                                  FROM level{level} GROUP BY node) USING (node))"""
+
+
+_MESSAGES = f"""{_LOG},
+        texts AS (SELECT regexp_replace(message, '[0-9]+', '<*>', 'g') AS text, count(*) AS failures
+                  FROM log WHERE status = 'KO' GROUP BY 1),
+        level0 AS (SELECT text, failures, {_SPLIT} AS tokens, CAST(len({_SPLIT}) AS VARCHAR) AS node FROM texts),
+        {", ".join(_message_level(level) for level in range(messages.DEPTH))},
+        placed AS (SELECT text, failures, node, unnest(tokens) AS token, unnest(range(len(tokens))) AS place
+                   FROM level{messages.DEPTH}),
+        varying AS (SELECT node, place, count(DISTINCT token) > {messages.CHILDREN} AS varies FROM placed GROUP BY 1, 2),
+        named AS (SELECT text, any_value(failures) AS failures,
+                         string_agg(CASE WHEN varies THEN '<*>' ELSE token END, ' ' ORDER BY place) AS template
+                  FROM placed JOIN varying USING (node, place) GROUP BY text)
+        SELECT template, CAST(sum(failures) AS BIGINT) AS failures, count(*) AS messages FROM named GROUP BY template
+        UNION ALL SELECT NULL, failures, 0 FROM texts WHERE text IS NULL
+    """
+
 ORACLES = {
     "reqlog_sink_scan": f"{_LOG} SELECT * FROM log",
     "reqlog_lookup": (
@@ -354,6 +387,7 @@ ORACLES = {
         SELECT run_id, max(open) AS max_open, any_value(open_now) AS open_now, CAST(0 AS BIGINT) AS late
         FROM running JOIN now USING (run_id) GROUP BY run_id
     """,
+    "message_templates": _MESSAGES,
     "live_metrics": (
         f"{_LOG} SELECT start_ms // 1000 * 1000 AS window_ms, CASE name WHEN 'purchase' THEN 'all' "
         f"ELSE name END AS name, false AS is_all, {_LIVE} GROUP BY 1, 2 "
