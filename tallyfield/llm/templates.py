@@ -1,15 +1,16 @@
 """Benchmark decontamination by template: numbers, names and units become typed placeholders.
 
-A text is cut into tokens, and each token into a canonical form: a number is ``<n>``, a
-capitalised word inside a sentence ``<p>`` (a name), a unit after a number ``<u>``, anything else the lower-cased
-word without its punctuation. Windows of ``window`` canonical tokens are hashed and joined with the windows of the
+A text is cut into tokens, and each token into a canonical form: a number in digits or words is ``<n>``, a
+capitalised word ``<p>`` (a name, or a noun or first word, which a name may replace), a unit ``<u>``, anything else the
+lower-cased word without its punctuation. Windows of ``window`` canonical tokens are hashed and joined with the windows of the
 benchmark items. The same windows are joined by their literal tokens too, lower-cased and without punctuation, so a
 copy is found where a window is made of numbers and names; items shorter than a window are joined as a whole. Windows that match at the same distance between the two texts are one alignment. Its slots
 are the placeholders with their original words. A value of the item has a reading in an alignment when more than
 half of its places there stand for one value of the document. A window is consistent when all its slots
 follow the readings, or when it is copied word for word; other windows of the alignment are not touched. Consistent
 windows of an alignment that touch or overlap are one run. A document is
-contaminated by an item when a run of it holds ``run`` words of the item, or all of them where it has fewer; tokens
+contaminated by an item when a run of it holds ``run`` words of the item, or all of them where it has fewer, and at
+least ``solid`` of every ``window`` words in it are the item's own, slots with the same value included; tokens
 without a letter or digit are no words. So a question with other numbers and names is found, and a text that
 shares a stock phrase or a row of marks is not.
 
@@ -17,10 +18,11 @@ Only DataFrame functions are used. Before windows of the corpus are shuffled, th
 against the residues of benchmark windows modulo ``RESIDUES``: a table of at most so many numbers,
 which is broadcast. What passes is joined exactly, on the hash and then on the window itself.
 
-Defined cases: null and empty texts, match nothing; windows and short items with fewer than ``solid`` words that are no placeholder
-match by their literal tokens only, so with other values they are not found; an item of one word is found wherever the word
-stands; an item without words matches nothing; repeated rows are judged alike, each by itself; a null item id is
-an item like others.
+Defined cases: null and empty texts match nothing; windows and short items with fewer than ``anchors`` words that are
+no placeholder match by their literal tokens only, so with other values they are not found; items of fewer than
+``least`` words match nothing; marks between words do not tell tokens apart; repeated rows are judged alike, each by
+itself; a null item id is an item like others; columns of ``docs`` keep their names and values whatever they are
+called, except ``contaminated`` and ``items``, which are replaced.
 """
 
 from __future__ import annotations
@@ -32,20 +34,52 @@ from tallyfield.session import written
 
 WINDOW = 8
 SOLID = 5
+ANCHORS = 3
 RUN = 13
+LEAST = 2
 RESIDUES = 1 << 20
-# Units that are placeholders after a number.
+BLOCK = 4096
+# Units of measure and money in four languages, placeholders wherever they stand.
 UNITS = (
-    "mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "mile", "miles", "g", "kg", "mg", "lb", "lbs", "oz",
-    "l", "ml", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "mph", "kmh",
-    "dollars", "euros", "cents", "percent", "usd", "eur",
+    "mm", "cm", "km", "mg", "kg", "ml", "lb", "lbs", "oz", "ft", "mph", "kmh", "usd", "eur",
+    "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "meter", "meters", "metre", "metres",
+    "kilometer", "kilometers", "centimeter", "centimeters", "gram", "grams", "kilogram", "kilograms", "pound", "pounds",
+    "ounce", "ounces", "ton", "tons", "liter", "liters", "litre", "litres", "gallon", "gallons", "cup", "cups",
+    "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months",
+    "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent",
+    "zoll", "meilen", "zentimeter", "gramm", "kilogramm", "pfund", "tonnen", "sekunden", "minuten", "stunde", "stunden",
+    "tag", "tage", "woche", "wochen", "monat", "monate", "jahr", "jahre", "prozent",
+    "mètre", "mètres", "kilomètres", "centimètres", "gramme", "grammes", "kilos", "livres", "tonnes", "secondes",
+    "heure", "heures", "jour", "jours", "semaine", "semaines", "mois", "centimes", "pourcent",
+    "metro", "metros", "kilómetros", "centímetros", "gramos", "kilogramos", "libras", "toneladas", "litros", "segundos",
+    "minutos", "hora", "horas", "día", "días", "semana", "semanas", "meses", "año", "años", "dólares", "centavos",
+)
+# Units that are other words too, placeholders after a number in digits only.
+SHORT_UNITS = ("m", "in", "g", "l", "s", "sec", "min", "h")
+# Number words in four languages; those that are articles too are left out.
+NUMBER_WORDS = (
+    "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen",
+    "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty",
+    "seventy", "eighty", "ninety", "hundred", "thousand", "million",
+    "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "zehn", "elf", "zwölf", "dreizehn", "vierzehn",
+    "fünfzehn", "sechzehn", "siebzehn", "achtzehn", "neunzehn", "zwanzig", "dreißig", "vierzig", "fünfzig", "sechzig",
+    "siebzig", "achtzig", "neunzig", "hundert", "tausend",
+    "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf", "dix", "onze", "douze", "treize", "quatorze", "quinze",
+    "seize", "vingt", "trente", "quarante", "cinquante", "soixante", "cent", "mille",
+    "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "doce", "trece", "catorce",
+    "quince", "veinte", "treinta", "cuarenta", "cincuenta", "sesenta", "setenta", "ochenta", "noventa", "cien", "mil",
 )
 
-# Groups repeat possessively and runs begin where no run goes on: such patterns take no stack and look at each
-# character once, however long a word is.
-_NUMBER = r"^[(\[$€£+-]*+[0-9]++(?:[.,:/-][0-9]++)*+[%)\].,;:!?]*+$"
-_NAME = r"^[\"'(]*\p{Lu}\p{Ll}+"
-_ENDS = r"[.!?:][\"')]*$"
+# Patterns run over whole texts with one blank between tokens and at both ends. They begin at a character that few
+# places have and repeat possessively, so that they take no stack and look at each character once, however long a
+# word is.
+# A single space is left as it is.
+_BLANKS = r"[\x20\x09-\x0D](?:(?<! )|(?=[\x20\x09-\x0D]))[\x20\x09-\x0D]*+"
+_LEADING = r" [^\p{L}\p{N} ]++"
+_TRAILING = r"[^\p{L}\p{N} ](?<=[\p{L}\p{N}].)[^\p{L}\p{N} ]*+(?= )"
+_CAPITALISED = r" \p{Lu}\p{Ll}[^ ]*+"
+_NUMBER = r" [0-9]++(?:[.,:/-][0-9]++)*+(?= )"
+_SHORT_UNIT = rf" <n> (?:{'|'.join(SHORT_UNITS)})(?= )"
 _EDGES = r"^[^\p{L}\p{N}]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
 _WORD = r"[\p{L}\p{N}]"
 ALIGNMENT = ("_row", "_item", "shift")
@@ -56,37 +90,30 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def cleaned(tokens: Column) -> Column:
-    """Each token with ``plain``, lower-cased and without punctuation, and what else its forms need."""
-
-    # A word of ASCII characters only needs no pattern.
-    plain_ascii = F.lit("".join(c for c in map(chr, range(128)) if not c.isalnum()))
+def bare(text: Column) -> Column:
+    """The text with one blank between tokens and at both ends, tokens without the marks at their edges."""
+    spaced = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), _BLANKS, " ")), F.lit(" "))
+    return F.regexp_replace(F.regexp_replace(spaced, _LEADING, " "), _TRAILING, "")
 
-    def parts(word: Column) -> Column:
-        bare = F.when(F.octet_length(word) == F.length(word), F.btrim(word, plain_ascii)).otherwise(F.regexp_replace(word, _EDGES, ""))
-        both = F.transform(F.array(bare), lambda b: F.struct(b.alias("b"), F.lower(b).alias("plain")))
-        return F.transform(both, lambda t: F.struct(
-            word.alias("word"), t["plain"].alias("plain"), (t["plain"] != t["b"]).alias("cased"),
-            # Text order puts the digits from "0" up to, not including, ":".
-            ((t["b"] >= "0") & (t["b"] < ":") & word.rlike(_NUMBER)).alias("number"),
-        ))[0]
 
-    return F.transform(tokens, parts)
+def cut_at_blanks(spaced: Column) -> Column:
+    """The tokens of ``bare`` and its like; those of marks only are empty."""
+    inner = F.substring(spaced, F.lit(2), F.length(spaced) - 2)
+    return F.when(F.length(spaced) > 2, F.split(inner, " ")).otherwise(F.array().cast("array<string>"))
 
 
-def canonical(clean: Column) -> Column:
-    """The canonical form of each token; a first word of a sentence is no name."""
+def literal(spaced: Column) -> Column:
+    """The literal form of each token of ``bare``."""
+    return cut_at_blanks(F.lower(spaced))
 
-    def form(this: Column, before: Column) -> Column:
-        return (
-            F.when(this["number"], F.lit("<n>"))
-            .when(before["number"] & this["plain"].isin(*UNITS), F.lit("<u>"))
-            .when(this["cased"] & before.isNotNull() & this["word"].rlike(_NAME) & ~before["word"].rlike(_ENDS), F.lit("<p>"))
-            .otherwise(this["plain"])
-        )
 
-    before = F.slice(F.concat(F.array(F.lit(None)), clean), 1, F.size(clean))
-    return F.zip_with(clean, before, form)
+def canonical(spaced: Column, final=lambda form: form) -> Column:
+    """The canonical form of each token of ``bare``, or ``final`` of it."""
+    named = F.lower(F.regexp_replace(spaced, _CAPITALISED, " <p>"))
+    counted = F.regexp_replace(F.regexp_replace(named, _NUMBER, " <n>"), _SHORT_UNIT, " <n> <u>")
+    return F.transform(cut_at_blanks(counted), lambda t: final(
+        F.when(t.isin(*NUMBER_WORDS), F.lit("<n>")).when(t.isin(*UNITS), F.lit("<u>")).otherwise(t)
+    ))
 
 
 def once(df: DataFrame, name: str, value: Column, *kept: str) -> DataFrame:
@@ -94,24 +121,16 @@ def once(df: DataFrame, name: str, value: Column, *kept: str) -> DataFrame:
     return df.select(*kept, F.explode(F.array(value)).alias(name))
 
 
-def literal(clean: Column) -> Column:
-    """The literal form of each token; one without a letter or digit stays."""
-    return F.transform(clean, lambda t: F.when(t["plain"] == "", t["word"]).otherwise(t["plain"]))
-
-
 def window_hashes(rows: DataFrame, row: str, text: str, sizes: list[int]) -> DataFrame:
     """(row, exact, size, at, hash): the windows of each text, by canonical and (``exact``) by literal tokens.
 
     The hash of a window comes from hashes of shorter ones, the powers of two in its size, so each token is
     hashed once a form. No row carries more than its place and hash.
     """
-    out = once(rows, "tokens", cleaned(tokens_of(F.col(text))), row)
-    kept, keys = [row], []
-    for exact, forms in ((False, canonical), (True, literal)):
-        name = lambda size: f"h{size}{'x' if exact else ''}"  # noqa: B023, E731
-        out = once(out, name(1), F.transform(forms(F.col("tokens")), lambda f: F.xxhash64(f)), *kept, "tokens")
-        kept.append(name(1))
-    out = out.drop("tokens")
+    out = once(rows, "spaced", bare(F.col(text)), row)
+    out = once(out, "h1", canonical(F.col("spaced"), lambda f: F.xxhash64(f)), row, "spaced")
+    out = once(out, "h1x", F.transform(literal(F.col("spaced")), lambda f: F.xxhash64(f)), row, "h1")
+    kept, keys = [row, "h1", "h1x"], []
     for exact in (False, True):
         name = lambda size: f"h{size}{'x' if exact else ''}"  # noqa: B023, E731
 
@@ -139,17 +158,24 @@ def window_hashes(rows: DataFrame, row: str, text: str, sizes: list[int]) -> Dat
 
 
 def cut(places: DataFrame, rows: DataFrame, row: str, text: str) -> DataFrame:
-    """The windows at (row, at) with their tokens, canonical and literal forms."""
-    with_text = places.join(rows.select(row, F.col(text).alias("_text")), row)
-    with_tokens = once(with_text, "tokens", tokens_of(F.col("_text")), *places.columns)
-    # one token before the window tells whether its first word begins a sentence or follows a number
-    near = F.slice("tokens", F.greatest(F.col("at"), F.lit(1)), F.when(F.col("at") > 0, F.col("size") + 1).otherwise(F.col("size")))
-    formed = once(once(with_tokens, "tokens", near, *places.columns), "clean", cleaned(F.col("tokens")), *places.columns, "tokens")
-    formed = once(formed, "forms", canonical(F.col("clean")), *places.columns, "tokens", "clean")
-    first = F.when(F.col("at") > 0, 2).otherwise(1)
-    inside = {c: F.slice(c, first, F.col("size")) for c in ("forms", "tokens", "clean")}
-    formed = formed.withColumns(inside)
-    return formed.withColumn("forms", F.when(F.col("exact"), literal(F.col("clean"))).otherwise(F.col("forms"))).drop("clean")
+    """The windows at (row, exact, size, at, hash) with their tokens and forms.
+
+    Places of a text are taken together, at most those that begin in ``BLOCK`` tokens, so that it is cut into
+    tokens once a block and not once a window.
+    """
+    place = F.struct("exact", "size", "at", "hash")
+    blocks = places.groupBy(row, F.floor(F.col("at") / BLOCK).alias("block")).agg(F.collect_list(place).alias("places"))
+    out = blocks.drop("block").join(rows.select(row, F.col(text).alias("_text")), row)
+    out = once(out, "spaced", bare(F.col("_text")), row, "places", "_text")
+    out = once(out, "tokens", tokens_of(F.col("_text")), row, "places", "spaced")
+    out = once(out, "literals", literal(F.col("spaced")), row, "places", "spaced", "tokens")
+    out = once(out, "forms", canonical(F.col("spaced")), row, "places", "tokens", "literals")
+    part = lambda array, p: F.slice(array, p["at"] + 1, p["size"])
+    windows = F.transform("places", lambda p: F.struct(
+        *[p[c].alias(c) for c in ("exact", "size", "at", "hash")], part(F.col("tokens"), p).alias("tokens"),
+        F.when(p["exact"], part(F.col("literals"), p)).otherwise(part(F.col("forms"), p)).alias("forms"),
+    ))
+    return out.select(row, F.inline(windows))
 
 
 def words_in(tokens: Column) -> Column:
@@ -157,12 +183,16 @@ def words_in(tokens: Column) -> Column:
 
 
 def runs(windows: DataFrame) -> DataFrame:
-    """(alignment, words): the words of each run of windows [begin, end), counted in words of the item."""
+    """(alignment, words, changed): the words of each run of windows [begin, end), counted in words of the item,
+    and the slots with another value among them; no more than the item is long."""
     ordered = Window.partitionBy(*ALIGNMENT).orderBy("begin", "end")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     opens = (F.col("begin") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int")
     numbered = windows.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(ordered))
-    return numbered.groupBy(*ALIGNMENT, "_run").agg((F.max("end") - F.min("begin")).alias("words")).drop("_run")
+    changed = F.transform(F.filter("slots", lambda s: s["asked"] != s["given"]), lambda s: s["at"])
+    return numbered.groupBy(*ALIGNMENT, "_run").agg(
+        (F.max("end") - F.min("begin")).alias("words"), F.size(F.array_distinct(F.flatten(F.collect_list(changed)))).alias("changed"),
+    ).drop("_run")
 
 
 def consistent(aligned: DataFrame) -> DataFrame:
@@ -179,40 +209,41 @@ def consistent(aligned: DataFrame) -> DataFrame:
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, solid: int = SOLID, run: int = RUN,
+    window: int = WINDOW, solid: int = SOLID, run: int = RUN, anchors: int = ANCHORS, least: int = LEAST,
 ) -> DataFrame:
     """``docs`` with ``contaminated`` and ``items``, the sorted ids of the items found in each.
 
     ``window`` is a power of two. ``docs`` is written once with row numbers.
     """
     docs = docs.drop("contaminated", "items")
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text])
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("text"), rest.alias("rest")), "documents")
     asked = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
     asked = once(asked.withColumn("_item", F.monotonically_increasing_id()), "all", tokens_of(F.col("text")), "_item", "item", "text")
-    asked = written(asked.withColumn("item_words", words_in(F.col("all"))), "items")
+    asked = written(asked.withColumn("item_words", words_in(F.col("all"))).where(F.col("item_words") >= least), "items")
 
-    def solid_enough(forms: Column) -> Column:
-        return F.size(F.filter(forms, lambda f: ~f.startswith("<") & (f != ""))) >= solid
+    def anchored(forms: Column) -> Column:
+        return F.size(F.filter(forms, lambda f: ~f.startswith("<") & (f != ""))) >= anchors
 
     # at most window lengths: those of the short items, and the window's own
     shorter = asked.where(F.size("all") < window).select(F.size("all").alias("size")).distinct().collect()
     sizes = sorted({window} | {r["size"] for r in shorter if r["size"] > 0})
     frames = cut(window_hashes(asked, "_item", "text", sizes), asked, "_item", "text")
     frames = frames.join(asked.select("_item", "all"), "_item").where(F.col("size") == F.least(F.size("all"), F.lit(window)))
-    frames = frames.where(F.when(F.col("exact"), words_in(F.col("tokens")) > 0).otherwise(solid_enough(F.col("forms"))))
+    frames = frames.where(F.when(F.col("exact"), words_in(F.col("tokens")) > 0).otherwise(anchored(F.col("forms"))))
     begin = words_in(F.slice("all", 1, F.col("at")))
     frames = frames.withColumn("begin", begin).withColumn("end", F.col("begin") + words_in(F.col("tokens")))
     frames = written(frames.drop("all"), "frames")
     residues = frames.select(F.pmod("hash", F.lit(RESIDUES)).alias("residue")).distinct()
     found = (
-        window_hashes(numbered, "_row", text, sizes)
+        window_hashes(numbered, "_row", "text", sizes)
         .withColumn("residue", F.pmod("hash", F.lit(RESIDUES)))
         .join(F.broadcast(residues), "residue", "left_semi")  # at most RESIDUES numbers
         .drop("residue")
         .join(frames.select("exact", "size", "hash").distinct(), ["exact", "size", "hash"], "left_semi")
     )
     found = written(found, "suspect-windows")
-    found = cut(found, numbered, "_row", text)
+    found = cut(found, numbered, "_row", "text")
     frames = frames.select(
         "_item", F.col("at").alias("item_at"), "begin", "end", "exact", "size", "hash", F.col("tokens").alias("item_tokens"),
         F.col("forms").alias("item_forms"),
@@ -240,7 +271,8 @@ def decontaminate(
     good = consistent(aligned)
     hits = (
         runs(good).join(asked.select("_item", "item", "item_words"), "_item")
-        .where((F.col("item_words") > 0) & (F.col("words") >= F.least(F.lit(run), "item_words")))
+        .where(F.col("words") >= F.least(F.lit(run), "item_words"))
+        .where(F.col("changed") * window <= F.col("words") * (window - solid))
         .groupBy("_row")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
@@ -249,5 +281,5 @@ def decontaminate(
         numbered.join(written(hits, "leaks"), "_row", "left")
         .withColumn("items", F.coalesce("items", none))
         .withColumn("contaminated", F.size("items") > 0)
-        .select(*docs.columns, "contaminated", "items")
+        .select(*[F.col("text" if c == text else f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns)], "contaminated", "items")
     )

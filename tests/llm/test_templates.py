@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tallyfield.llm import plans
 from tallyfield.llm.templates import decontaminate
 from tests.llm.cases import SF_DIR, documents, lowered, real_documents, with_clashes, words
@@ -87,3 +89,69 @@ def test_long_words_and_texts_of_every_kind_end(spark):
     texts = ["1" * (u == ".1") + u * (1_000_000 // len(u)) + "a!" for u in units] + ["a" + "!" * 1_000_000 + "a", "x. " * 99 + ITEM]
     got = found(spark, texts, [(1, ITEM), (2, "1" + ".1" * 300_000 + " of them"), (3, "a" + "!" * 300_000)])
     assert got[-1] == [1] and len(got) == len(texts)
+
+
+#: Questions in four languages, and the same with other numbers, names and units.
+ASKED = [
+    "Anna has 12 apples and gives 5 to Peter. How many are left?",
+    "A train leaves Paris at 9:30 and reaches Lyon after 120 minutes. How many miles does it travel?",
+    "Tom buys twelve pounds of sugar and sells four pounds to Mary; what weight does Tom still own?",
+    "In March a farmer sold 340 eggs for 51 dollars. Which price in cents did each egg have?",
+    "Anna kauft 12 Äpfel und gibt Peter 5 Äpfel. Wie viele Äpfel hat Anna noch?",
+    "Ein Zug fährt um 8 Uhr in Berlin ab und braucht 4 Stunden. Wann ist er am Ziel?",
+    "Frau Weber mischt zwei Liter Wasser mit 300 Gramm Salz und rührt fünf Minuten. Wie stark ist die Lösung?",
+    "Marie a 12 pommes et donne 5 pommes à Pierre. Combien de pommes reste-t-il dans le panier ?",
+    "Le train de Lyon part à 8 heures et roule pendant trois heures. Quand arrive-t-il à la gare ?",
+    "Jean achète 3 kilos de farine pour 7 euros et vend tout à Luc. Quel est le prix par kilo ?",
+    "Ana tiene 12 manzanas y le da 5 manzanas a Pedro. ¿Cuántas manzanas le quedan todavía?",
+    "El tren de Madrid sale a las 9 y tarda cuatro horas. ¿A qué hora llega a la estación?",
+]
+OTHERS = {
+    "Anna": "Maria", "Peter": "Otto", "Paris": "Rome", "Lyon": "Nice", "Tom": "Kurt", "Mary": "Lisa", "March": "June", "Berlin": "Hamburg",
+    "Weber": "Koch", "Marie": "Julie", "Pierre": "Hugo", "Jean": "Paul", "Luc": "Max", "Ana": "Eva", "Pedro": "Diego", "Madrid": "Toledo",
+    "12": "30", "5": "7", "9:30": "10:15", "120": "95", "340": "212", "51": "33", "8": "6", "4": "11", "300": "450", "3": "8", "7": "19", "9": "5",
+    "twelve": "forty", "four": "six", "zwei": "drei", "fünf": "acht", "trois": "deux", "cuatro": "tres", "pounds": "grams", "minutes": "hours",
+    "miles": "meters", "dollars": "euros", "Stunden": "Stunden", "kilos": "grammes",
+}
+
+
+def renamed(text):
+    import re
+
+    return re.sub(r"[0-9]+(?::[0-9]+)?|[^\W\d_]+", lambda m: OTHERS.get(m[0], m[0]), text)
+
+
+def test_questions_with_other_values_are_found(spark):
+    items = list(enumerate(ASKED))
+    texts = ["some words before. " + renamed(t) + " and some after" for t in ASKED]
+    assert all(renamed(t) != t for t in ASKED)
+    got = found(spark, texts, items)
+    assert [i for i, g in enumerate(got) if g not in ([], [i])] == []
+    assert sum(g == [i] for i, g in enumerate(got)) >= 0.9 * len(ASKED)
+
+
+def test_texts_of_the_same_kind_are_no_leak(spark):
+    texts = [
+        "Anna has 12 brothers and talks to Peter. How many letters are there?", "A train leaves Paris at 9:30 and nobody knows when it comes back.",
+        "Anna kauft 12 Birnen im Laden und gibt Otto nichts. Wie viele Kunden waren noch da?", "Le train de Lyon part souvent en retard et personne ne sait quand il arrive.",
+        "El tren de Madrid sale a las 9 y casi siempre va lleno de gente.", "In March a farmer sold 340 pigs to Tom and went home. Which way did each take?",
+    ]
+    assert found(spark, texts, list(enumerate(ASKED))) == [[]] * len(texts)
+
+
+def test_short_items_need_their_least_words(spark):
+    docs = documents(spark, [(0, "yes it is"), (1, "it is so")])
+    items = spark.createDataFrame([(1, "yes"), (2, "it is")], ITEMS)
+    got = {least: {r.doc_id: r["items"] for r in decontaminate(docs, items, least=least).collect()} for least in (1, 2, 3)}
+    assert got == {1: {0: [1, 2], 1: [2]}, 2: {0: [2], 1: [2]}, 3: {0: [], 1: []}}
+
+
+def test_columns_keep_their_names(spark):
+    own = ["_row", "_item", "item", "rest", "words", "slots", "at", "size", "hash", "exact", "contaminated", "items"]
+    docs = documents(spark, [(0, ITEM), (1, None)])
+    docs = docs.select("*", *(F.lit("x").alias(c) for c in own))
+    got = decontaminate(docs, spark.createDataFrame([(1, ITEM)], ITEMS))
+    assert got.columns == docs.drop("contaminated", "items").columns + ["contaminated", "items"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert all(r[c] == "x" for r in rows.values() for c in own[:-2])
+    assert rows[0]["items"] == [1] and rows[0].text == ITEM and rows[1]["items"] == [] and rows[1].text is None
