@@ -57,12 +57,15 @@ def find_spans(text: str) -> list[tuple[int, int, int, str]]:
     ]
     spans += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text)]
     spans += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
-    taken = [(a, b) for _, a, b, _ in spans]
+    taken = sorted((a, b) for _, a, b, _ in spans)
+    free, passed, reach = [], 0, 0  # both lists go by start, so each is walked once
     for m in OPAQUE.finditer(text):
-        if DIGIT.search(m[0]) and LETTER.search(m[0]):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                spans.append((3, m.start(), m.end(), m[0]))
-    return spans
+        while passed < len(taken) and taken[passed][0] < m.end():
+            reach = max(reach, taken[passed][1])
+            passed += 1
+        if reach <= m.start() and DIGIT.search(m[0]) and LETTER.search(m[0]):
+            free.append((3, m.start(), m.end(), m[0]))
+    return spans + free
 
 
 def value_hash(value: str) -> bytes:

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 from tallyfield.llm import plans
-from tallyfield.llm.secrets import joined_spans, scan_secrets
+from tallyfield.llm.secrets import DIGIT, LETTER, OPAQUE, find_spans, joined_spans, scan_secrets
 from tests.llm.cases import SF_DIR, real_documents
 
 ASSIGN = re.compile(
@@ -72,3 +72,16 @@ def test_query(spark):
         kinds = [k for k, *_ in want]
         assert (row.n_assign, row.n_access, row.n_hex) == tuple(kinds.count(k) for k in ("assign", "access", "hex"))
         assert ",".join(s for s in row.spans.split(",") if not s.startswith("live")) == joined
+
+
+def test_opaque_words_keep_off_base_spans():
+    """Many spans of both sorts in one text, against comparing each with each."""
+    bits = ["password=abc1234 ", "Zx9Qw" * 8 + " ", "token: " + "aB3" * 11, " x ", "deadbeef" * 4 + "Zz" * 9, "AKIA" + "A1B2" * 5 + "\n"]
+    text = "".join(bits[i * i % 7 % 6] for i in range(3000))
+    spans = find_spans(text)
+    base = [(a, b) for k, a, b, _ in spans if k < 3]
+    want = [
+        m.span() for m in OPAQUE.finditer(text)
+        if DIGIT.search(m[0]) and LETTER.search(m[0]) and not any(a < m.end() and m.start() < b for a, b in base)
+    ]
+    assert [(a, b) for k, a, b, _ in spans if k == 3] == want and want and base
