@@ -175,6 +175,24 @@ def score_forest(df: DataFrame, forest: Forest, features: str = "features") -> D
     return df.mapInArrow(run, fields_and(df.schema, model_score=T.DoubleType()))
 
 
+def ordered_sample(rows: DataFrame, size: int) -> list:
+    """The first ``size`` rows by ``_order`` (a 64-bit hash), label and features.
+
+    Rows are cut by hash to some more than ``size`` before they are put in order, so that neither the tasks nor
+    the driver get rows by the number of tasks; the order is settled on executors, and the driver reads ``size`` rows.
+    """
+    rows = written(rows, "labelled")
+    n = rows.count()
+    share = 1.25 * size / max(n, 1)
+    cut = rows
+    while share < 1:
+        cut = rows.where(F.col("_order") < int((share - 0.5) * 2.0**64))
+        if cut.count() >= size:
+            break
+        share, cut = 2 * share, rows
+    return written(cut.orderBy("_order", "_label", "features").limit(size), "sample").collect()
+
+
 def quality_rules(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
     sample_rows: int = SAMPLE_ROWS,
@@ -188,13 +206,9 @@ def quality_rules(
     known = labels.where(F.col(label).isNotNull()).select(
         F.col(key).alias("_key"), F.col(label).cast("double").alias("_label")
     )
-    sample = (
-        stats.join(known, F.col(key) == F.col("_key"))
-        .select("features", "_label", F.xxhash64("_key").alias("_order"))
-        .orderBy("_order", "_label", "features")
-        .limit(sample_rows)
-        .collect()
-    )
+    sample = ordered_sample(stats.join(known, F.col(key) == F.col("_key")).select(
+        "features", "_label", F.xxhash64("_key").alias("_order")
+    ), sample_rows)
     forest = fit_forest(
         np.array([r.features for r in sample]).reshape(-1, len(FEATURES)), np.array([r._label for r in sample])
     )

@@ -8,7 +8,7 @@ import pytest
 from tallyfield.llm import plans
 from tallyfield.llm.kernel import isotonic, quality_scores
 from tallyfield.llm.stats import FEATURES, text_stats
-from tallyfield.llm.trees import MONOTONE, fit_forest, quality_rules
+from tallyfield.llm.trees import MONOTONE, fit_forest, ordered_sample, quality_rules
 from tests.llm.cases import SF_DIR, documents, real_documents, with_clashes, words
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -137,3 +137,22 @@ def test_odd_rows(spark, model):
         assert means[0] < means[1]
     else:
         assert all(r.kept == (not r.base_failed) for r in alone)
+
+
+@pytest.mark.parametrize("size", [1, 30, 999, 1000, 5000])
+def test_sample_is_the_least_rows_by_hash(spark, size):
+    """Also where a third of all rows share a key, so that a cut by hash is far off its share."""
+    from pyspark.sql import functions as F
+
+    key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))
+    rows = spark.range(1000).select(
+        F.array((F.col("id") % 5).cast("double")).alias("features"), (F.col("id") % 2).cast("double").alias("_label"),
+        F.xxhash64(key).alias("_order"),
+    )
+    got = ordered_sample(rows.repartition(5), size)
+    want = rows.orderBy("_order", "_label", "features").limit(size).collect()
+    assert sorted((r._order, r._label, r.features) for r in got) == sorted((r._order, r._label, r.features) for r in want)
+
+
+def test_sample_of_no_rows(spark):
+    assert ordered_sample(spark.createDataFrame([], "features array<double>, _label double, _order long"), 10) == []
