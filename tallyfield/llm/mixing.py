@@ -1,24 +1,26 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
-A word and the blank after it are coded bit by bit. Five predictors look at the one, two, three
-and four bytes before and at the whole beginning of the word; each has a table of ``SLOTS``
+The words of a text, each with the blank after it, are coded bit by bit, one after the other. Six predictors look at the one,
+two, four and six bytes before, over the end of the word before too, at the whole beginning of the word, and at that with the
+word before (its last ``BEFORE`` bytes; no context reaches further back). Each has a table of ``SLOTS``
 counts by the hash of its context and the bits of the byte so far. Their stretched probabilities are mixed
 with weights that a gate selects: the bit's place and how sure two predictors are. The weights are learned
 online, batch after batch within each partition, and averaged over partitions between rounds. An
 adaptive map refines the mixed probability.
 
-Over the words of a document several coders are weighed by how well each has coded it so far, block
-after block, and may take over from each other: the mixed bits, a table of the frequent words, the same table for
+Over the words of a document the mixed bits are weighed with word tables by how well each has coded it so far, block
+after block, and may take over from each other: a table of the frequent words, the same table for
 each class of the training documents (such as their language; a document's own class is never
-looked at), and a coder for texts of rare words. For a word that is not in the table each coder gives the share of all such
-words, and the word itself is told by its exact count and, for what counts leave over, by the mixed bits.
+looked at), and one for texts of rare words. A word table gives words that it does not hold one share together, and
+the mixed bits spell the word. The share is the one of the other words and of words found once, however many words there are.
 
-Counts come from words of the training documents, which are counted over the corpus first; one fold of them (``TUNING``)
-is left out of the bit tables, and the weights and the map are learned on it. The tables have a fixed
+Counts come from all bytes of the training documents; one fold of them (``TUNING``)
+is left out of the bit tables, and the weights and the map are learned on it. What the bits of a word cost depends on
+the word and the one before, so a task counts, learns and codes equal pairs of words together. The tables have a fixed
 size; they are summed by as many tasks as run at once and sent to all tasks.
 
 The most frequent words, at most ``FREQUENT``, are sent to all tasks with their counts; the counts of the others are
-joined, word by word, for the base score as for the model's.
+joined, word by word, for the base score.
 
 Defined cases: a null text is empty, and an empty text is one end token; repeated rows count and are scored
 each by itself; a null key counts as the empty text; without training documents all counts are 0 and every bit has probability 1/2.
@@ -27,6 +29,8 @@ each by itself; a null key counts as the empty text; without training documents
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,8 @@ from tallyfield.llm.text import fields_and, map_pieces, mixed, texts, with_colum
 from tallyfield.session import written
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 6
-KINDS = 5
+ORDERS, BEFORE = (1, 2, 4, 6), 12
+KINDS = len(ORDERS) + 2
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 CHUNK = 1 << 13
@@ -49,8 +54,8 @@ STEPS = 33
 ROUNDS, RATE, DAMPING = 3, 0.1, 20.0
 FREQUENT, FREQUENT_BYTES = 1 << 17, 64
 COUNTED = 400_000
-KNOWN = 250_000
-WORDS_AT_ONCE = 6000
+PAIRS, LONG_PAIR = 250_000, 80
+BYTES_AT_ONCE, LEARNED_AT_ONCE = 1 << 13, 1 << 12
 CLASSES = 8
 BLOCK, SWITCH, SMOOTHING = 16, 0.05, 0.08
 END = b""
@@ -102,37 +107,94 @@ def count_words(docs: DataFrame, key: str, text: str, classes: str | None) -> Da
     return rows.groupBy("word").agg(F.sum(tables).alias("tables"), F.sum(tuning).alias("tuning"), *of_class)
 
 
-def word_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots, bits, word numbers) of all bits of the words, each followed by a blank.
+def pairs_of(words: list[bytes]) -> list[bytes]:
+    """Each word after the end of the word before it and a blank."""
+    return list(map(add, [b" ", *(w[-BEFORE:] + b" " for w in words)], words))
 
-    ``slots`` has a row for each predictor; bits of a byte come highest first.
+
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: The last 0 to 8 bytes of a number.
+_LAST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: By order and how many bytes are known: what the order sees of them, and of their number if they are fewer.
+_TOLD = {k: _LAST[k] | np.where(np.arange(max(ORDERS) + 1) < k, np.uint64(15 << 56), np.uint64(0)) for k in ORDERS}
+
+
+def slot_of(contexts: np.ndarray) -> np.ndarray:
+    x = contexts * _SPREAD
+    return ((x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
+def contexts_of(pairs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(contexts, data, pair numbers) of all bytes of the pairs' second words and of the blanks after them.
+
+    ``contexts`` has the slots for each predictor where the nodes of a byte are told from.
     """
-    lengths = np.array([len(w) + 1 for w in words])
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)
+    lengths = np.array([len(p) + 1 for p in pairs])
+    data = np.frombuffer(b" ".join(pairs) + b" ", np.uint8)
     starts = np.cumsum(lengths) - lengths
-    owner = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(data)) - starts[owner]
-    contexts, seen = [], np.zeros(len(data), np.uint64)
-    for back in range(1, 5):
-        before = np.zeros(len(data), np.uint64)
-        before[back:] = data[:-back]
-        seen = seen * np.uint64(257) + np.where(place >= back, before + np.uint64(1), np.uint64(0))
-        contexts.append(mixed(seen + np.uint64(back << 56)))
-    each = mixed(data + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(7 << 56))
+    words = np.flatnonzero(data == 32)[::2] + 1  # a pair has a blank in it, and one after it
+    after = starts + lengths - words
+    owner = np.repeat(np.arange(len(pairs)), after)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(after) - after, after)
+    coded = words[owner] + place
+    wide = data.astype(np.uint64)
+    last = np.concatenate([np.zeros(1, np.uint64), wide[:-1]])  # the bytes before, the last one lowest
+    for back in (1, 2, 4):
+        last[back:] |= last[:-back] << np.uint64(8 * back)
+    known = np.minimum(coded - starts[owner], max(ORDERS))
+    last = (last[coded] & _LAST[known]) | known.astype(np.uint64) << np.uint64(56)
+    contexts = [slot_of((last & _TOLD[k][known]) + np.uint64(k << 60)) for k in ORDERS]
+    from_word = np.arange(len(data)) - np.repeat(words, lengths)
+    each = mixed(wide + (from_word.astype(np.uint64) << np.uint64(8)))
     total = np.cumsum(each) - each
-    contexts.append(mixed(total - total[starts][owner] + place.astype(np.uint64)))
-    places = np.arange(8, dtype=np.uint64)
-    node = (np.uint64(1) << places) | (data[:, None] >> (np.uint64(8) - places))
-    bits = ((data[:, None] >> (np.uint64(7) - places)) & np.uint64(1)).astype(np.float32).ravel()
-    step = node * np.uint64(0x9E3779B97F4A7C15)
-    slots = np.stack(
-        [((c[:, None] ^ step) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(64 - SLOT_BITS)).ravel() for c in contexts]
-    ).astype(np.int64)
-    return slots, bits, np.repeat(owner, 8)
-
-
-def batches_of(words: list, size: int = WORDS_AT_ONCE):
-    return (words[i : i + size] for i in range(0, len(words), size))
+    here = total[coded]
+    at = place.astype(np.uint64) * mixed(np.uint64([7]))
+    contexts.append(slot_of(here - total[words][owner] + at))
+    contexts.append(slot_of(here - total[starts][owner] + at + np.uint64(1 << 56)))
+    return contexts, data[coded], owner
+
+
+_PLACES, _BYTES = np.arange(8), np.arange(256)[:, None]
+#: By byte and place, highest first: the bit, and the node of the bits before it. Those of half a byte are in 16 slots.
+BITS = (_BYTES >> (7 - _PLACES) & 1).astype(np.float32)
+NODES = np.where(
+    _PLACES < 4,
+    (1 << _PLACES) | (_BYTES >> (8 - _PLACES)),
+    (slot_of((_BYTES >> 4).astype(np.uint64) + np.uint64(1)) & -16) + ((1 << (_PLACES & 3)) | ((_BYTES & 15) >> (8 - _PLACES)) & 15),
+)
+
+
+def pair_bits(pairs: list[bytes], size: int = BYTES_AT_ONCE):
+    """(slots of each predictor, bits, pair numbers of the bytes), some bytes after the others."""
+    if not pairs:
+        return
+    contexts, data, owner = contexts_of(pairs)
+    for start in range(0, len(data), size):
+        part = slice(start, start + size)
+        nodes = NODES[data[part]]
+        yield [(c[part, None] ^ nodes).ravel() for c in contexts], BITS[data[part]].ravel(), owner[part]
+
+
+def batches_of(pairs: list[bytes], size: int = BYTES_AT_ONCE):
+    """Slices of ``pairs`` with about ``size`` bytes, one pair at least."""
+    ends = np.cumsum([len(p) for p in pairs])
+    start = 0
+    while start < len(pairs):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def counted_pairs(batches, text: str):
+    """(pairs, counts) of the texts' words, so many pairs at a time as a task holds."""
+    counts = Counter()
+    for batch in batches:
+        for t in texts(batch, text):
+            counts.update(pairs_of(t.encode().lower().split()))
+            if len(counts) > PAIRS:
+                yield list(counts), np.fromiter(counts.values(), np.float32, len(counts))
+                counts.clear()
+    yield list(counts), np.fromiter(counts.values(), np.float32, len(counts))
 
 
 class Mixer:
@@ -143,15 +205,18 @@ class Mixer:
         self.weights = np.full((GATES, KINDS), 0.2, np.float32)
         self.map = None
 
-    def inputs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack([self.stretched[k][slots[k]] for k in range(KINDS)]).astype(np.float32) / 16
-        gate = np.arange(slots.shape[1]) & 7
-        for k in (3, 4):
-            gate = gate * SURE + self.sure[k][slots[k]]
+    def inputs(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        x = [self.stretched[k].take(slots[k], mode="wrap") * np.float32(1 / 16) for k in range(KINDS)]
+        gate = np.tile(np.arange(8), len(slots[0]) // 8)
+        for k in (KINDS - 2, KINDS - 1):
+            gate = gate * SURE + self.sure[k].take(slots[k], mode="wrap")
         return x, gate
 
-    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("kn,nk->n", x, self.weights[gate]), -12, 12)
+    def mix(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(gate), np.float32)
+        for k in range(KINDS):
+            total += x[k] * self.weights[:, k].take(gate, mode="wrap")
+        return np.clip(total, -12, 12)
 
     def probability(self, mixed_: np.ndarray, gate: np.ndarray) -> np.ndarray:
         p = 1 / (1 + np.exp(-mixed_))
@@ -163,54 +228,51 @@ class Mixer:
     def step(mixed_: np.ndarray) -> np.ndarray:
         return np.rint((np.clip(mixed_, -8, 8) + 8) * (STEPS - 1) / 16).astype(np.int64)
 
-    def learn(self, words: list[bytes], counts: np.ndarray) -> None:
-        """One online step for each batch of words, scaled by the bend of the loss."""
-        for start in range(0, len(words), WORDS_AT_ONCE // 8):
-            some = slice(start, start + WORDS_AT_ONCE // 8)
-            slots, bits, owner = word_bits(words[some])
-            x, gate = self.inputs(slots)
-            n = counts[some][owner].astype(np.float32)
-            p = 1 / (1 + np.exp(-self.mix(x, gate)))
-            bend = np.bincount(gate, n * p * (1 - p) * (x**2).sum(axis=0), GATES) + DAMPING
-            for k in range(KINDS):
-                change = np.bincount(gate, n * (bits - p) * x[k], GATES) / bend
-                self.weights[:, k] += (RATE * change).astype(np.float32)
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word and its blank."""
-        out, start = np.zeros(len(words)), 0
-        for some in batches_of(words):
-            slots, bits, owner = word_bits(some)
-            x, gate = self.inputs(slots)
-            p = self.probability(self.mix(x, gate), gate)
-            p = np.where(bits > 0, p, 1 - p)
-            out[start : start + len(some)] = np.bincount(owner, np.log10(p), len(some))
-            start += len(some)
+    def learn(self, pairs: list[bytes], counts: np.ndarray) -> None:
+        """One online step for each batch of pairs, scaled by the bend of the loss."""
+        for some in batches_of(pairs):
+            own = counts[some]
+            for slots, bits, owner in pair_bits(pairs[some], LEARNED_AT_ONCE):
+                x, gate = self.inputs(slots)
+                n = np.repeat(own[owner].astype(np.float32), 8)
+                p = 1 / (1 + np.exp(-self.mix(x, gate)))
+                squares = sum(v * v for v in x)
+                bend = np.bincount(gate, n * p * (1 - p) * squares, GATES) + DAMPING
+                wrong = n * (bits - p)
+                for k in range(KINDS):
+                    self.weights[:, k] += (RATE * np.bincount(gate, wrong * x[k], GATES) / bend).astype(np.float32)
+
+    def log10(self, pairs: list[bytes]) -> np.ndarray:
+        """log10 probability of each pair's second word and its blank, after the first."""
+        out = np.zeros(len(pairs))
+        for some in batches_of(pairs):
+            for slots, bits, owner in pair_bits(pairs[some]):
+                x, gate = self.inputs(slots)
+                p = self.probability(self.mix(x, gate), gate)
+                p = np.where(bits > 0, p, 1 - p)
+                out[some] += np.bincount(owner, np.log10(p).reshape(-1, 8).sum(axis=1), some.stop - some.start)
         return out
 
 
-def fit_tables(words: DataFrame) -> Mixer:
-    """Sum the counts of all contexts of ``words`` (word, tables) and turn them into predictions."""
-    tasks = 2 * words.sparkSession.sparkContext.defaultParallelism
+def fit_tables(docs: DataFrame, text: str) -> Mixer:
+    """Sum the counts of all contexts of the texts and turn them into predictions."""
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
 
     def build(batches):
-        zeros, ones = np.zeros((KINDS, SLOTS), np.float32), np.zeros((KINDS, SLOTS), np.float32)
-        for batch in batches:
-            counts = batch.column(1).to_numpy().astype(np.float32)
-            words_, start = batch.column(0).to_pylist(), 0
-            for some in batches_of(words_):
-                slots, bits, owner = word_bits(some)
-                n = counts[start : start + len(some)][owner]
-                start += len(some)
-                for k in range(KINDS):
-                    np.add.at(ones[k], slots[k], n * bits)
-                    np.add.at(zeros[k], slots[k], n * (1 - bits))
+        both = np.zeros((KINDS, 2 * SLOTS), np.float32)
+        for pairs, counts in counted_pairs(batches, text):
+            for some in batches_of(pairs):
+                own = counts[some]
+                for slots, bits, owner in pair_bits(pairs[some]):
+                    n, bit = np.repeat(own[owner], 8), bits.astype(np.int64)
+                    for k in range(KINDS):
+                        np.add.at(both[k], 2 * slots[k] + bit, n)
         for k in range(KINDS):
             for c in range(SLOTS // CHUNK):
-                part = slice(c * CHUNK, (c + 1) * CHUNK)
-                if zeros[k, part].any() or ones[k, part].any():
+                part = both[k, 2 * c * CHUNK : 2 * (c + 1) * CHUNK]
+                if part.any():
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([k * (SLOTS // CHUNK) + c], pa.int32()), pa.array([zeros[k, part].tobytes()]), pa.array([ones[k, part].tobytes()])],
+                        [pa.array([k * (SLOTS // CHUNK) + c], pa.int32()), pa.array([part[::2].tobytes()]), pa.array([part[1::2].tobytes()])],
                         names=["chunk", "zeros", "ones"],
                     )
 
@@ -225,8 +287,7 @@ def fit_tables(words: DataFrame) -> Mixer:
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "z": [z.tobytes()], "sure": [sure.tobytes()]})
 
     stretched, sure = np.zeros((KINDS, SLOTS), np.int8), np.zeros((KINDS, SLOTS), np.uint8)
-    parts = words.where((F.col("tables") > 0) & (F.length("word") > 0)).select("word", "tables")
-    parts = parts.coalesce(tasks).mapInArrow(build, "chunk int, zeros binary, ones binary")
+    parts = docs.select(text).coalesce(tasks).mapInArrow(build, "chunk int, zeros binary, ones binary")
     for row in parts.groupBy("chunk").applyInArrow(merge, "chunk int, z binary, sure binary").collect():
         part = slice(row.chunk * CHUNK, (row.chunk + 1) * CHUNK)
         stretched.reshape(-1)[part] = np.frombuffer(row.z, np.int8)
@@ -234,10 +295,15 @@ def fit_tables(words: DataFrame) -> Mixer:
     return Mixer(stretched, sure)
 
 
-def fit_weights(mixer: Mixer, words: DataFrame) -> None:
-    """Learn gated weights, then the map, from ``words`` (word, tuning), which the tables have not seen."""
-    context = words.sparkSession.sparkContext
-    tuning = words.where((F.col("tuning") > 0) & (F.length("word") > 0)).select("word", "tuning")
+def fit_weights(mixer: Mixer, docs: DataFrame, text: str) -> None:
+    """Learn gated weights, then the map, from texts which the tables have not seen."""
+    context = docs.sparkSession.sparkContext
+
+    def pairs(batches):
+        for some, counts in counted_pairs(batches, text):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(counts, pa.float32())], names=["pair", "n"])
+
+    tuning = written(docs.select(text).mapInArrow(pairs, "pair binary, n float"), "tuning-pairs")
     tuning = tuning.coalesce(2 * context.defaultParallelism)
     for _ in range(ROUNDS):
         shared = context.broadcast(mixer)
@@ -259,15 +325,15 @@ def fit_weights(mixer: Mixer, words: DataFrame) -> None:
     def counted(batches):
         counts = np.zeros((2, GATES, STEPS))
         for batch in batches:
-            words_, n, start = batch.column(0).to_pylist(), batch.column(1).to_numpy(), 0
-            for some in batches_of(words_):
-                slots, bits, owner = word_bits(some)
-                x, gate = shared.value.inputs(slots)
-                at = gate * STEPS + Mixer.step(shared.value.mix(x, gate))
-                weight = n[start : start + len(some)][owner]
-                start += len(some)
-                counts[0] += np.bincount(at, weight * (1 - bits), GATES * STEPS).reshape(GATES, STEPS)
-                counts[1] += np.bincount(at, weight * bits, GATES * STEPS).reshape(GATES, STEPS)
+            pairs_, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for some in batches_of(pairs_):
+                own = n[some]
+                for slots, bits, owner in pair_bits(pairs_[some]):
+                    x, gate = shared.value.inputs(slots)
+                    at = gate * STEPS + Mixer.step(shared.value.mix(x, gate))
+                    weight = np.repeat(own[owner], 8)
+                    counts[0] += np.bincount(at, weight * (1 - bits), GATES * STEPS).reshape(GATES, STEPS)
+                    counts[1] += np.bincount(at, weight * bits, GATES * STEPS).reshape(GATES, STEPS)
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()])], names=["counts"])
 
     prior = 1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))
@@ -278,8 +344,12 @@ def fit_weights(mixer: Mixer, words: DataFrame) -> None:
     mixer.map = ones / (zeros + ones)
 
 
-def adapted(ids: list[np.ndarray], coders: np.ndarray) -> np.ndarray:
-    """log10 probability of each document, given as columns of ``coders``, under coders weighed by how they did so far."""
+def adapted(ids: list[np.ndarray], coders: np.ndarray, spelled: np.ndarray | None = None) -> np.ndarray:
+    """log10 probability of each document, given as columns of ``coders``, under coders weighed by how they did so far.
+
+    ``spelled`` has the log10 probability of each word of all documents by the mixed bits. They are one more coder then, and
+    spell the words of number -1 for the others.
+    """
     lengths = np.array([len(i) for i in ids], np.int64)
     blocks = -(-lengths // BLOCK)
     total = np.zeros(len(ids))
@@ -289,10 +359,14 @@ def adapted(ids: list[np.ndarray], coders: np.ndarray) -> np.ndarray:
     first = np.cumsum(blocks) - blocks
     owner = np.repeat(np.arange(len(ids)), blocks)
     starts = (np.cumsum(lengths) - lengths)[owner] + (np.arange(len(owner)) - first[owner]) * BLOCK
-    sums = np.stack([np.add.reduceat(coder[flat], starts) for coder in coders])
+    sums = [np.add.reduceat(coder[flat], starts) for coder in coders]
+    if spelled is not None:
+        others = np.add.reduceat(np.where(flat < 0, spelled, 0.0), starts)
+        sums = [s + others for s in sums] + [np.add.reduceat(spelled, starts)]
+    sums = np.stack(sums)
     order = np.argsort(-blocks, kind="stable")
     going = np.searchsorted(-blocks[order], -np.arange(blocks.max()), side="left")
-    weights = np.full((len(coders), len(ids)), 1 / len(coders))
+    weights = np.full((len(sums), len(ids)), 1 / len(sums))
     for step, n in enumerate(going.tolist()):
         now = order[:n]
         s = sums[:, first[now] + step]
@@ -300,7 +374,7 @@ def adapted(ids: list[np.ndarray], coders: np.ndarray) -> np.ndarray:
         each = weights[:, :n] * 10 ** (s - high)
         p = each.sum(axis=0)
         total[now] += high + np.log10(p)
-        weights[:, :n] = each / p * (1 - SWITCH) + SWITCH / len(coders)
+        weights[:, :n] = each / p * (1 - SWITCH) + SWITCH / len(sums)
     return total
 
 
@@ -310,7 +384,7 @@ class Vocabulary:
     A coder has a column for each of the words and a last one for all other words together.
     """
 
-    def __init__(self, words: DataFrame, mixer: Mixer):
+    def __init__(self, words: DataFrame):
         n = F.col("tables") + F.col("tuning")
         classes = [c for c in words.columns if c.startswith("class")]
         level = F.floor(F.log2(n) * 4).cast("int")
@@ -324,30 +398,16 @@ class Vocabulary:
                 break
             least = at
         inside = short & (level >= least)
-        shared = words.sparkSession.sparkContext.broadcast(mixer)
-
-        def code(batches):
-            for batch in batches:
-                coded = shared.value.log10(batch.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coded)], names=[*batch.schema.names, "coded"])
-
-        rows = spelled.where(inside).select("word", n.alias("n"), *classes)
-        schema = T.StructType([*rows.schema.fields, T.StructField("coded", T.DoubleType())])
-        rows = rows.mapInArrow(code, schema).collect()
+        rows = spelled.where(inside).select("word", n.alias("n"), *classes).collect()
         self.ids = {bytes(r.word): i for i, r in enumerate(rows)}
         self.counts = np.array([r.n for r in rows] + [0], float)
 
-        outside = spelled.where(~inside).agg(
-            F.count(F.lit(1)).alias("words"), F.sum(n).alias("n"), F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice"),
-            *(F.sum(c).alias(c) for c in classes),
-        ).first()
-        self.rest = outside.n or 0
-        self.discount = float(np.clip(outside.once / max(1, outside.once + 2 * outside.twice), 0.1, 0.9))
-        self.left_over = self.discount * outside.words
+        outside = spelled.where(~inside).agg(F.sum(n).alias("n"), *(F.sum(c).alias(c) for c in classes)).first()
+        once = int((self.counts == 1).sum())
 
         among = lambda c: np.array([r[c] for r in rows] + [outside[c] or 0], float)
         all_ = among("n")
-        all_[-1] += 1
+        all_[-1] += once + 1
         all_ /= all_.sum()
         coders = [all_]
         for c in classes:
@@ -356,9 +416,6 @@ class Vocabulary:
                 coders.append(own / own.sum() * (1 - SMOOTHING) + all_ * SMOOTHING)
         if rows:
             coders.append(np.append(all_[:-1] / all_[:-1].sum() / 2, 0.5))
-            bits = 10 ** np.array([r.coded for r in rows])
-            bits = np.append(bits, max(1e-4, 1 - bits.sum()))
-            coders.append(bits / bits.sum())
         self.coders = np.log10(np.maximum(np.stack(coders), 1e-300))
 
 
@@ -373,9 +430,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cl
     total = words.agg(F.coalesce(F.sum(F.col("tables") + F.col("tuning")), F.lit(0)).alias("n"), F.count("word").alias("v")).first()
     ends = words.where(F.length("word") == 0).agg(F.sum(F.col("tables") + F.col("tuning"))).first()[0] or 0
     end_p = (ends + 1) / (total.n + 2)
-    mixer = fit_tables(words)
-    fit_weights(mixer, words)
-    vocabulary = Vocabulary(words, mixer)
+    part = fold(key, FOLDS)
+    mixer = fit_tables(docs.where(~part.isin(HELD_OUT, TUNING)), text)
+    fit_weights(mixer, docs.where(part == TUNING), text)
+    vocabulary = Vocabulary(words)
     shared = context.broadcast((mixer, vocabulary.ids, vocabulary.coders, np.log10(vocabulary.counts + 1)))
 
     def make():
@@ -384,37 +442,38 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cl
 
         def work(piece):
             given = [t.encode().lower().split() for t in texts(piece, text)]
-            ids = [np.array([numbers.get(w, -1) for w in ws], np.int64) for ws in given]
+            ids = [np.fromiter(map(numbers.get, ws, repeat(-1)), np.int64, len(ws)) for ws in given]
             rest = [Counter(ws[i] for i in np.flatnonzero(at < 0).tolist()) for ws, at in zip(given, ids, strict=True)]
-            if len(known) > KNOWN:
+            pairs = [p for ws in given for p in pairs_of(ws)]
+            if len(known) > PAIRS:
                 known.clear()
-            new = list({w for r in rest for w in r}.difference(known))
+            new = list(set(pairs).difference(known))
             known.update(zip(new, model.log10(new).tolist(), strict=True))
+            spelled = np.fromiter(map(known.__getitem__, pairs), float, len(pairs))
+            for p in new:
+                if len(p) > LONG_PAIR:
+                    del known[p]
             lengths = np.array([len(ws) for ws in given], np.int64)
-            flat = [w for r in rest for w in r]
             members = [
-                pa.array(flat, pa.binary()),
+                pa.array([w for r in rest for w in r], pa.binary()),
                 pa.array([n for r in rest for n in r.values()], pa.int64()),
-                pa.array([known[w] for w in flat], pa.float64()),
             ]
             ends_at = np.concatenate([[0], np.cumsum([len(r) for r in rest])])
             return with_columns(
                 piece.drop_columns([text]),
                 n_tokens=pa.array(lengths + 1),
                 n_bytes=pa.array([sum(map(len, ws)) + len(ws) for ws in given], pa.int64()),
-                score=pa.array(adapted(ids, coders) + lengths * np.log10(1 - end_p) + np.log10(end_p)),
+                score=pa.array(adapted(ids, coders, spelled) + lengths * np.log10(1 - end_p) + np.log10(end_p)),
                 _base=pa.array([float(logs[at].sum()) + float(np.log10(ends + 1)) for at in ids], pa.float64()),
                 _known=pa.array([int((at >= 0).sum()) + (ends > 0) for at in ids], pa.int64()),
                 _rest=pa.ListArray.from_arrays(
-                    pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays(members, names=["word", "times", "coded"])
+                    pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays(members, names=["word", "times"])
                 ),
             )
 
         return work
 
-    member = T.StructType(
-        [T.StructField("word", T.BinaryType()), T.StructField("times", T.LongType()), T.StructField("coded", T.DoubleType())]
-    )
+    member = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("times", T.LongType())])
     schema = fields_and(
         T.StructType([f for f in docs.schema.fields if f.name != text]),
         n_tokens=T.LongType(), n_bytes=T.LongType(), score=T.DoubleType(), _base=T.DoubleType(), _known=T.LongType(),
@@ -423,16 +482,12 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cl
     scored = map_pieces(docs, text, schema, make)
     scored = written(scored.withColumn("_row", F.monotonically_increasing_id()), "word-scores")
     count = F.coalesce(F.col("tables") + F.col("tuning"), F.lit(0))
-    # among the other words: the count less a discount, and the discounts shared out by the mixed bits
-    listed = F.log10((count - vocabulary.discount + vocabulary.left_over * F.pow(F.lit(10.0), "coded")) / float(max(1, vocabulary.rest)))
-    unseen = F.col("coded") + float(np.log10(vocabulary.left_over / vocabulary.rest) if vocabulary.rest else 0)
     rest = (
         scored.select("_row", F.inline("_rest"))
         .join(words.select("word", "tables", "tuning"), "word", "left")
         .groupBy("_row")
         .agg(
             F.sum(F.col("times") * F.log10(count + 1)).alias("_more"),
-            F.sum(F.col("times") * F.when(count > 0, listed).otherwise(unseen)).alias("_told"),
             F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("_found"),
         )
     )
@@ -444,7 +499,6 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cl
         .withColumn("n_known", F.col("_known") + F.coalesce("_found", F.lit(0)))
         .withColumn("train_tokens", F.lit(int(total.n)).cast("long"))
         .withColumn("base_score", F.col("_base") + F.coalesce("_more", F.lit(0.0)) - F.col("n_tokens") * each)
-        .withColumn("score", F.col("score") + F.coalesce("_told", F.lit(0.0)))
         .withColumn("bits_per_byte", bits)
-        .drop("_row", "_base", "_known", "_more", "_told", "_found")
+        .drop("_row", "_base", "_known", "_more", "_found")
     )

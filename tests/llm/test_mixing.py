@@ -77,6 +77,65 @@ def test_classes_raise_the_score_of_held_out_texts(spark):
     assert len(got) > 10 and all(r.score > r.base_score + 5 for r in got)
 
 
+def test_bits_of_a_text_look_over_word_boundaries(spark):
+    """Words in the order of the training texts cost less than the same words, of equal counts, in another."""
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = [(i, "quick brown foxes jump " * 8) for i in range(300) if i not in held]
+    texts = ["quick brown foxes jump " * 4, "jump foxes brown quick " * 4]
+    rows += [(i, texts[n % 2]) for n, i in enumerate(held)]
+    got = {r.doc_id: r for r in score_documents(documents(spark, rows).select("doc_id", "text")).collect()}
+    for same, other in (held[:2], held[2:]):
+        assert abs(got[same].base_score - got[other].base_score) < 1e-9
+        assert got[same].score > got[other].score + 3
+
+
+def test_tables_and_mixed_bits_against_plain_loops(spark):
+    texts = ["ab ba abc", "b" * 30 + " ab ab", "é \x00 ab", "", None, "x"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = mixing.fit_tables(docs, "text")
+    rng = np.random.default_rng(1)
+    model.weights = rng.normal(0.3, 0.2, model.weights.shape).astype(np.float32)
+    model.map = rng.random((mixing.GATES, mixing.STEPS)) * 0.9 + 0.05
+
+    def steps(before, word):
+        """(contexts, place, bits of the byte so far, bit) of all bits, spelled out."""
+        before, coded = before[-mixing.BEFORE :] + b" ", word + b" "
+        for i, byte in enumerate(coded):
+            seen = before + coded[:i]
+            orders = [(k, seen[-k:]) for k in mixing.ORDERS]
+            for place in range(8):
+                so_far = (1 << place) | byte >> (8 - place)
+                yield [*orders, ("word", coded[:i]), ("before", before, coded[:i])], place, so_far, byte >> (7 - place) & 1
+
+    counts = [Counter() for _ in range(mixing.KINDS)]
+    known = [t.encode().lower().split() for t in texts if t]
+    for words in known:
+        for before, word in zip([b"", *words], words):
+            for contexts, _, so_far, bit in steps(before, word):
+                for k, context in enumerate(contexts):
+                    counts[k][context, so_far, bit] += 1
+
+    def plain(before, word):
+        total = 0.0
+        for contexts, place, so_far, bit in steps(before, word):
+            x, sure = [], []
+            for k, context in enumerate(contexts):
+                zeros, ones = counts[k][context, so_far, 0], counts[k][context, so_far, 1]
+                x.append(int(np.clip(math.log((ones + 0.05) / (zeros + 0.05)) * 16, -127, 127)) / 16)
+                sure.append(min(math.ceil(math.log2(zeros + ones + 1)), mixing.SURE - 1))
+            gate = (place * mixing.SURE + sure[-2]) * mixing.SURE + sure[-1]
+            z = float(np.clip(sum(a * float(b) for a, b in zip(x, model.weights[gate], strict=True)), -12, 12))
+            at = round((min(max(z, -8), 8) + 8) * (mixing.STEPS - 1) / 16)
+            p = (1 / (1 + math.exp(-z)) + model.map[gate, at]) / 2
+            total += math.log10(p if bit else 1 - p)
+        return total
+
+    pairs = [(b"", b"ab"), (b"ab", b"ba"), (b"ba", b"abc"), (b"b" * 30, b"ab"), (b"ab", b"zz"), (b"zz", b"b" * 30), ("é".encode(), b"\0")]
+    got = model.log10([mixing.pairs_of([a, b])[1] for a, b in pairs])
+    for value, pair in zip(got, pairs, strict=True):
+        assert abs(value - plain(*pair)) < 0.02 * abs(plain(*pair)), pair
+
+
 def test_odd_rows(spark):
     rows = [(i, "the cat sat on the mat " * 5) for i in range(20)] + [(21, None), (22, ""), (None, "the cat"), (3, "x" * 50_000), (3, "x" * 50_000)]
     got = score_documents(documents(spark, rows).select("doc_id", "text")).collect()
