@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +13,8 @@ from tallyfield.llm.text import mixed
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 BITS_FOR_EACH = 16
 CHUNK = 8192
+#: Chunks that a task gives at once, so that a filter is never copied whole.
+CHUNKS_AT_ONCE = 256
 
 
 def bits_for(count: int, most: int = MOST_BITS) -> int:
@@ -43,6 +47,11 @@ class Filter:
             np.bitwise_or.at(self.data, (p >> np.uint64(3)).astype(np.int64), bit)
 
 
+def parts_of(used: np.ndarray) -> list[np.ndarray]:
+    """Runs of at most ``CHUNKS_AT_ONCE`` chunk numbers, one at least."""
+    return np.array_split(used, max(1, -(-len(used) // CHUNKS_AT_ONCE)))
+
+
 class OnceTwice:
     """Filters of the hashes seen in at least one document and of those seen in at least two."""
 
@@ -55,18 +64,18 @@ class OnceTwice:
         self.twice.add(new[(counts > 1) | self.once.has(new)])
         self.once.add(new)
 
-    def chunks(self) -> pa.RecordBatch:
+    def chunks(self) -> Iterator[pa.RecordBatch]:
         """The chunks that hold a bit."""
         once, twice = self.once.data.reshape(-1, CHUNK), self.twice.data.reshape(-1, CHUNK)
-        used = np.flatnonzero(once.any(axis=1))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(used.astype(np.int32)),
-                pa.array([once[i].tobytes() for i in used], pa.binary()),
-                pa.array([twice[i].tobytes() for i in used], pa.binary()),
-            ],
-            names=["chunk", "once", "twice"],
-        )
+        for part in parts_of(np.flatnonzero(once.any(axis=1))):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part.astype(np.int32)),
+                    pa.array([once[i].tobytes() for i in part], pa.binary()),
+                    pa.array([twice[i].tobytes() for i in part], pa.binary()),
+                ],
+                names=["chunk", "once", "twice"],
+            )
 
 
 CHUNKS = "chunk int, once binary, twice binary"

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfield.llm.bloom import CHUNK, CHUNKS, Filter, OnceTwice, bits_for, merge_once_twice
+from tallyfield.llm.bloom import CHUNK, CHUNKS, Filter, OnceTwice, bits_for, merge_once_twice, parts_of
 from tallyfield.llm.components import components
 from tallyfield.llm.text import fields_and, map_pieces, mixed, pieces, texts, with_columns, word_hashes
 from tallyfield.session import written
@@ -123,12 +123,12 @@ def frequency_levels(docs: DataFrame, text: str, cells: int = CELLS) -> tuple[np
     width = CHUNK // 4
 
     def build(batches):
-        counts = np.zeros(cells, np.int64)
+        counts = np.zeros(cells, np.uint32)
         for batch in batches:
             for piece in pieces(batch, text):
                 places = np.concatenate(shingle_sets(texts(piece, text))) & np.uint64(cells - 1)
                 np.add.at(counts, places.astype(np.int64), 1)
-        rows = counts.astype(np.uint32).reshape(-1, width)
+        rows = counts.reshape(-1, width)
         used = np.flatnonzero(rows.any(axis=1))
         for part in np.array_split(used, max(1, len(used) // 256)):
             yield pa.RecordBatch.from_arrays(
@@ -289,11 +289,11 @@ def sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             mine.add(batch.column(0).to_numpy().view(np.uint64))
         rows = mine.data.reshape(-1, CHUNK)
-        used = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array([rows[i].tobytes() for i in used], pa.binary())],
-            names=["chunk", "bits"],
-        )
+        for part in parts_of(np.flatnonzero(rows.any(axis=1))):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part.astype(np.int32)), pa.array([rows[i].tobytes() for i in part], pa.binary())],
+                names=["chunk", "bits"],
+            )
 
     def merge(key, rows):
         total = np.zeros(CHUNK, np.uint8)
@@ -362,7 +362,7 @@ def private_counts(sets: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, "_set"):
                 seen.add(np.concatenate([mixed(unpacked(x)) for x in piece.column("_set").to_pylist()]))
-        yield seen.chunks()
+        yield from seen.chunks()
 
     tasks = 2 * spark.sparkContext.defaultParallelism
     data = merge_once_twice(sets.select("_set").coalesce(tasks).mapInArrow(build, CHUNKS), bits)

@@ -64,7 +64,7 @@ def repeated_filter(docs: DataFrame, text: str, min_length: int) -> tuple[np.nda
         for batch in batches:
             for piece in pieces(batch, text):
                 seen.add(hashes_of([k for t in texts(piece, text) for k in keys_of(t, min_length)]))
-        yield seen.chunks()
+        yield from seen.chunks()
 
     return merge_once_twice(docs.select(text).coalesce(tasks).mapInArrow(build, CHUNKS), bits), bits
 

@@ -62,6 +62,23 @@ def test_filters_miss_nothing():
     assert Filter(1 << 16, twice).has(single).mean() < 0.2
 
 
+def test_filters_leave_a_task_in_small_batches():
+    """Filters of some MB are not copied whole, and no chunk is lost."""
+    part = OnceTwice(1 << 26)
+    hashes = np.random.default_rng(4).integers(0, 2**63, 60_000).astype(np.uint64)
+    part.add(hashes)
+    part.add(hashes[:30_000])
+    batches = list(part.chunks())
+    assert len(batches) > 1 and max(b.nbytes for b in batches) < 6_000_000
+    for name, whole in (("once", part.once.data), ("twice", part.twice.data)):
+        data = np.zeros_like(whole).reshape(-1, 8192)
+        for b in batches:
+            for i, chunk in zip(b["chunk"].to_pylist(), b[name].to_pylist(), strict=True):
+                data[i] = np.frombuffer(chunk, np.uint8)
+        assert (data.ravel() == whole).all()
+    assert [b.num_rows for b in OnceTwice(1 << 16).chunks()] == [0]
+
+
 def test_query(spark):
     names, want = duck_rows(duck(SF_DIR), plans.ORACLES["op7_line_dedup"])
     df = plans.op7_line_dedup(spark, SF_DIR)
