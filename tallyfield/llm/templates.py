@@ -30,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield.llm.matching import only_matching
 from tallyfield.session import written
 
 WINDOW = 8
@@ -217,7 +218,7 @@ def decontaminate(
     """
     docs = docs.drop("contaminated", "items")
     rest = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text])
-    numbered = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("text"), rest.alias("rest")), "documents")
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("text"), rest.alias("rest")), "documents", "zstd")
     asked = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
     asked = once(asked.withColumn("_item", F.monotonically_increasing_id()), "all", tokens_of(F.col("text")), "_item", "item", "text")
     asked = written(asked.withColumn("item_words", words_in(F.col("all"))).where(F.col("item_words") >= least), "items")
@@ -243,7 +244,8 @@ def decontaminate(
         .join(frames.select("exact", "size", "hash").distinct(), ["exact", "size", "hash"], "left_semi")
     )
     found = written(found, "suspect-windows")
-    found = cut(found, numbered, "_row", "text")
+    # of texts, only those that hold such a window are shuffled
+    found = cut(found, only_matching(numbered, "_row", found, "_row"), "_row", "text")
     frames = frames.select(
         "_item", F.col("at").alias("item_at"), "begin", "end", "exact", "size", "hash", F.col("tokens").alias("item_tokens"),
         F.col("forms").alias("item_forms"),

@@ -48,8 +48,11 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Run ``df`` once into the shared folder and read it back, so that its size is known."""
+def written(df: DataFrame, purpose: str, compression: str | None = None) -> DataFrame:
+    """Run ``df`` once into the shared folder and read it back, so that its size is known.
+
+    ``compression`` is a Parquet codec, Spark's setting if it is not given.
+    """
     path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

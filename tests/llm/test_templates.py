@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tallyfield.llm import plans
+from tallyfield.llm import plans, templates
 from tallyfield.llm.templates import decontaminate
 from tests.llm.cases import SF_DIR, documents, lowered, real_documents, with_clashes, words
 
@@ -155,3 +155,16 @@ def test_columns_keep_their_names(spark):
     rows = {r.doc_id: r for r in got.collect()}
     assert all(r[c] == "x" for r in rows.values() for c in own[:-2])
     assert rows[0]["items"] == [1] and rows[0].text == ITEM and rows[1]["items"] == [] and rows[1].text is None
+
+
+def test_only_texts_with_suspect_windows_are_cut_again(spark, monkeypatch):
+    given, cut = [], templates.cut
+
+    def counted(places, rows, row, text):
+        given.append(rows.count())
+        return cut(places, rows, row, text)
+
+    monkeypatch.setattr(templates, "cut", counted)
+    clean = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(300)]
+    assert found(spark, clean + [ITEM] + clean) == [[]] * 300 + [[1]] + [[]] * 300
+    assert given[0] == 1 and given[1] < 10  # the item, then the one text that may hold it
