@@ -23,7 +23,7 @@ comparisons for each member; no pair that could join two components is left out.
 Long lists that are still open are dealt anew, ``ROUNDS`` times, by how their members differ from a centre x. If c and d
 lack m and k of the N shingles of x, their overlap is N - m - k plus what their differences from x have in common. Two
 that are not both linked with x can therefore only link if their differences share at least one shingle, mostly many, and each enters the lists of
-so many of the rarest shingles of its difference that they meet in one. Members of the new lists are compared with
+so many of the rarest shingles of its difference that they meet in one; the others, and those that no other difference from x has, are never made rows. Members of the new lists are compared with
 a centre there, and so on; lists of at most ``PAIRED`` members are paired, as is, after a bound on each pair, what the last round leaves.
 
 Equal sets are one class from the start. Shingles and classes are known by 64-bit hashes; set
@@ -44,18 +44,20 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfield.llm.bloom import CHUNK, CHUNKS, Filter, OnceTwice, bits_for, merge_once_twice, parts_of
 from tallyfield.llm.components import components
+from tallyfield.llm.matching import only_matching
 from tallyfield.llm.text import fields_and, map_pieces, mixed, pieces, texts, with_columns, word_hashes
 from tallyfield.session import written
 
 WORDS = 5
 PERCENT = 80
 CELLS = 1 << 22
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 24
 LARGEST_LIGHT = 24
 CLASSES_KEPT = 100_000
 #: Members of a list that are paired as they are.
@@ -113,20 +115,19 @@ def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def frequency_levels(docs: DataFrame, text: str, cells: int = CELLS) -> tuple[np.ndarray, float]:
-    """For each cell of shingle hashes the level of its count, and the mean length of a list.
+def cell_counts(given: DataFrame, hashes_of, cells: int, purpose: str) -> DataFrame:
+    """(chunk, n, squares, counts): how many of the hashes fall into each cell, by as many tasks as run at once.
 
-    Counts of documents by hash cell, summed over all rows by as many tasks as run at once.
-    Levels are half powers of two over the mean count.
+    ``hashes_of`` gives the hashes of each piece of a batch of ``given``; their lowest bits name the cell.
     """
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    tasks = 2 * given.sparkSession.sparkContext.defaultParallelism
     width = CHUNK // 4
 
     def build(batches):
         counts = np.zeros(cells, np.uint32)
         for batch in batches:
-            for piece in pieces(batch, text):
-                places = np.concatenate(shingle_sets(texts(piece, text))) & np.uint64(cells - 1)
+            for hashes in hashes_of(batch):
+                places = hashes & np.uint64(cells - 1)
                 np.add.at(counts, places.astype(np.int64), 1)
         rows = counts.reshape(-1, width)
         used = np.flatnonzero(rows.any(axis=1))
@@ -145,27 +146,44 @@ def frequency_levels(docs: DataFrame, text: str, cells: int = CELLS) -> tuple[np
             "counts": [total.tobytes()],
         })
 
-    merged = written(
-        docs.select(text).coalesce(tasks).mapInArrow(build, "chunk int, counts binary")
+    return written(
+        given.coalesce(tasks).mapInArrow(build, "chunk int, counts binary")
         .groupBy("chunk").applyInArrow(merge, "chunk int, n long, squares double, counts binary"),
-        "shingle-counts",
+        purpose,
     )
-    n, squares = merged.agg(F.sum("n"), F.sum("squares")).first()
+
+
+def cell_levels(merged: DataFrame, cells: int, level_of) -> np.ndarray:
+    """For each cell the level that ``level_of`` gives to its count, one byte each."""
+    width = CHUNK // 4
     levels = np.zeros(cells, np.uint8)
-    if not n:
-        return levels, 1.0
-    mean = n / cells
 
     def level(batches):
         for batch in batches:
-            found = [
-                np.floor(2 * np.log2(np.maximum(np.frombuffer(c, np.int64) / (mean + 1), 1))).astype(np.uint8).tobytes()
-                for c in batch.column(1).to_pylist()
-            ]
+            found = [level_of(np.frombuffer(c, np.int64)).astype(np.uint8).tobytes() for c in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["chunk", "levels"])
 
     for row in merged.select("chunk", "counts").mapInArrow(level, "chunk int, levels binary").collect():
         levels[row.chunk * width : (row.chunk + 1) * width] = np.frombuffer(row.levels, np.uint8)
+    return levels
+
+
+def frequency_levels(docs: DataFrame, text: str, cells: int = CELLS) -> tuple[np.ndarray, float]:
+    """For each cell of shingle hashes the level of its count, and the mean length of a list.
+
+    Counts of documents by hash cell, summed over all rows. Levels are half powers of two over the mean count.
+    """
+
+    def hashes_of(batch):
+        for piece in pieces(batch, text):
+            yield np.concatenate(shingle_sets(texts(piece, text)))
+
+    merged = cell_counts(docs.select(text), hashes_of, cells, "shingle-counts")
+    n, squares = merged.agg(F.sum("n"), F.sum("squares")).first()
+    if not n:
+        return np.zeros(cells, np.uint8), 1.0
+    mean = n / cells
+    levels = cell_levels(merged, cells, lambda counts: np.floor(2 * np.log2(np.maximum(counts / (mean + 1), 1))))
     return levels, max(1.0, squares / n - mean)
 
 
@@ -332,8 +350,8 @@ def sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough."""
-    left = sets.select(F.col("_class").alias("a"), F.col("_set").alias("_a"))
-    right = sets.select(F.col("_class").alias("b"), F.col("_set").alias("_b"))
+    left = only_matching(sets.select(F.col("_class").alias("a"), F.col("_set").alias("_a")), "a", pairs, "a")
+    right = only_matching(sets.select(F.col("_class").alias("b"), F.col("_set").alias("_b")), "b", pairs, "b")
 
     def check(batches):
         for batch in batches:
@@ -394,8 +412,8 @@ def views(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     ``missing`` has a bit for each shingle of x, in its order.
     """
-    left = sets.select(F.col("_class").alias("c"), F.col("_set").alias("_c"))
-    right = sets.select(F.col("_class").alias("x"), F.col("_set").alias("_x"))
+    left = only_matching(sets.select(F.col("_class").alias("c"), F.col("_set").alias("_c")), "c", pairs, "c")
+    right = only_matching(sets.select(F.col("_class").alias("x"), F.col("_set").alias("_x")), "x", pairs, "x")
 
     def look(batches):
         for batch in batches:
@@ -420,8 +438,8 @@ def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(c, x, n, nx, m, near, differ): for pairs of classes their sizes, how many of the shingles of x the set of c
     lacks, whether the two link, and the shingles that one of them has alone.
     """
-    left = sets.select(F.col("_class").alias("c"), F.col("_set").alias("_c"))
-    right = sets.select(F.col("_class").alias("x"), F.col("_set").alias("_x"))
+    left = only_matching(sets.select(F.col("_class").alias("c"), F.col("_set").alias("_c")), "c", pairs, "c")
+    right = only_matching(sets.select(F.col("_class").alias("x"), F.col("_set").alias("_x")), "x", pairs, "x")
 
     def look(batches):
         for batch in batches:
@@ -445,30 +463,68 @@ def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(look, "c long, x long, n long, nx long, m long, near boolean, differ array<long>")
 
 
+def difference_keys(x: int, differ: np.ndarray) -> np.ndarray:
+    """The keys of the lists of centre ``x`` that the shingles of a difference from it have."""
+    return mixed(mixed(np.array([x], np.int64).view(np.uint64)) + differ.view(np.uint64))
+
+
+def held_levels(seen: DataFrame) -> np.ndarray:
+    """For each cell of the keys of differences 0 if one difference at most has such a key, else a level that grows with their number.
+
+    There are about twice as many cells as keys, ``MOST_CELLS`` at most; with more keys than that more of them look shared.
+    """
+    total = seen.agg(F.sum(F.size("differ"))).first()[0] or 0
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (2 * total).bit_length()))
+
+    def hashes_of(batch):
+        for x, differ in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield difference_keys(x, differ.values.to_numpy())
+
+    def level(counts):
+        return np.where(counts > 1, np.floor(2 * np.log2(np.maximum(counts, 1))), 0)
+
+    return cell_levels(cell_counts(seen.select("x", "differ"), hashes_of, cells, "difference-counts"), cells, level)
+
+
 def lists_by_difference(seen: DataFrame, percent: int) -> DataFrame:
     """(key, c): lists in which all members of a centre meet that may link and are not both linked with it.
 
     c and d link if their differences share t = (w(c) + w(d)) / (100 + percent) - nx shingles, where w is
     percent * n + (100 + percent) * m; with the least w of possible partners this bounds t for c alone. t is over 0, since
-    w is at least percent * nx for all, and over 100 * nx for those not linked with the centre. Of the d
-    shingles of a difference that others have, too, the rarest d - t + 1 are entered.
+    w is at least percent * nx for all, and over 100 * nx for those not linked with the centre. What c has of x is, but for the shingles that
+    c has beyond d, in d too, so w(d) is at least w(c) - (100 - percent) * n(d), and n(d) at most 100 * n / percent. Of the d
+    shingles of a difference that others may have, too, the rarest d - t + 1 are entered, and only these become rows; which
+    others may have and which are rare is told by counts by hash cell, of fixed size, that take none for private that another has.
     """
     whole = 100 + percent
     seen = seen.withColumn("w", percent * F.col("n") + whole * F.col("m"))
     least = seen.groupBy("x").agg(F.min("w").alias("any"), F.min(F.when(~F.col("near"), F.col("w"))).alias("far"))
     least = least.where("far is not null").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     dealt = seen.withColumn("part", F.pmod(F.xxhash64("c"), F.lit(PARTS)).cast("int")).join(least, ["x", "part"])
-    partner = F.when(F.col("near"), F.col("far")).otherwise(F.col("any"))
-    share = F.greatest(F.lit(1), F.ceil((F.col("w") + partner - whole * F.col("nx")) / whole)).cast("long")
-    entries = dealt.select("x", "c", share.alias("t"), F.explode("differ").alias("e"))
-    counts = entries.groupBy("x", "e").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    known = entries.join(counts, ["x", "e"])
-    own = Window.partitionBy("x", "c")  # at most the shingles of two sets
-    ranked = known.select(
-        "x", "c", "e", "t", F.count(F.lit(1)).over(own).alias("d"),
-        F.row_number().over(own.orderBy("held", "e")).alias("rank"),
+    partner = F.greatest(
+        F.when(F.col("near"), F.col("far")).otherwise(F.col("any")),
+        F.col("w") - F.ceil((100 - percent) * 100 * F.col("n") / percent),
     )
-    return ranked.where("rank <= d - t + 1").select(F.xxhash64("x", "e").alias("key"), "c")
+    share = F.greatest(F.lit(1), F.ceil((F.col("w") + partner - whole * F.col("nx")) / whole)).cast("long")
+    shared = seen.sparkSession.sparkContext.broadcast(held_levels(seen))  # at most MOST_CELLS bytes
+
+    def enter(batches):
+        levels = shared.value
+        for batch in batches:
+            keys, members = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            columns = (batch.column(k).to_pylist() for k in ("x", "c", "t"))
+            for x, c, t, differ in zip(*columns, batch.column("differ"), strict=True):
+                own = difference_keys(x, differ.values.to_numpy())
+                level = levels[(own & np.uint64(len(levels) - 1)).astype(np.int64)]
+                own, level = own[level > 0], level[level > 0]
+                if len(own) >= t:
+                    keys.append(own[np.lexsort((own, level))[: len(own) - t + 1]])
+                    members.append(np.full(len(keys[-1]), c))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(members))], names=["key", "c"]
+            )
+
+    return dealt.select("x", "c", share.alias("t"), "differ").mapInArrow(enter, "key long, c long")
 
 
 def still_open(members: DataFrame, placed: DataFrame) -> DataFrame:
@@ -496,7 +552,7 @@ def close_pairs(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     and of the others at most what either has beyond x and its private ones. The bound is a condition of
     the join, and pairs that it rules out are no rows.
     """
-    seen = written(views(many.select("c", "x").distinct(), sets), "open-views")
+    seen = written(views(written(many.select("c", "x").distinct(), "view-pairs"), sets), "open-views")
     many = many.join(seen, ["c", "x"]).withColumn("extra", F.col("extra") - F.col("private"))
 
     def close(col) -> Column:
@@ -530,8 +586,8 @@ def remaining_links(
         if not left:
             pairs.append(close_pairs(many, sets, percent))
             break
-        views_ = differences(many.where("c != x").select("c", "x").distinct(), sets, percent)
-        seen = written(views_, "differences")
+        centred = written(many.where("c != x").select("c", "x").distinct(), "centred-pairs")
+        seen = written(differences(centred, sets, percent), "differences")
         near = seen.where("near").select(F.greatest("c", "x").alias("a"), F.least("c", "x").alias("b"))
         links = written(links.union(near).distinct(), "round-links")
         if (count := links.count()) > known_links:

@@ -3,10 +3,12 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyfield.llm import jaccard, plans
 from tallyfield.llm.components import components
 from tallyfield.llm.jaccard import jaccard_components
+from tallyfield.llm.matching import only_matching
 from tests.llm.cases import SF_DIR, documents, lowered, real_documents, with_clashes, words
 
 
@@ -171,3 +173,44 @@ def test_lists_dealt_by_differences_lose_no_link(spark, monkeypatch, rounds):
     full = jaccard.remaining_links
     monkeypatch.setattr(jaccard, "remaining_links", lambda *given: full(*given, rounds=rounds))
     assert result(jaccard_components(documents(spark, rows).select("doc_id", "text"))) == brute(rows)
+
+
+def test_only_few_shingles_of_a_difference_become_rows(spark):
+    """All that link, and are not both linked with the centre, meet in a list; most shingles enter none."""
+    rng = random.Random(17)
+    base = list(range(1, 201))
+    sets = {0: base}
+    for c in range(1, 241):
+        if c % 4:  # blocks that several members replace alike, and shingles of their own
+            block = rng.randrange(6) * 30
+            own = [10**6 * c + k for k in range(rng.randrange(3, 20))]
+            sets[c] = [v for v in base if not block < v <= block + 25] + [1000 * block + k for k in range(20)] + own
+        else:
+            sets[c] = base[10:] + [10**7 * c + k for k in range(rng.randrange(30))]
+    hashed = {c: np.unique(jaccard.mixed(np.array(v, np.uint64)) >> np.uint64(16) << np.uint64(16)) for c, v in sets.items()}
+    table = spark.createDataFrame([(c, bytearray(jaccard.packed(h))) for c, h in hashed.items()], "_class long, _set binary")
+    pairs = spark.createDataFrame([(c, 0) for c in sets if c], "c long, x long")
+    seen = jaccard.written(jaccard.differences(pairs, table, 80), "t")
+    near = {r.c for r in seen.where("near").collect()}
+    lists = jaccard.lists_by_difference(seen, 80)
+    assert "Generate explode(differ" not in lists._jdf.queryExecution().toString()
+    entries = {}
+    for r in lists.collect():
+        entries.setdefault(r.c, set()).add(r.key)
+    linking = 0
+    for c, d in combinations(range(1, 241), 2):
+        both = jaccard.overlap(hashed[c], hashed[d])
+        if 100 * both >= 80 * (len(hashed[c]) + len(hashed[d]) - both) and not {c, d} <= near:
+            linking += 1
+            assert entries[c] & entries[d]
+    assert near and linking > 1000 and len(near) < 200
+    total = sum(len(r.differ) for r in seen.collect())
+    assert sum(map(len, entries.values())) < 0.6 * total
+
+
+def test_sets_that_no_pair_needs_are_not_joined(spark):
+    sets = spark.range(20_000).select(F.col("id").alias("_class"), F.col("id").alias("a"))
+    pairs = spark.createDataFrame([(5, 6), (5, 19_999), (7, 5)], "a long, b long")
+    kept = [r.a for r in only_matching(sets, "a", pairs, "a").collect()]
+    assert {5, 7} <= set(kept) and len(kept) < 10
+    assert only_matching(sets, "a", pairs.limit(0), "a").count() == 0
