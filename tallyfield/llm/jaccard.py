@@ -24,7 +24,8 @@ Long lists that are still open are dealt anew, ``ROUNDS`` times, by how their me
 lack m and k of the N shingles of x, their overlap is N - m - k plus what their differences from x have in common. Two
 that are not both linked with x can therefore only link if their differences share at least one shingle, mostly many, and each enters the lists of
 so many of the rarest shingles of its difference that they meet in one; the others, and those that no other difference from x has, are never made rows. Members of the new lists are compared with
-a centre there, and so on; lists of at most ``PAIRED`` members are paired, as is, after a bound on each pair, what the last round leaves.
+a centre there, and so on. Where the new lists of a centre have more than half of the pairs of its old ones, as among texts that share many passages and no original,
+the old lists stay instead, so that dealing never multiplies what is open. Lists of at most ``PAIRED`` members are paired, as is, after a bound on each pair, what stays and what the last round leaves.
 
 Equal sets are one class from the start. Shingles and classes are known by 64-bit hashes; set
 overlaps are counted on 48 bits of them. Orders are by estimated frequency (a fixed table of
@@ -38,6 +39,7 @@ if there is none).
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -487,7 +489,7 @@ def held_levels(seen: DataFrame) -> np.ndarray:
 
 
 def lists_by_difference(seen: DataFrame, percent: int) -> DataFrame:
-    """(key, c): lists in which all members of a centre meet that may link and are not both linked with it.
+    """(key, c, x): lists in which all members of a centre meet that may link and are not both linked with it.
 
     c and d link if their differences share t = (w(c) + w(d)) / (100 + percent) - nx shingles, where w is
     percent * n + (100 + percent) * m; with the least w of possible partners this bounds t for c alone. t is over 0, since
@@ -511,7 +513,7 @@ def lists_by_difference(seen: DataFrame, percent: int) -> DataFrame:
     def enter(batches):
         levels = shared.value
         for batch in batches:
-            keys, members = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            keys, members, centres = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             columns = (batch.column(k).to_pylist() for k in ("x", "c", "t"))
             for x, c, t, differ in zip(*columns, batch.column("differ"), strict=True):
                 own = difference_keys(x, differ.values.to_numpy())
@@ -520,11 +522,11 @@ def lists_by_difference(seen: DataFrame, percent: int) -> DataFrame:
                 if len(own) >= t:
                     keys.append(own[np.lexsort((own, level))[: len(own) - t + 1]])
                     members.append(np.full(len(keys[-1]), c))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(members))], names=["key", "c"]
-            )
+                    centres.append(np.full(len(keys[-1]), x))
+            columns = np.concatenate(keys).view(np.int64), np.concatenate(members), np.concatenate(centres)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["key", "c", "x"])
 
-    return dealt.select("x", "c", share.alias("t"), "differ").mapInArrow(enter, "key long, c long")
+    return dealt.select("x", "c", share.alias("t"), "differ").mapInArrow(enter, "key long, c long, x long")
 
 
 def still_open(members: DataFrame, placed: DataFrame) -> DataFrame:
@@ -535,6 +537,12 @@ def still_open(members: DataFrame, placed: DataFrame) -> DataFrame:
     return written(known.join(several, "key", "left_semi"), "open-members")
 
 
+def list_pairs(lists: DataFrame, name: str) -> DataFrame:
+    """(x, name): the squares of the lengths of each centre's lists, summed."""
+    n = F.count(F.lit(1)).cast("double")
+    return lists.groupBy("key", "x").agg((n * n).alias("n")).groupBy("x").agg(F.sum("n").alias(name))
+
+
 def met(rows: DataFrame, percent: int, condition=None) -> DataFrame:
     """(a, b): the members of one list in different components that may link by their private shingles."""
     mine, other = rows.alias("l"), rows.alias("r")
@@ -561,7 +569,7 @@ def close_pairs(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             F.lit(0), lambda total, n: total + n,
         )
         most = col("l", "nx") - lacked + F.least(col("l", "extra"), col("r", "extra"))
-        return 100 * most >= percent * (col("l", "n") + col("r", "n") - most)
+        return (col("l", "x") == col("r", "x")) & (100 * most >= percent * (col("l", "n") + col("r", "n") - most))
 
     return met(many, percent, close)
 
@@ -574,7 +582,7 @@ def remaining_links(
     ``placed`` has the components of ``links``.
     """
     of_class = open_.select("c", "n", "private").distinct()
-    pairs, known_links = [], links.count()
+    pairs, stay, known_links = [], [], links.count()
     for left in range(rounds, -1, -1):
         centre = F.min(F.struct("private", F.xxhash64("c").alias("h"), "c"))["c"].alias("x")
         sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), centre)
@@ -584,7 +592,7 @@ def remaining_links(
         if many.isEmpty():
             break
         if not left:
-            pairs.append(close_pairs(many, sets, percent))
+            stay.append(many)
             break
         centred = written(many.where("c != x").select("c", "x").distinct(), "centred-pairs")
         seen = written(differences(centred, sets, percent), "differences")
@@ -592,8 +600,14 @@ def remaining_links(
         links = written(links.union(near).distinct(), "round-links")
         if (count := links.count()) > known_links:
             placed, known_links = written(components(links), "round-components"), count
-        dealt = lists_by_difference(seen, percent).join(of_class, "c")
-        open_ = still_open(dealt, placed)
+        dealt = still_open(lists_by_difference(seen, percent).join(of_class, "c"), placed)
+        worse = list_pairs(many, "before").join(list_pairs(dealt, "after"), "x").where("2 * after > before").select("x")
+        worse = written(worse, "undealt-centres")
+        stay.append(many.join(worse, "x", "left_semi"))
+        open_ = dealt.join(worse, "x", "left_anti").drop("x")
+    if stay:  # a key may name lists of two rounds, with a centre each
+        left_over = reduce(DataFrame.unionByName, stay).drop("g").distinct()
+        pairs.append(close_pairs(still_open(left_over, placed), sets, percent))
     found = pairs[0]
     for more in pairs[1:]:
         found = found.union(more)

@@ -208,6 +208,29 @@ def test_only_few_shingles_of_a_difference_become_rows(spark):
     assert sum(map(len, entries.values())) < 0.6 * total
 
 
+def test_dealing_that_does_not_pay_is_dropped(spark, monkeypatch):
+    """Texts that share passages, each with many others, and have no original: dealt anew their lists only multiply."""
+    rng = random.Random(23)
+    passages = [" ".join(f"s{k}x{i}" for i in range(9)) for k in range(40)]
+    rows = [(i, " ".join(passages[k] for k in sorted(rng.sample(range(40), 22)))) for i in range(120)]
+    rows += [(500 + i, rows[i][1] + " end") for i in range(5)]
+    paired, dealt = [], []
+
+    def counted(many, *args):
+        paired.append(many.count())
+        return close(many, *args)
+
+    def listed(members, *args):
+        dealt.append(members.count())
+        return open_(members, *args)
+
+    close, open_ = jaccard.close_pairs, jaccard.still_open
+    monkeypatch.setattr(jaccard, "close_pairs", counted)
+    monkeypatch.setattr(jaccard, "still_open", listed)
+    assert result(jaccard_components(documents(spark, rows).select("doc_id", "text"))) == brute(rows)
+    assert 0 < paired[0] < 0.6 * dealt[0]  # without that, more rows than in the lists before
+
+
 def test_sets_that_no_pair_needs_are_not_joined(spark):
     sets = spark.range(20_000).select(F.col("id").alias("_class"), F.col("id").alias("a"))
     pairs = spark.createDataFrame([(5, 6), (5, 19_999), (7, 5)], "a long, b long")
