@@ -45,17 +45,22 @@ from tallyfield.session import written
 FOLDS, HELD_OUT, TUNING = 7, 2, 6
 ORDERS, BEFORE = (1, 2, 4, 6), 12
 KINDS = len(ORDERS) + 2
+#: Columns of a bit's inputs, those after ``KINDS`` empty.
+WIDTH = 8
+ONES = np.ones(WIDTH, np.float32)
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
+ROW = 16
 CHUNK = 1 << 13
 SURE = 6
 GATES = 8 * SURE * SURE
+HALF_GATES = GATES // 2
 STEPS = 33
 ROUNDS, RATE, DAMPING = 3, 0.1, 20.0
 FREQUENT, FREQUENT_BYTES = 1 << 17, 64
 COUNTED = 400_000
 PAIRS, LONG_PAIR = 250_000, 80
-BYTES_AT_ONCE, LEARNED_AT_ONCE = 1 << 13, 1 << 12
+BYTES_AT_ONCE, CODED_AT_ONCE, LEARNED_AT_ONCE = 1 << 16, 1 << 12, 1 << 12
 CLASSES = 8
 BLOCK, SWITCH, SMOOTHING = 16, 0.05, 0.08
 END = b""
@@ -120,8 +125,13 @@ _TOLD = {k: _LAST[k] | np.where(np.arange(max(ORDERS) + 1) < k, np.uint64(15 <<
 
 
 def slot_of(contexts: np.ndarray) -> np.ndarray:
+    """The first slot of a context's row; the nodes of half a byte have a row of ``ROW`` slots."""
     x = contexts * _SPREAD
-    return ((x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x >>= np.uint64(64 - SLOT_BITS)
+    x &= np.uint64(SLOTS - ROW)
+    return x.view(np.int64)
 
 
 def contexts_of(pairs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -129,55 +139,79 @@ def contexts_of(pairs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.nd
 
     ``contexts`` has the slots for each predictor where the nodes of a byte are told from.
     """
-    lengths = np.array([len(p) + 1 for p in pairs])
+    lengths = np.fromiter(map(len, pairs), np.int64, len(pairs)) + 1
     data = np.frombuffer(b" ".join(pairs) + b" ", np.uint8)
     starts = np.cumsum(lengths) - lengths
     words = np.flatnonzero(data == 32)[::2] + 1  # a pair has a blank in it, and one after it
     after = starts + lengths - words
     owner = np.repeat(np.arange(len(pairs)), after)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(after) - after, after)
-    coded = words[owner] + place
+    coded = np.repeat(words - np.cumsum(after) + after, after)
+    coded += np.arange(len(owner))
     wide = data.astype(np.uint64)
-    last = np.concatenate([np.zeros(1, np.uint64), wide[:-1]])  # the bytes before, the last one lowest
+    last = np.empty_like(wide)  # the bytes before, the last one lowest
+    last[0], last[1:] = 0, wide[:-1]
     for back in (1, 2, 4):
         last[back:] |= last[:-back] << np.uint64(8 * back)
-    known = np.minimum(coded - starts[owner], max(ORDERS))
-    last = (last[coded] & _LAST[known]) | known.astype(np.uint64) << np.uint64(56)
-    contexts = [slot_of((last & _TOLD[k][known]) + np.uint64(k << 60)) for k in ORDERS]
+    known = np.minimum(coded - np.repeat(starts, after), max(ORDERS))
+    last = last.take(coded)
+    last &= _LAST.take(known)
+    last |= known.view(np.uint64) << np.uint64(56)
+    contexts = []
+    for k in ORDERS:
+        told = _TOLD[k].take(known)
+        told &= last
+        told += np.uint64(k << 60)
+        contexts.append(slot_of(told))
     from_word = np.arange(len(data)) - np.repeat(words, lengths)
-    each = mixed(wide + (from_word.astype(np.uint64) << np.uint64(8)))
-    total = np.cumsum(each) - each
-    here = total[coded]
-    at = place.astype(np.uint64) * mixed(np.uint64([7]))
-    contexts.append(slot_of(here - total[words][owner] + at))
-    contexts.append(slot_of(here - total[starts][owner] + at + np.uint64(1 << 56)))
-    return contexts, data[coded], owner
-
-
-_PLACES, _BYTES = np.arange(8), np.arange(256)[:, None]
-#: By byte and place, highest first: the bit, and the node of the bits before it. Those of half a byte are in 16 slots.
-BITS = (_BYTES >> (7 - _PLACES) & 1).astype(np.float32)
-NODES = np.where(
-    _PLACES < 4,
-    (1 << _PLACES) | (_BYTES >> (8 - _PLACES)),
-    (slot_of((_BYTES >> 4).astype(np.uint64) + np.uint64(1)) & -16) + ((1 << (_PLACES & 3)) | ((_BYTES & 15) >> (8 - _PLACES)) & 15),
-)
-
-
-def pair_bits(pairs: list[bytes], size: int = BYTES_AT_ONCE):
-    """(slots of each predictor, bits, pair numbers of the bytes), some bytes after the others."""
+    from_word <<= 8
+    wide += from_word.view(np.uint64)
+    each = mixed(wide)
+    total = np.cumsum(each)
+    total -= each
+    place = (coded - np.repeat(words, after)).view(np.uint64)
+    place *= mixed(np.uint64([7]))
+    place += total.take(coded)
+    contexts.append(slot_of(place - np.repeat(total[words], after)))
+    contexts.append(slot_of(place - np.repeat(total[starts] - np.uint64(1 << 56), after)))
+    return contexts, data.take(coded), owner
+
+
+_HALVES = np.arange(ROW)
+#: By half byte and place, highest first.
+BITS = np.stack([_HALVES >> (3 - d) & 1 for d in range(4)], axis=1).astype(np.float32)
+SIGNS = 2 * BITS - 1
+_BYTES = np.arange(256)
+#: By half and byte: the half, and what leads from the context's row to the slot that stands for this half after the one before it.
+HALF = (_BYTES >> 4, _BYTES & 15)
+TO_LEAF = (HALF[0], slot_of((_BYTES >> 4).astype(np.uint64) + np.uint64(1)) | HALF[1])
+
+
+def pair_bytes(pairs: list[bytes], size: int = CODED_AT_ONCE):
+    """(rows of each predictor, bytes, pair numbers of the bytes), some bytes after the others."""
     if not pairs:
         return
     contexts, data, owner = contexts_of(pairs)
     for start in range(0, len(data), size):
         part = slice(start, start + size)
-        nodes = NODES[data[part]]
-        yield [(c[part, None] ^ nodes).ravel() for c in contexts], BITS[data[part]].ravel(), owner[part]
+        yield [c[part] for c in contexts], data[part], owner[part]
+
+
+def leaves_of(rows: list[np.ndarray], data: np.ndarray, half: int) -> list[np.ndarray]:
+    """The slots that stand for one half of each byte, for each predictor."""
+    to = TO_LEAF[half].take(data)
+    return [r ^ to for r in rows]
+
+
+def paths(nodes: np.ndarray, out: np.ndarray) -> None:
+    """By slot of a half byte: the values at the four nodes on its way."""
+    rows, out = nodes.reshape(-1, ROW), out.reshape(-1, ROW, 4)
+    for d in range(4):
+        out[..., d] = np.repeat(rows[:, 1 << d : 2 << d], ROW >> d, axis=1)
 
 
 def batches_of(pairs: list[bytes], size: int = BYTES_AT_ONCE):
     """Slices of ``pairs`` with about ``size`` bytes, one pair at least."""
-    ends = np.cumsum([len(p) for p in pairs])
+    ends = np.cumsum(np.fromiter(map(len, pairs), np.int64, len(pairs)))
     start = 0
     while start < len(pairs):
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")))
@@ -204,90 +238,148 @@ class Mixer:
         self.stretched, self.sure = stretched, sure
         self.weights = np.full((GATES, KINDS), 0.2, np.float32)
         self.map = None
-
-    def inputs(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        x = [self.stretched[k].take(slots[k], mode="wrap") * np.float32(1 / 16) for k in range(KINDS)]
-        gate = np.tile(np.arange(8), len(slots[0]) // 8)
-        for k in (KINDS - 2, KINDS - 1):
-            gate = gate * SURE + self.sure[k].take(slots[k], mode="wrap")
-        return x, gate
-
-    def mix(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(gate), np.float32)
-        for k in range(KINDS):
-            total += x[k] * self.weights[:, k].take(gate, mode="wrap")
-        return np.clip(total, -12, 12)
-
-    def probability(self, mixed_: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        p = 1 / (1 + np.exp(-mixed_))
-        if self.map is not None:
-            p = (p + self.map[gate, self.step(mixed_)]) / 2
-        return np.clip(p, 1e-6, 1 - 1e-6)
+        self.ways = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"ways": None}
+
+    def gathered(self) -> tuple[np.ndarray, np.ndarray]:
+        """(stretched, both): by slot, four values as one number; with the gate's parts beside them for the last two predictors."""
+        if self.ways is None:
+            stretched, both = np.empty((KINDS - 2, SLOTS, 4), np.int8), np.empty((2, SLOTS, 8), np.uint8)
+            for k in range(KINDS - 2):
+                paths(self.stretched[k], stretched[k])
+            for k, step in enumerate((SURE, 1), -2):
+                paths(self.stretched[k].view(np.uint8), way := np.empty((SLOTS, 4), np.uint8))
+                both[k, :, :4] = way
+                paths(self.sure[k] * np.uint8(step), way)
+                both[k, :, 4:] = way
+            self.ways = stretched.view(np.uint32)[..., 0], both.view(np.uint64)[..., 0]
+        return self.ways
+
+    def inputs(self, rows: list[np.ndarray], data: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+        """(stretched probabilities times 16 by predictor, gates within the half) of four bits of each byte."""
+        stretched, both = self.gathered()
+        *slots, word, before = leaves_of(rows, data, half)
+        x = np.zeros((4 * len(data), WIDTH), np.int8)
+        for k, (t, at) in enumerate(zip(stretched, slots, strict=True)):
+            x[:, k] = t.take(at, mode="wrap").view(np.int8)
+        gate = np.full(len(data), _PLACES)
+        for k, (t, at) in enumerate(zip(both, (word, before), strict=True), KINDS - 2):
+            parts = t.take(at, mode="wrap").view(np.uint32).reshape(-1, 2).T
+            x[:, k] = parts[0].copy().view(np.int8)
+            gate += parts[1]
+        return x.astype(np.float32), gate.view(np.uint8).astype(np.intp)
+
+    def mix(self, x: np.ndarray, gate: np.ndarray, half: int) -> np.ndarray:
+        weights = np.zeros((HALF_GATES, WIDTH), np.float32)
+        weights[:, :KINDS] = self.weights[half * HALF_GATES : (half + 1) * HALF_GATES] * np.float32(1 / 16)
+        parts = weights.take(gate, axis=0, mode="wrap")
+        parts *= x
+        total = parts @ ONES
+        np.maximum(total, np.float32(-12), out=total)
+        return np.minimum(total, np.float32(12), out=total)
 
     @staticmethod
     def step(mixed_: np.ndarray) -> np.ndarray:
-        return np.rint((np.clip(mixed_, -8, 8) + 8) * (STEPS - 1) / 16).astype(np.int64)
+        at = mixed_ * np.float32((STEPS - 1) / 16)
+        at += np.float32((STEPS - 1) / 2)
+        np.maximum(at, np.float32(0), out=at)
+        np.minimum(at, np.float32(STEPS - 1), out=at)
+        return np.rint(at, out=at).astype(np.intp)
 
     def learn(self, pairs: list[bytes], counts: np.ndarray) -> None:
         """One online step for each batch of pairs, scaled by the bend of the loss."""
         for some in batches_of(pairs):
-            own = counts[some]
-            for slots, bits, owner in pair_bits(pairs[some], LEARNED_AT_ONCE):
-                x, gate = self.inputs(slots)
-                n = np.repeat(own[owner].astype(np.float32), 8)
-                p = 1 / (1 + np.exp(-self.mix(x, gate)))
-                squares = sum(v * v for v in x)
-                bend = np.bincount(gate, n * p * (1 - p) * squares, GATES) + DAMPING
-                wrong = n * (bits - p)
-                for k in range(KINDS):
-                    self.weights[:, k] += (RATE * np.bincount(gate, wrong * x[k], GATES) / bend).astype(np.float32)
+            own = counts[some].astype(np.float32)
+            for rows, data, owner in pair_bytes(pairs[some], LEARNED_AT_ONCE):
+                n = np.repeat(own[owner], 4)
+                for half in range(2):
+                    x, gate = self.inputs(rows, data, half)
+                    bits = BITS.take(HALF[half].take(data), axis=0).ravel()
+                    p = sigmoid(self.mix(x, gate, half))
+                    squares = (x * x) @ ONES
+                    squares *= p
+                    squares *= 1 - p
+                    squares *= n
+                    bend = np.bincount(gate, squares, HALF_GATES) / 256 + DAMPING
+                    wrong = bits - p
+                    wrong *= n
+                    some_weights = self.weights[half * HALF_GATES : (half + 1) * HALF_GATES]
+                    for k in range(KINDS):
+                        some_weights[:, k] += (RATE / 16 * np.bincount(gate, wrong * x[:, k], HALF_GATES) / bend).astype(np.float32)
 
     def log10(self, pairs: list[bytes]) -> np.ndarray:
         """log10 probability of each pair's second word and its blank, after the first."""
         out = np.zeros(len(pairs))
+        if self.map is not None:  # by half, bit, gate and step
+            maps = self.map.reshape(2, 1, HALF_GATES, STEPS)
+            maps = np.concatenate([1 - maps, maps], axis=1).astype(np.float32).reshape(2, -1)
         for some in batches_of(pairs):
-            for slots, bits, owner in pair_bits(pairs[some]):
-                x, gate = self.inputs(slots)
-                p = self.probability(self.mix(x, gate), gate)
-                p = np.where(bits > 0, p, 1 - p)
-                out[some] += np.bincount(owner, np.log10(p).reshape(-1, 8).sum(axis=1), some.stop - some.start)
+            for rows, data, owner in pair_bytes(pairs[some]):
+                each = np.ones(len(data))
+                for half in range(2):
+                    x, gate = self.inputs(rows, data, half)
+                    m = self.mix(x, gate, half)
+                    halves = HALF[half].take(data)
+                    p = sigmoid(m * SIGNS.take(halves, axis=0).ravel())
+                    if self.map is not None:
+                        gate *= STEPS
+                        gate += self.step(m)
+                        gate += _MAP_SIDES.take(halves, axis=0).ravel()
+                        p += maps[half].take(gate, mode="wrap")
+                        p *= np.float32(0.5)
+                    p = p.reshape(-1, 4)
+                    each *= (p[:, 0] * p[:, 1]) * (p[:, 2] * p[:, 3])
+                out[some] += np.bincount(owner, np.log10(each), some.stop - some.start)
         return out
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    p = np.negative(x)
+    np.exp(p, out=p)
+    p += 1
+    return np.reciprocal(p, out=p)
+
+
+#: The first gate of each place in half a byte, as one number of 4 bytes.
+_PLACES = np.uint8(SURE * SURE * np.arange(4)).view(np.uint32)[0]
+_MAP_SIDES = BITS.astype(np.intp) * (HALF_GATES * STEPS)
+
+
 def fit_tables(docs: DataFrame, text: str) -> Mixer:
     """Sum the counts of all contexts of the texts and turn them into predictions."""
     tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
 
     def build(batches):
-        both = np.zeros((KINDS, 2 * SLOTS), np.float32)
+        leaves = np.zeros((KINDS, SLOTS), np.float32)
         for pairs, counts in counted_pairs(batches, text):
             for some in batches_of(pairs):
                 own = counts[some]
-                for slots, bits, owner in pair_bits(pairs[some]):
-                    n, bit = np.repeat(own[owner], 8), bits.astype(np.int64)
-                    for k in range(KINDS):
-                        np.add.at(both[k], 2 * slots[k] + bit, n)
-        for k in range(KINDS):
-            for c in range(SLOTS // CHUNK):
-                part = both[k, 2 * c * CHUNK : 2 * (c + 1) * CHUNK]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k * (SLOTS // CHUNK) + c], pa.int32()), pa.array([part[::2].tobytes()]), pa.array([part[1::2].tobytes()])],
-                        names=["chunk", "zeros", "ones"],
-                    )
+                for rows, data, owner in pair_bytes(pairs[some], BYTES_AT_ONCE):
+                    n = own[owner]
+                    to = [t.take(data) for t in TO_LEAF]
+                    for table, row in zip(leaves, rows, strict=True):
+                        for t in to:
+                            np.add.at(table, row ^ t, n)
+        for i, part in enumerate(leaves.reshape(-1, CHUNK)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()])], names=["chunk", "leaves"])
 
     def merge(key, rows):
-        zeros, ones = np.zeros(CHUNK), np.zeros(CHUNK)
-        for a, b in zip(rows["zeros"], rows["ones"], strict=True):
-            zeros += np.frombuffer(a.as_py(), np.float32)
-            ones += np.frombuffer(b.as_py(), np.float32)
-        n = zeros + ones
-        z = np.clip(np.log((ones + 0.05) / (zeros + 0.05)) * 16, -127, 127).astype(np.int8)
-        sure = np.minimum(np.ceil(np.log2(n + 1)), SURE - 1).astype(np.uint8)
+        leaves = np.zeros(CHUNK)
+        for part in rows["leaves"]:
+            leaves += np.frombuffer(part.as_py(), np.float32)
+        z, sure = np.zeros((CHUNK // ROW, ROW), np.int8), np.zeros((CHUNK // ROW, ROW), np.uint8)
+        for d in range(4):  # a node's zeros and ones are those of the leaves below it
+            below = leaves.reshape(-1, 1 << d, 2, ROW >> (d + 1)).sum(axis=-1)
+            zeros, ones = below[..., 0], below[..., 1]
+            z[:, 1 << d : 2 << d] = np.clip(np.log((ones + 0.05) / (zeros + 0.05)) * 16, -127, 127)
+            sure[:, 1 << d : 2 << d] = np.minimum(np.ceil(np.log2(zeros + ones + 1)), SURE - 1)
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "z": [z.tobytes()], "sure": [sure.tobytes()]})
 
     stretched, sure = np.zeros((KINDS, SLOTS), np.int8), np.zeros((KINDS, SLOTS), np.uint8)
-    parts = docs.select(text).coalesce(tasks).mapInArrow(build, "chunk int, zeros binary, ones binary")
+    parts = docs.select(text).coalesce(tasks).mapInArrow(build, "chunk int, leaves binary")
     for row in parts.groupBy("chunk").applyInArrow(merge, "chunk int, z binary, sure binary").collect():
         part = slice(row.chunk * CHUNK, (row.chunk + 1) * CHUNK)
         stretched.reshape(-1)[part] = np.frombuffer(row.z, np.int8)
@@ -305,12 +397,12 @@ def fit_weights(mixer: Mixer, docs: DataFrame, text: str) -> None:
 
     tuning = written(docs.select(text).mapInArrow(pairs, "pair binary, n float"), "tuning-pairs")
     tuning = tuning.coalesce(2 * context.defaultParallelism)
+    shared = context.broadcast(mixer)
     for _ in range(ROUNDS):
-        shared = context.broadcast(mixer)
 
-        def learn(batches, shared=shared):
-            own, n = Mixer(shared.value.stretched, shared.value.sure), 0
-            own.weights = shared.value.weights.copy()
+        def learn(batches, weights=mixer.weights):
+            own, n = shared.value, 0
+            own.weights = weights.copy()
             for batch in batches:
                 own.learn(batch.column(0).to_pylist(), batch.column(1).to_numpy())
                 n += batch.num_rows
@@ -320,26 +412,29 @@ def fit_weights(mixer: Mixer, docs: DataFrame, text: str) -> None:
         if parts:
             learned = [np.frombuffer(r.weights, np.float32).reshape(mixer.weights.shape) for r in parts]
             mixer.weights = np.average(learned, axis=0, weights=[r.n for r in parts]).astype(np.float32)
-    shared = context.broadcast(mixer)
+    weights = mixer.weights
 
     def counted(batches):
-        counts = np.zeros((2, GATES, STEPS))
+        own = shared.value
+        own.weights = weights
+        counts = np.zeros((2, 2, HALF_GATES * STEPS))  # by half and bit
         for batch in batches:
             pairs_, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for some in batches_of(pairs_):
-                own = n[some]
-                for slots, bits, owner in pair_bits(pairs_[some]):
-                    x, gate = shared.value.inputs(slots)
-                    at = gate * STEPS + Mixer.step(shared.value.mix(x, gate))
-                    weight = np.repeat(own[owner], 8)
-                    counts[0] += np.bincount(at, weight * (1 - bits), GATES * STEPS).reshape(GATES, STEPS)
-                    counts[1] += np.bincount(at, weight * bits, GATES * STEPS).reshape(GATES, STEPS)
+                times = n[some]
+                for rows, data, owner in pair_bytes(pairs_[some]):
+                    weight = np.repeat(times[owner], 4)
+                    for half in range(2):
+                        x, gate = own.inputs(rows, data, half)
+                        at = gate * STEPS + Mixer.step(own.mix(x, gate, half))
+                        at += _MAP_SIDES.take(HALF[half].take(data), axis=0).ravel()
+                        counts[half] += np.bincount(at, weight, 2 * HALF_GATES * STEPS).reshape(2, -1)
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()])], names=["counts"])
 
     prior = 1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))
     zeros, ones = (1 - prior) * 20 + np.zeros((GATES, 1)), prior * 20 + np.zeros((GATES, 1))
     for row in tuning.mapInArrow(counted, "counts binary").collect():
-        a, b = np.frombuffer(row.counts).reshape(2, GATES, STEPS)
+        a, b = np.frombuffer(row.counts).reshape(2, 2, HALF_GATES, STEPS).swapaxes(0, 1).reshape(2, GATES, STEPS)
         zeros, ones = zeros + a, ones + b
     mixer.map = ones / (zeros + ones)
 

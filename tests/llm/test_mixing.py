@@ -141,3 +141,23 @@ def test_odd_rows(spark):
     got = score_documents(documents(spark, rows).select("doc_id", "text")).collect()
     check_base(rows, got)
     assert score_documents(documents(spark, []).select("doc_id", "text")).count() == 0
+
+
+def test_half_bytes_are_looked_up_at_once():
+    """One lookup gives the inputs of four bits: those at the nodes on the way to the half byte, and its gates."""
+    rng = np.random.default_rng(2)
+    model = mixing.Mixer(
+        rng.integers(-127, 128, (mixing.KINDS, mixing.SLOTS)).astype(np.int8), rng.integers(0, mixing.SURE, (mixing.KINDS, mixing.SLOTS)).astype(np.uint8)
+    )
+    rows, data, _ = next(mixing.pair_bytes(mixing.pairs_of([b"ab", "é\0".encode(), b"b" * 30])))
+    for half, halves in enumerate((data >> 4, data & 15)):
+        x, gates = model.inputs(rows, data, half)
+        x, gates = x.reshape(-1, 4, mixing.WIDTH), gates.reshape(-1, 4)
+        for i, byte in enumerate(halves.tolist()):
+            firsts = [int(at[i]) - byte for at in mixing.leaves_of(rows, data, half)]
+            assert all(first % mixing.ROW == 0 for first in firsts)
+            for place in range(4):
+                node = 1 << place | byte >> (4 - place)
+                assert x[i, place, : mixing.KINDS].tolist() == [model.stretched[k, first + node] for k, first in enumerate(firsts)]
+                word, before = (int(model.sure[k, firsts[k] + node]) for k in (-2, -1))
+                assert gates[i, place] == (place * mixing.SURE + word) * mixing.SURE + before
