@@ -16,7 +16,8 @@ the mixed bits spell the word. The share is the one of the other words and of wo
 
 Counts come from all bytes of the training documents; one fold of them (``TUNING``)
 is left out of the bit tables, and the weights and the map are learned on it. What the bits of a word cost depends on
-the word and the one before, so a task counts, learns and codes equal pairs of words together. The tables have a fixed
+the word and the one before, so a task counts, learns and codes equal pairs of words together. Tables count half bytes: the
+nodes of the four bits of one have a row of their own, and one lookup gives what a predictor says of them. The tables have a fixed
 size; they are summed by as many tasks as run at once and sent to all tasks.
 
 The most frequent words, at most ``FREQUENT``, are sent to all tasks with their counts; the counts of the others are
@@ -59,7 +60,7 @@ STEPS = 33
 ROUNDS, RATE, DAMPING = 3, 0.1, 20.0
 FREQUENT, FREQUENT_BYTES = 1 << 17, 64
 COUNTED = 400_000
-PAIRS, LONG_PAIR = 250_000, 80
+PAIRS = 250_000
 BYTES_AT_ONCE, CODED_AT_ONCE, LEARNED_AT_ONCE = 1 << 16, 1 << 12, 1 << 12
 CLASSES = 8
 BLOCK, SWITCH, SMOOTHING = 16, 0.05, 0.08
@@ -533,21 +534,16 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cl
 
     def make():
         model, numbers, coders, logs = shared.value
-        known: dict[bytes, float] = {}
 
         def work(piece):
             given = [t.encode().lower().split() for t in texts(piece, text)]
             ids = [np.fromiter(map(numbers.get, ws, repeat(-1)), np.int64, len(ws)) for ws in given]
             rest = [Counter(ws[i] for i in np.flatnonzero(at < 0).tolist()) for ws, at in zip(given, ids, strict=True)]
             pairs = [p for ws in given for p in pairs_of(ws)]
-            if len(known) > PAIRS:
-                known.clear()
-            new = list(set(pairs).difference(known))
-            known.update(zip(new, model.log10(new).tolist(), strict=True))
-            spelled = np.fromiter(map(known.__getitem__, pairs), float, len(pairs))
-            for p in new:
-                if len(p) > LONG_PAIR:
-                    del known[p]
+            numbered = dict.fromkeys(pairs)
+            each = model.log10(list(numbered))
+            numbered = dict(zip(numbered, range(len(each)), strict=True))
+            spelled = each.take(np.fromiter(map(numbered.__getitem__, pairs), np.intp, len(pairs)))
             lengths = np.array([len(ws) for ws in given], np.int64)
             members = [
                 pa.array([w for r in rest for w in r], pa.binary()),
